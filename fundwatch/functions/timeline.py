@@ -172,7 +172,8 @@ def trailing_distinct(
     ``<name>_before``: the same count without the row itself.
 
     A member is present from an event until ``w`` after its last one, so the distinct
-    count is a running total of arrivals and departures: no set is ever collected.
+    count is a running total of arrivals and departures: no set is ever collected. Null
+    members are not counted.
     """
     hot = hot_keys(events, keys, t) if hot is None else hot
     span = int(seconds * 1_000_000)
@@ -180,11 +181,12 @@ def trailing_distinct(
     lonely_before = F.col(f"prev_{t}").isNull() | (F.col(f"prev_{t}") < F.col(t) - span)
     last_seen = F.col(f"next_{t}").isNull() | (F.col(f"next_{t}") > F.col(t) + span)
     alone = lonely_before & (F.col(f"next_{t}").isNull() | (F.col(f"next_{t}") > F.col(t)))
+    named = F.col(member).isNotNull()
     payload = [c for c in events.columns if c not in keys]
     moved = (
-        near.withColumn("_arrive", lonely_before.cast("long"))
-        .withColumn("_depart", last_seen.cast("long"))
-        .withColumn("_alone", alone.cast("long"))
+        near.withColumn("_arrive", (named & lonely_before).cast("long"))
+        .withColumn("_depart", (named & last_seen).cast("long"))
+        .withColumn("_alone", (named & alone).cast("long"))
         .withColumn("_own", F.explode(F.when(F.col("_depart") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
         .select(
             *keys,

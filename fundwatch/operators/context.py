@@ -42,7 +42,7 @@ def history(tx: DataFrame, hours: float = 24, hot: DataFrame | None = None) -> D
     windows = {"1h": 3600, "15m": 900, "all": int(hours * 3600)}
     w = trailing(leg, ["account"], "us", measures, windows, order="transaction_id", hot=hot)
     w = w.drop("units_1h", "in_1h", "n_15m", "units_all", "in_all")
-    w = trailing_distinct(w.filter(F.col("channel").isNotNull()), ["account"], "channel", "us", "transaction_id", 3600, "channels_1h", hot=hot)
+    w = trailing_distinct(w, ["account"], "channel", "us", "transaction_id", 3600, "channels_1h", hot=hot)
     mine = w.filter(F.col("side") != "in")
     self_in = F.when(F.col("side") == "self", units).otherwise(F.lit(0))
     return mine.select(

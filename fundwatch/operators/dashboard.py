@@ -8,7 +8,7 @@ from ..functions.columns import severity_name, severity_rank
 from ..schema import RISK_LEVELS
 
 # Alert states that count as active.
-ACTIVE_STATES = ["NEW", "INVESTIGATING", "ESCALATED"]
+ACTIVE_STATES = ["NEW", "UNDER_INVESTIGATION", "ESCALATED"]
 
 
 def channel_breakdown(tx: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ TRANSFER_SCHEMA = T.StructType(
 )
 
 # Labelled transfer file with a header row.
-CSV_SCHEMA = T.StructType.fromDDL(
+CSV_SCHEMA = (
     "txn_id string, timestamp string, name string, account_number string, mobile_number string, "
     "bank_name string, receiver_account string, receiver_name string, receiver_bank string, "
     "pincode string, receiver_pincode string, amount double, trans_type string, narration string, "

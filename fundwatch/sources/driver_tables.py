@@ -88,7 +88,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ACC-"), F.col("user_id")).alias("account_id"),
         F.element_at(F.array(*[F.lit(p) for p in PATTERN_OF.values()]), (k % 5 + 1).cast("int")).alias("pattern_type"),
         F.element_at(F.array(*[F.lit(s) for s in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), (k % 4 + 1).cast("int")).alias("severity"),
-        F.element_at(F.array(*[F.lit(s) for s in ("NEW", "INVESTIGATING", "ESCALATED", "RESOLVED", "DISMISSED")]),
+        F.element_at(F.array(*[F.lit(s) for s in ("NEW", "UNDER_INVESTIGATION", "ESCALATED", "RESOLVED", "DISMISSED")]),
                      (F.col("event_id") % 5 + 1).cast("int")).alias("alert_status"),
         k.alias("risk_score"),
         F.col("ts").cast("timestamp").alias("triggered_at"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..schema import CSV_SCHEMA, TABLES
 
 
-def read_transfers_csv(spark: SparkSession, path: str, schema: T.StructType = CSV_SCHEMA) -> DataFrame:
+def read_transfers_csv(spark: SparkSession, path: str, schema: T.StructType | str = CSV_SCHEMA) -> DataFrame:
     """Labelled transfers from CSV with a header, under a declared schema (no inference pass)."""
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, source: str, name: str, **jdbc: str) -> Data
         raise ValueError(f"unknown table {name!r}; known: {sorted(TABLES)}")
     if source.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=source, dbtable=name, **jdbc).load()
-    return spark.read.schema(T.StructType.fromDDL(TABLES[name])).parquet(f"{source}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{source}/{name}")
 
 
 def write_scored(df: DataFrame, path: str, mode: str = "append") -> None:
