@@ -4,10 +4,12 @@ A window partitioned by account puts one account into one task, and a sliding RA
 frame re-reads its whole frame for every row. Neither holds when one account owns a
 third of all rows, so everything here is built from two parts:
 
-* **Fragments.** Keys with more than ``hot_rows`` rows are cut into equal-width time
-  fragments; every other key stays one fragment. What a fragment needs from the
+* **Fragments.** ``find_hot`` counts rows per key. Keys with more than ``hot_rows`` rows
+  are cut into equal-width time fragments; every other key stays one fragment, and when
+  no key is hot the plan has no fragment logic at all. What a fragment needs from the
   fragments before it (a total, the last row) is computed on the small per-fragment
-  table and travels as one extra *carry* row, so no join back is needed.
+  table and travels as one extra *carry* row, so no join back is needed. Only this path
+  reads its input twice, so only there the input is written to the checkpoint folder.
 * **Growing frames.** A trailing window is a running total in which each row enters at
   ``t`` and leaves at ``t + w``. Running totals only grow, which Spark evaluates in one
   pass per fragment, for any number of windows over one sort.
@@ -22,6 +24,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .session import cut
+
 HOT_ROWS = 1_000_000
 FRAGMENT_ROWS = 200_000
 MONEY_SCALE = 10_000
@@ -32,22 +36,26 @@ def money_units(c: Column | str) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) * MONEY_SCALE).cast("long")
 
 
-def hot_keys(
+def find_hot(
     df: DataFrame, keys: list[str], t: str, hot_rows: int = HOT_ROWS, fragment_rows: int = FRAGMENT_ROWS
-) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, and the fragment width for each.
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the fragment width for each, or None.
 
-    There can be at most ``rows / hot_rows`` such keys (a million keys in 10^12 rows),
-    which is what bounds the broadcast in ``_fragmented``.
+    Runs one counting job. There can be at most ``rows / hot_rows`` such keys (a million
+    keys in 10^12 rows), which is what bounds the broadcast in ``_fragmented``.
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
     width = F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(float(fragment_rows)) / F.col("_n"))
-    return stats.filter(F.col("_n") > hot_rows).select(
+    hot = stats.filter(F.col("_n") > hot_rows).select(
         *keys, "_lo", F.greatest(F.lit(1), width).cast("long").alias("_width")
     )
+    hot = cut(hot)
+    return None if hot.isEmpty() else hot
 
 
-def _fragmented(rows: DataFrame, hot: DataFrame, t: str) -> DataFrame:
+def _fragmented(rows: DataFrame, hot: DataFrame | None, t: str) -> DataFrame:
+    if hot is None:
+        return rows
     keys = [c for c in hot.columns if c not in ("_lo", "_width")]
     return (
         rows.join(F.broadcast(hot), keys, "left")
@@ -57,6 +65,12 @@ def _fragmented(rows: DataFrame, hot: DataFrame, t: str) -> DataFrame:
     )
 
 
+def _resolve(events: DataFrame, keys: list[str], t: str, hot: DataFrame | str | None):
+    """The hot keys, the rows to read, and the partition columns."""
+    hot = find_hot(events, keys, t) if isinstance(hot, str) else hot
+    return (None, events, list(keys)) if hot is None else (hot, cut(events), [*keys, "_frag"])
+
+
 def trailing(
     events: DataFrame,
     keys: list[str],
@@ -66,7 +80,7 @@ def trailing(
     *,
     order: str | None = None,
     open_windows: Mapping[str, int] | None = None,
-    hot: DataFrame | None = None,
+    hot: DataFrame | str | None = "auto",
 ) -> DataFrame:
     """Add ``<measure>_<window>``: the sum of an integer measure over ``[t - w, t]``.
 
@@ -74,7 +88,7 @@ def trailing(
     events exactly ``w`` old. Rows with the same ``t`` see each other. With ``order`` (a
     unique id) the previous time of the key is added as ``prev_t``.
     """
-    hot = hot_keys(events, keys, t) if hot is None else hot
+    hot, events, part = _resolve(events, keys, t, hot)
     spans = {k: (int(v * 1_000_000) + 1) for k, v in windows.items()}
     spans |= {k: int(v * 1_000_000) for k, v in (open_windows or {}).items()}
     shifts = sorted(set(spans.values()))
@@ -101,13 +115,15 @@ def trailing(
     )
     rows = _fragmented(moved, hot, "_t")
     sums = [name for name, _, _ in deltas]
-    rows = rows.unionByName(_totals_before(rows, keys, sums, t if order else None), allowMissingColumns=True)
-    part = Window.partitionBy(*keys, "_frag")
+    if hot is not None:
+        rows = rows.unionByName(_totals_before(rows, keys, sums, t if order else None), allowMissingColumns=True)
+    within = Window.partitionBy(*part)
     if order:
-        before = part.orderBy("_t", order).rowsBetween(Window.unboundedPreceding, -1)
-        seen = F.coalesce(F.when(F.col("_own"), F.col(t)), F.col("_carry_t"))
+        before = within.orderBy("_t", order).rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.when(F.col("_own"), F.col(t))
+        seen = seen if hot is None else F.coalesce(seen, F.col("_carry_t"))
         rows = rows.withColumn("prev_t", F.last(seen, ignorenulls=True).over(before))
-    upto = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = within.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select(
         *keys, *payload, "_own", *([F.col("prev_t")] if order else []), *[F.sum(s).over(upto).alias(s) for s in sums]
     )
@@ -129,31 +145,30 @@ def _totals_before(rows: DataFrame, keys: list[str], sums: list[str], t: str | N
 
 
 def neighbours(
-    df: DataFrame, keys: list[str], t: str, order: str, cols: list[str], *, hot: DataFrame | None = None
+    df: DataFrame, keys: list[str], t: str, order: str, cols: list[str], *, hot: DataFrame | str | None = "auto"
 ) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` for each column, by ``(t, order)`` within the key."""
-    hot = hot_keys(df, keys, t) if hot is None else hot
+    hot, df, part = _resolve(df, keys, t, hot)
+    w = Window.partitionBy(*part).orderBy(t, order)
+    near = [F.lag(c).over(w).alias(f"prev_{c}") for c in cols] + [F.lead(c).over(w).alias(f"next_{c}") for c in cols]
+    if hot is None:
+        return df.select("*", *near)
     rows = _fragmented(df, hot, t).withColumn("_carry", F.lit(False))
-    part = Window.partitionBy(*keys).orderBy("_frag")
-    kept = list(dict.fromkeys([t, order, *cols]))
-    whole = F.struct(*kept)
-    rank = F.struct(t, order)
+    frags = Window.partitionBy(*keys).orderBy("_frag")
+    whole, rank = F.struct(*dict.fromkeys([t, order, *cols])), F.struct(t, order)
     ends = (
         rows.filter("_hot")
         .groupBy(*keys, "_frag")
         .agg(F.max_by(whole, rank).alias("_last"), F.min_by(whole, rank).alias("_first"))
-        .select(*keys, F.lead("_frag").over(part).alias("_next"), F.lag("_frag").over(part).alias("_prev"), "_last", "_first")
+        .select(*keys, F.lead("_frag").over(frags).alias("_next"), F.lag("_frag").over(frags).alias("_prev"), "_last", "_first")
     )
-    carried = ends.select(
-        *keys, F.inline(F.array(F.struct(F.col("_next").alias("_frag"), F.col("_last").alias("_row")),
-                                F.struct(F.col("_prev").alias("_frag"), F.col("_first").alias("_row"))))
-    ).filter(F.col("_frag").isNotNull())
-    carried = carried.select(*keys, "_frag", F.lit(True).alias("_carry"), "_row.*")
-    rows = rows.unionByName(carried, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_frag").orderBy(t, order)
-    rows = rows.select(
-        "*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols], *[F.lead(c).over(w).alias(f"next_{c}") for c in cols]
+    towards = lambda frag, row: F.struct(F.col(frag).alias("_frag"), F.col(row).alias("_row"))
+    carried = (
+        ends.select(*keys, F.inline(F.array(towards("_next", "_last"), towards("_prev", "_first"))))
+        .filter(F.col("_frag").isNotNull())
+        .select(*keys, "_frag", F.lit(True).alias("_carry"), "_row.*")
     )
+    rows = rows.unionByName(carried, allowMissingColumns=True).select("*", *near)
     return rows.filter(~F.col("_carry")).drop("_carry", "_frag", "_hot")
 
 
@@ -166,7 +181,7 @@ def trailing_distinct(
     seconds: int,
     name: str,
     *,
-    hot: DataFrame | None = None,
+    hot: DataFrame | str | None = "auto",
 ) -> DataFrame:
     """Add ``<name>``: distinct members among the key's events in ``[t - w, t]``, and
     ``<name>_before``: the same count without the row itself.
@@ -175,7 +190,7 @@ def trailing_distinct(
     count is a running total of arrivals and departures: no set is ever collected. Null
     members are not counted.
     """
-    hot = hot_keys(events, keys, t) if hot is None else hot
+    hot, events, part = _resolve(events, keys, t, hot)
     span = int(seconds * 1_000_000)
     near = neighbours(events, [*keys, member], t, order, [t], hot=hot)
     lonely_before = F.col(f"prev_{t}").isNull() | (F.col(f"prev_{t}") < F.col(t) - span)
@@ -197,35 +212,37 @@ def trailing_distinct(
             F.when(F.col("_own"), F.col("_arrive")).otherwise(-F.col("_depart")).alias(name),
         )
     )
-    rows = _fragmented(moved, hot, "_t")
-    rows = rows.unionByName(_totals_before(rows, keys, [name], None), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys, "_frag").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _fragmented(moved if hot is None else cut(moved), hot, "_t")
+    if hot is not None:
+        rows = rows.unionByName(_totals_before(rows, keys, [name], None), allowMissingColumns=True)
+    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select(*keys, *payload, "_own", "_alone", F.sum(name).over(upto).alias(name)).filter("_own")
     return rows.withColumn(f"{name}_before", F.col(name) - F.col("_alone")).drop("_own", "_alone")
 
 
 def next_match(
-    rows: DataFrame, keys: list[str], t: str, order: str, is_probe: Column, match: Column, *, hot: DataFrame | None = None
+    rows: DataFrame, keys: list[str], t: str, order: str, is_probe: Column, match: Column, *, hot: DataFrame | str | None = "auto"
 ) -> DataFrame:
     """For probe rows, add ``_match``: the first row at or after ``t`` with a non-null ``match`` struct.
 
     ``match`` must start with ``(t, order)``. Rows are walked from late to early so that
     the frame only grows; equal times put matches before probes.
     """
-    hot = hot_keys(rows, keys, t) if hot is None else hot
+    hot, rows, part = _resolve(rows, keys, t, hot)
     r = _fragmented(rows.withColumn("_found", match).withColumn("_probe", is_probe), hot, t)
-    later = Window.partitionBy(*keys).orderBy(F.desc("_frag")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        r.filter("_hot")
-        .groupBy(*keys, "_frag")
-        .agg(F.min("_found").alias("_found"))
-        .select(*keys, "_frag", F.last("_found", ignorenulls=True).over(later).alias("_found"))
-        .filter(F.col("_found").isNotNull())
-        .select(*keys, "_frag", F.col(f"_found.{t}").alias(t), F.col(f"_found.{order}").alias(order), "_found", F.lit(False).alias("_probe"))
-    )
-    r = r.unionByName(carried, allowMissingColumns=True)
+    if hot is not None:
+        later = Window.partitionBy(*keys).orderBy(F.desc("_frag")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            r.filter("_hot")
+            .groupBy(*keys, "_frag")
+            .agg(F.min("_found").alias("_found"))
+            .select(*keys, "_frag", F.last("_found", ignorenulls=True).over(later).alias("_found"))
+            .filter(F.col("_found").isNotNull())
+            .select(*keys, "_frag", F.col(f"_found.{t}").alias(t), F.col(f"_found.{order}").alias(order), "_found", F.lit(False).alias("_probe"))
+        )
+        r = r.unionByName(carried, allowMissingColumns=True)
     back = (
-        Window.partitionBy(*keys, "_frag")
+        Window.partitionBy(*part)
         .orderBy(F.desc(t), F.col("_probe").asc(), F.desc(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

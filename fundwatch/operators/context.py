@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import haversine_km, micros, number
-from ..functions.timeline import MONEY_SCALE, hot_keys, money_units, neighbours, trailing, trailing_distinct
+from ..functions.timeline import MONEY_SCALE, find_hot, money_units, neighbours, trailing, trailing_distinct
 from .dashboard import linked_accounts
 from .temporal import legs
 
 DAY_US = 86_400_000_000
 
 
-def _renamed(hot: DataFrame | None, key: str) -> DataFrame | None:
-    return None if hot is None else hot.withColumnRenamed("account", key)
+def _renamed(hot: DataFrame | str | None, key: str) -> DataFrame | str | None:
+    return hot.withColumnRenamed("account", key) if isinstance(hot, DataFrame) else hot
 
 
-def history(tx: DataFrame, hours: float = 24, hot: DataFrame | None = None) -> DataFrame:
+def history(tx: DataFrame, hours: float = 24, hot: DataFrame | str | None = "auto") -> DataFrame:
     """Counts over the sender's recent transfers on either side, without the transfer itself.
 
     ``history_1h``, ``history_n`` (whole window), ``recent_sum`` and ``inbound_sum`` (15
@@ -35,7 +35,7 @@ def history(tx: DataFrame, hours: float = 24, hot: DataFrame | None = None) -> D
         "transaction_id", micros("ts").alias("us"), "amount", "channel",
         F.inline(F.when(sender == F.col("receiver_account"), F.array(own)).otherwise(F.array(out, into))),
     )
-    hot = hot_keys(legs(tx), ["account"], "us") if hot is None else hot
+    hot = find_hot(legs(tx), ["account"], "us") if isinstance(hot, str) else hot
     units = money_units("amount")
     received = F.when(F.col("side") != "out", units).otherwise(F.lit(0).cast("long"))
     measures = {"n": F.lit(1), "units": units, "in": received}
@@ -56,7 +56,7 @@ def history(tx: DataFrame, hours: float = 24, hot: DataFrame | None = None) -> D
     )
 
 
-def fan_counts(tx: DataFrame, hours: float = 24, hot: DataFrame | None = None) -> DataFrame:
+def fan_counts(tx: DataFrame, hours: float = 24, hot: DataFrame | str | None = "auto") -> DataFrame:
     """``fan_in``: other senders' count to this receiver, ``fan_out``: receivers of this sender, in the window."""
     rows = tx.withColumn("us", micros("ts"))
     seconds = int(hours * 3600)
@@ -82,7 +82,7 @@ def account_age(tx: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     return tx.join(opened, "sender_account", "left").withColumn("account_age", F.coalesce(given, since)).drop("opened_at")
 
 
-def travel_speed(tx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def travel_speed(tx: DataFrame, hot: DataFrame | str | None = "auto") -> DataFrame:
     """``travel_speed_kmh`` between successive located transfers of a sender.
 
     Null for the first one; a change of place within one instant has no finite speed and
@@ -123,7 +123,7 @@ def rule_context(
     tx: DataFrame, accounts: DataFrame | None = None, circular: DataFrame | None = None, hours: float = 24
 ) -> DataFrame:
     """Every rule input, one row per transfer. ``circular`` has (account, in_cycle)."""
-    hot = hot_keys(legs(tx), ["account"], "us")
+    hot = find_hot(legs(tx), ["account"], "us")
     rows = tx.select(*CONTEXT_COLUMNS)
     rows = linked_counts(account_age(rows, accounts)).drop("metadata", "beneficiary_id", "device_id", "ip_address")
     rows = fan_counts(rows, hours, hot)

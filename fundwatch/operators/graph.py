@@ -96,7 +96,7 @@ def ego_nodes(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int =
     steps = ends.select(F.col("src").alias("from"), F.col("dst").alias("to")).union(ends.select("dst", "src")).distinct()
     start = focal.select("account").distinct().select("account", node_id("account", "account").alias("node"))
     start = start.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("account", "node")
-    return _expand(start, steps, hops, ["account"]).join(nodes.select(F.col("id").alias("node"), "type"), "node")
+    return _expand(start, steps, hops, ["account"]).withColumn("type", F.substring_index("node", ":", 1))
 
 
 def ego_edges(ego: DataFrame, edges: DataFrame) -> DataFrame:
@@ -360,7 +360,8 @@ def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: i
     Degrees come from the whole graph: every edge at the account is inside its ego
     network once ``hops`` is at least one. With ``hops = 0`` only self-transfers remain.
     """
-    focal = cut(focal.select("account").distinct())
+    # Each of these is read by most of the parts below.
+    focal, edges = cut(focal.select("account").distinct()), cut(edges)
     inside = cut(ego_nodes(nodes, edges, focal, hops))
     base = fan_metrics(edges if hops > 0 else edges.filter(F.col("src") == F.col("dst")))
     shared = shared_entities(edges, focal)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import micros
-from ..functions.timeline import MONEY_SCALE, hot_keys, money_units, neighbours, next_match, trailing
+from ..functions.timeline import MONEY_SCALE, find_hot, money_units, neighbours, next_match, trailing
 from ..schema import WINDOWS
 
 BURST_SECONDS = 300
@@ -160,7 +160,7 @@ def pass_through(
 
 
 def pass_through_summary(
-    tx: DataFrame, max_delay: int = PASS_THROUGH_SECONDS, focal: DataFrame | None = None, hot: DataFrame | None = None
+    tx: DataFrame, max_delay: int = PASS_THROUGH_SECONDS, focal: DataFrame | None = None, hot: DataFrame | str | None = "auto"
 ) -> DataFrame:
     """Pairs per account and the first one, in order (in time, in id, out time, out id).
 
@@ -168,7 +168,7 @@ def pass_through_summary(
     pair comes from an as-of lookup.
     """
     f = flows(tx, focal)
-    hot = hot_keys(f, ["account"], "us") if hot is None else hot
+    hot = find_hot(f, ["account"], "us") if isinstance(hot, str) else hot
     span = max_delay * 1_000_000
     counted = trailing(f, ["account"], "us", {"inflows": (F.col("side") == "in").cast("long")}, {"w": max_delay}, hot=hot)
     out = F.when(F.col("side") == "out", F.struct("us", "transaction_id", "amount"))
@@ -242,7 +242,7 @@ def temporal_features(
     legs; the reference time of an account is its latest event.
     """
     leg = legs(tx, focal)
-    hot = hot_keys(leg, ["account"], "us")
+    hot = find_hot(leg, ["account"], "us")
     windows = {**WINDOWS, "2h": 7200}
     w = trailing(leg, ["account"], "us", {"n": F.lit(1), "units": money_units("amount")}, windows,
                  order="transaction_id", open_windows={"open": 3600}, hot=hot)
