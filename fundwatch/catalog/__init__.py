@@ -7,7 +7,7 @@ from .base import ORACLES, QUERIES
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import dashboard, graph, ingest, rules, search, temporal  # noqa: F401
+    from . import dashboard, evidence, fusion, graph, ingest, rules, search, temporal  # noqa: F401
 
 
 __all__ = ["ORACLES", "QUERIES", "load"]

@@ -29,7 +29,7 @@ def ego_sql(hops: int) -> str:
     return ",\n".join(parts)
 
 
-FAN = """fan AS MATERIALIZED (SELECT account, in_degree, out_degree, in_degree + out_degree AS total_degree, unique_senders, unique_receivers, round(inbound_volume, 2) AS inbound_volume,
+FAN = """fm AS MATERIALIZED (SELECT account, in_degree, out_degree, in_degree + out_degree AS total_degree, unique_senders, unique_receivers, round(inbound_volume, 2) AS inbound_volume,
     round(outbound_volume, 2) AS outbound_volume, CASE WHEN in_degree > 0 THEN round(unique_senders / in_degree, 4) ELSE 0 END AS fan_in_ratio,
     CASE WHEN out_degree > 0 THEN round(unique_receivers / out_degree, 4) ELSE 0 END AS fan_out_ratio
   FROM (SELECT account, count(*) FILTER (i) AS in_degree, count(*) FILTER (NOT i) AS out_degree, count(DISTINCT other) FILTER (i) AS unique_senders,
@@ -60,17 +60,17 @@ def g01(spark, sf):
     return typed.select(F.col("t").alias("typed"), strip_prefix("t").alias("raw"))
 
 
-@query("g02_degrees", with_(TX, FAN, "SELECT account, in_degree, out_degree, total_degree FROM fan"))
+@query("g02_degrees", with_(TX, FAN, "SELECT account, in_degree, out_degree, total_degree FROM fm"))
 def g02(spark, sf):
     return G.degrees(_edges(spark, sf))
 
 
-@query("g03_counterparties", with_(TX, FAN, "SELECT account, unique_senders, unique_receivers FROM fan"))
+@query("g03_counterparties", with_(TX, FAN, "SELECT account, unique_senders, unique_receivers FROM fm"))
 def g03(spark, sf):
     return G.counterparties(_edges(spark, sf))
 
 
-@query("g04_fan_metrics", with_(TX, FAN, "SELECT * FROM fan"))
+@query("g04_fan_metrics", with_(TX, FAN, "SELECT * FROM fm"))
 def g04(spark, sf):
     return G.fan_metrics(_edges(spark, sf))
 
@@ -246,10 +246,10 @@ FEATURES = f"""cm AS MATERIALIZED (SELECT account, count(*) AS cycle_count, min(
 sc AS MATERIALIZED (SELECT account, count(*) FILTER (kind = 'device' AND accounts > 1) AS shared_device_count, count(*) FILTER (kind = 'ip' AND accounts > 1) AS shared_ip_count FROM shared GROUP BY 1),
 nc AS MATERIALIZED (SELECT account, count(*) FILTER (node LIKE 'account:%' AND node <> 'account:' || account) AS neighbouring_accounts, count(*) FILTER (node LIKE 'device:%') AS neighbouring_devices,
   count(*) FILTER (node LIKE 'ip:%') AS neighbouring_ips, count(*) AS subgraph_nodes FROM ego GROUP BY 1),
-feats AS MATERIALIZED (SELECT account, fan.* EXCLUDE (account), neighbouring_accounts, neighbouring_devices, neighbouring_ips, subgraph_nodes, neighbourhood_density, reachable_accounts, upstream_accounts,
+feats AS MATERIALIZED (SELECT account, fm.* EXCLUDE (account), neighbouring_accounts, neighbouring_devices, neighbouring_ips, subgraph_nodes, neighbourhood_density, reachable_accounts, upstream_accounts,
   max_path_length, coalesce(cycle_count, 0) AS cycle_count, coalesce(shortest_cycle, 0) AS shortest_cycle, cycle_count IS NOT NULL AS has_cycle,
   coalesce(shared_device_count, 0) AS shared_device_count, coalesce(shared_ip_count, 0) AS shared_ip_count
-  FROM focal JOIN fan USING (account) JOIN nc USING (account) JOIN dens USING (account) JOIN reach USING (account) LEFT JOIN cm USING (account) LEFT JOIN sc USING (account))"""
+  FROM focal JOIN fm USING (account) JOIN nc USING (account) JOIN dens USING (account) JOIN reach USING (account) LEFT JOIN cm USING (account) LEFT JOIN sc USING (account))"""
 FEATURE_CTES = (EDGES, PAIRS, ego_sql(2), FAN, DENSITY, reach_sql(3), CYCLES3, SHARED, FEATURES)
 COLUMNS = ["account", "in_degree", "out_degree", "total_degree", "unique_senders", "unique_receivers", "inbound_volume", "outbound_volume", "fan_in_ratio", "fan_out_ratio",
            "neighbouring_accounts", "neighbouring_devices", "neighbouring_ips", "subgraph_nodes", "neighbourhood_density", "reachable_accounts", "upstream_accounts",

@@ -48,9 +48,10 @@ CTX = """ctx AS MATERIALIZED (SELECT t.transaction_id, t.ts, t.sender_account, t
 CONTEXT = (TX, LEGS, HIST, FAN, TRAVEL, LINKED, CIRCULAR, CTX)
 
 
-def context(spark, sf):
+def context(spark, sf, active=None):
     tx = transfers(spark, sf)
-    return C.rule_context(tx, accounts(spark, sf), circular_flags(build_graph(tx)[1]))
+    circular = circular_flags(build_graph(tx)[1]) if active is None or "R014" in active else None
+    return C.rule_context(tx, accounts(spark, sf), circular, active=active)
 
 
 @query("c01_history", with_(TX, LEGS, HIST, "SELECT transaction_id, history_1h, history_n, recent_sum, inbound_sum, channels_1h FROM hist WHERE side <> 'in'"))
@@ -121,7 +122,7 @@ def _register(name, code, overrides, where):
 
     @query(name, sql)
     def run(spark, sf):
-        hit = R.evaluate_rule(context(spark, sf), code, **overrides).filter("matched")
+        hit = R.evaluate_rule(context(spark, sf, [code]), code, **overrides).filter("matched")
         return hit.select("transaction_id", "pattern_name", "score", "severity")
 
 
@@ -158,7 +159,8 @@ WHITELIST = ["R004", "R009", "R012"]
 @query("r16_active_rules", with_(*CONTEXT, evaluated_sql(WHITELIST), "SELECT transaction_id, rule_score, highest_severity, codes FROM evaluated"))
 def r16(spark, sf):
     rules = R.registry(spark).withColumn("is_active", F.col("rule_code").isin(WHITELIST))
-    e = R.evaluate_rules(context(spark, sf), active=R.active_rules(rules))
+    active = R.active_rules(rules)
+    e = R.evaluate_rules(context(spark, sf, active), active=active)
     return e.select("transaction_id", "rule_score", "highest_severity", F.array_join(F.transform("matches", lambda m: m["rule_code"]), ",").alias("codes"))
 
 
@@ -167,4 +169,4 @@ def r16(spark, sf):
   UNION ALL SELECT transaction_id, 'R009', 'Cross-Channel Hopping detected: cycling across ' || channels_1h || ' distinct rails within 1 hour.' FROM ctx WHERE channels_1h >= 3
   UNION ALL SELECT transaction_id, 'R012', 'Night Activity anomaly detected: high-value transfer (₹' || format('{:,.2f}', amount) || ') executed between 12 AM and 5 AM.' FROM ctx WHERE hour(ts) < 5 AND amount >= 50000"""))
 def r17(spark, sf):
-    return R.exploded_matches(R.evaluate_rules(context(spark, sf), active=WHITELIST)).select("transaction_id", "rule_code", "narrative")
+    return R.exploded_matches(R.evaluate_rules(context(spark, sf, WHITELIST), active=WHITELIST)).select("transaction_id", "rule_code", "narrative")

@@ -101,14 +101,16 @@ def travel_speed(tx: DataFrame, hot: DataFrame | str | None = "auto") -> DataFra
 LINKED = {"device_id": "linked_devices", "ip_address": "linked_ips", "beneficiary_id": "linked_beneficiaries"}
 
 
-def linked_counts(tx: DataFrame) -> DataFrame:
+def linked_counts(tx: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Accounts sharing the transfer's device, IP and beneficiary; 1 when there is none.
 
     The count per entity is aggregated on distinct pairs before it meets the transfers. A
     popular entity makes the join uneven; AQE splits its transfers over several tasks.
+    ``population`` is counted instead of ``tx`` when ``tx`` is only a part of it.
     """
+    population = tx if population is None else population
     for entity, name in LINKED.items():
-        counts = linked_accounts(tx, entity).withColumnRenamed("linked_accounts", name)
+        counts = linked_accounts(population, entity).withColumnRenamed("linked_accounts", name)
         tx = tx.join(counts, entity, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)).cast("int"))
     return tx
 
@@ -117,19 +119,45 @@ CONTEXT_COLUMNS = [
     "transaction_id", "ts", "sender_account", "receiver_account", "amount", "channel", "device_id", "ip_address",
     "beneficiary_id", "latitude", "longitude", "metadata",
 ]
+# Which rules need which step; a step no active rule needs is left out of the plan.
+STEPS = {
+    "age": {"R008"}, "linked": {"R006", "R010", "R013"}, "fan": {"R002", "R003"}, "travel": {"R011"},
+    "history": {"R001", "R004", "R007", "R008", "R009"}, "circular": {"R014"},
+}
 
 
 def rule_context(
-    tx: DataFrame, accounts: DataFrame | None = None, circular: DataFrame | None = None, hours: float = 24
+    tx: DataFrame,
+    accounts: DataFrame | None = None,
+    circular: DataFrame | None = None,
+    hours: float = 24,
+    *,
+    active: set[str] | list[str] | None = None,
+    population: DataFrame | None = None,
 ) -> DataFrame:
-    """Every rule input, one row per transfer. ``circular`` has (account, in_cycle)."""
-    hot = find_hot(legs(tx), ["account"], "us")
+    """Every input of the active rules (all by default), one row per transfer.
+
+    ``circular`` has (account, in_cycle). ``population`` is the table device, IP and
+    beneficiary counts refer to when ``tx`` holds only the transfers of some accounts.
+    """
+    needs = {step for step, rules in STEPS.items() if active is None or rules & set(active)}
+    hot = find_hot(legs(tx), ["account"], "us") if needs & {"fan", "travel", "history"} else None
     rows = tx.select(*CONTEXT_COLUMNS)
-    rows = linked_counts(account_age(rows, accounts)).drop("metadata", "beneficiary_id", "device_id", "ip_address")
-    rows = fan_counts(rows, hours, hot)
-    rows = travel_speed(rows, hot).drop("latitude", "longitude")
-    rows = history(rows, hours, hot)
-    rows = rows.withColumn("dormant_days", dormant_days(F.col("previous_us"), micros("ts"))).drop("previous_us")
+    if "age" in needs:
+        rows = account_age(rows, accounts)
+    if "linked" in needs:
+        rows = linked_counts(rows, population)
+    rows = rows.drop("metadata", "beneficiary_id", "device_id", "ip_address")
+    if "fan" in needs:
+        rows = fan_counts(rows, hours, hot)
+    if "travel" in needs:
+        rows = travel_speed(rows, hot)
+    rows = rows.drop("latitude", "longitude")
+    if "history" in needs:
+        rows = history(rows, hours, hot)
+        rows = rows.withColumn("dormant_days", dormant_days(F.col("previous_us"), micros("ts"))).drop("previous_us")
+    if "circular" not in needs:
+        return rows
     if circular is None:
         return rows.withColumn("in_cycle", F.lit(False))
     flag = circular.select(F.col("account").alias("sender_account"), "in_cycle")

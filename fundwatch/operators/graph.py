@@ -149,7 +149,17 @@ def reach_nodes(ego: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFra
 
 def reach(ego: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """Reachable count, upstream count, longest downstream distance and the summary sentence."""
-    walked = reach_nodes(ego, edges, max_depth)
+    return reach_summary(reach_nodes(ego, edges, max_depth))
+
+
+def first_downstream(walked: DataFrame, n: int = 5) -> DataFrame:
+    """``downstream``: the first ``n`` reached accounts by name (ranks beyond ``n`` are dropped before the shuffle)."""
+    w = Window.partitionBy("account").orderBy("node")
+    top = walked.filter((F.col("direction") == "down") & (F.col("depth") > 0)).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n)
+    return top.groupBy("account").agg(F.array_sort(F.collect_list("node")).alias("downstream"))
+
+
+def reach_summary(walked: DataFrame) -> DataFrame:
     down, away = F.col("direction") == "down", F.col("depth") > 0
     agg = walked.groupBy("account").agg(
         F.count_if(down & away).alias("reachable_accounts"), F.count_if(~down & away).alias("upstream_accounts"),
@@ -363,17 +373,18 @@ def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: i
     # Each of these is read by most of the parts below.
     focal, edges = cut(focal.select("account").distinct()), cut(edges)
     inside = cut(ego_nodes(nodes, edges, focal, hops))
+    walked = reach_nodes(inside, edges, max_depth)
     base = fan_metrics(edges if hops > 0 else edges.filter(F.col("src") == F.col("dst")))
     shared = shared_entities(edges, focal)
     known = inside.select("account").distinct().withColumn("in_graph", F.lit(True))
-    parts = [known, base, neighbour_counts(inside), density(inside, edges), reach(inside, edges, max_depth),
+    parts = [known, base, neighbour_counts(inside), density(inside, edges), reach_summary(walked), first_downstream(walked),
              cycle_metrics(normalize_cycles(cycles(edges, focal, max_depth), focal)), shared_counts(shared)]
     out = focal
     for part in parts:
         out = out.join(part, "account", "left")
     out = out.fillna(ZEROS).withColumn("in_graph", F.coalesce("in_graph", F.lit(False)))
     none = F.array().cast("array<string>")
-    for c in ("cycle_nodes", "associated_devices", "associated_ips"):
+    for c in ("cycle_nodes", "downstream", "associated_devices", "associated_ips"):
         out = out.withColumn(c, F.coalesce(c, none))
     missing = F.concat(F.lit("Account "), "account", F.lit(" not found in graph topology."))
     out = out.withColumn("path_summary", F.when(F.col("in_graph"), F.coalesce("path_summary", path_summary())).otherwise(missing))
