@@ -7,7 +7,9 @@ from .base import ORACLES, QUERIES
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import dashboard, evidence, fusion, graph, ingest, rules, search, temporal  # noqa: F401
+    from . import (
+        crossbank, dashboard, evidence, fusion, graph, graph_ml, ingest, ml, rules, search, streaming, temporal,
+    )
 
 
 __all__ = ["ORACLES", "QUERIES", "load"]

@@ -23,8 +23,11 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as canonical transfers plus ``is_fraud`` (label) and ``risk_score``."""
-    e = table(spark, sf_dir, "events")
+    return as_transfers(table(spark, sf_dir, "events"))
+
+
+def as_transfers(e: DataFrame) -> DataFrame:
+    """``events`` rows (batch or stream) as canonical transfers plus ``is_fraud`` (label) and ``risk_score``."""
     k = F.get_json_object("props", "$.k").cast("long")
     sender = F.concat(F.lit("ACC-"), F.col("user_id"))
     receiver = F.concat(F.lit("ACC-"), k)
