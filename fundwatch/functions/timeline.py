@@ -225,8 +225,7 @@ def next_match(
 ) -> DataFrame:
     """For probe rows, add ``_match``: the first row at or after ``t`` with a non-null ``match`` struct.
 
-    ``match`` must start with ``(t, order)``. Rows are walked from late to early so that
-    the frame only grows; equal times put matches before probes.
+    ``match`` must start with ``(t, order)``; among equal times the smallest order wins.
     """
     hot, rows, part = _resolve(rows, keys, t, hot)
     r = _fragmented(rows.withColumn("_found", match).withColumn("_probe", is_probe), hot, t)
@@ -241,10 +240,7 @@ def next_match(
             .select(*keys, "_frag", F.col(f"_found.{t}").alias(t), F.col(f"_found.{order}").alias(order), "_found", F.lit(False).alias("_probe"))
         )
         r = r.unionByName(carried, allowMissingColumns=True)
-    back = (
-        Window.partitionBy(*part)
-        .orderBy(F.desc(t), F.col("_probe").asc(), F.desc(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    r = r.withColumn("_match", F.last("_found", ignorenulls=True).over(back))
+    # Later rows come first, so the frame only grows; the smallest struct in it is the nearest match.
+    back = Window.partitionBy(*part).orderBy(F.desc(t)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("_match", F.min("_found").over(back))
     return r.filter("_probe").drop("_found", "_probe", "_frag", "_hot")
