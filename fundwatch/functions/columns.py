@@ -76,9 +76,13 @@ def number(c: Column | str) -> Column:
 
 
 def sanitize(c: Column | str, default: float = 0.0) -> Column:
-    """Finite double: null, text, NaN and infinities become ``default``."""
-    v = number(c)
-    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(float(default))).otherwise(v)
+    """Finite double from any value: null, text, NaN and infinities become ``default``."""
+    return finite(number(c), default)
+
+
+def finite(c: Column | str, default: float = 0.0) -> Column:
+    """The same for a numeric column. NaN sorts above infinity, so one comparison covers both."""
+    return F.coalesce(F.when(F.abs(col(c)) < float("inf"), col(c).cast("double")), F.lit(float(default)))
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -111,11 +115,10 @@ def format_inr(c: Column | str) -> Column:
 
 
 def md5_mod10(c: Column | str) -> Column:
-    """md5 as a 128-bit number modulo 10, from two 64-bit halves (2^64 mod 10 = 6)."""
+    """md5 as a 128-bit number modulo 10, from parts of 15, 15 and 2 hex digits (16^n mod 10 = 6)."""
     digest = F.md5(col(c).cast("binary"))
-    high = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)") % 10
-    low = F.conv(F.substring(digest, 17, 16), 16, 10).cast("decimal(20,0)") % 10
-    return ((high * 6 + low) % 10).cast("int")
+    part = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long") % 10
+    return (((part(1, 15) + part(16, 15)) * 6 + part(31, 2)) % 10).cast("int")
 
 
 def map_bank(c: Column | str) -> Column:

@@ -28,6 +28,7 @@ from .session import cut
 
 HOT_ROWS = 1_000_000
 FRAGMENT_ROWS = 200_000
+BROADCAST_KEYS = 1_000_000
 MONEY_SCALE = 10_000
 FIRST = -(2**62)
 
@@ -41,8 +42,8 @@ def find_hot(
 ) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and the fragment width for each, or None.
 
-    Runs one counting job. There can be at most ``rows / hot_rows`` such keys (a million
-    keys in 10^12 rows), which is what bounds the broadcast in ``_fragmented``.
+    Runs one counting job. There can be at most ``rows / hot_rows`` such keys, a million
+    in 10^12 rows; ``_fragmented`` counts them before it broadcasts.
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
     width = F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(float(fragment_rows)) / F.col("_n"))
@@ -57,8 +58,9 @@ def _fragmented(rows: DataFrame, hot: DataFrame | None, t: str) -> DataFrame:
     if hot is None:
         return rows
     keys = [c for c in hot.columns if c not in ("_lo", "_width")]
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
     return (
-        rows.join(F.broadcast(hot), keys, "left")
+        rows.join(side, keys, "left")
         .withColumn("_hot", F.col("_width").isNotNull())
         .withColumn("_frag", F.coalesce(F.floor((F.col(t) - F.col("_lo")) / F.col("_width")), F.lit(0)))
         .drop("_lo", "_width")

@@ -83,8 +83,8 @@ def mule_share(tx: DataFrame) -> DataFrame:
 def frequency_table(df: DataFrame, column: str) -> DataFrame:
     """Share of rows per value, from counts only."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).select(column, (F.col("n") / F.col("total")).alias(f"{column}_freq"))
+    total = max(df.count(), 1)
+    return counts.select(column, (F.col("n") / F.lit(total)).alias(f"{column}_freq"))
 
 
 def frequency_encode(df: DataFrame, columns: list[str], fitted: dict[str, DataFrame] | None = None) -> DataFrame:

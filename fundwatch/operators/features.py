@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import filled, sanitize
+from ..functions.columns import filled, finite, sanitize
 
 # Feature names, in order.
 NATIVE = ["amount", "log_amount", "channel_upi", "channel_neft", "channel_rtgs", "channel_imps", "channel_other", "is_interbank",
@@ -42,7 +42,7 @@ def _one(cond: Column) -> Column:
 
 def native_features(tx: DataFrame) -> DataFrame:
     """Amount, channel, bank, device and calendar features. Monday is 0."""
-    amount = F.greatest(F.lit(0.0), sanitize("amount"))
+    amount = F.greatest(F.lit(0.0), finite("amount"))
     channel = F.upper(F.coalesce(filled("channel"), F.lit("UPI")))
     bank = lambda c: F.lower(F.trim(filled(c)))
     hour, day = F.hour("ts").cast("double"), F.weekday("ts").cast("double")
@@ -82,7 +82,8 @@ def build_features(tx: DataFrame, temporal: DataFrame | None = None, graph: Data
     df = telemetry_features(native_features(tx))
     df = join_temporal(df, temporal) if temporal is not None else df.withColumns({c: F.lit(0.0) for c in TEMPORAL})
     df = join_graph(df, graph) if graph is not None else df.withColumns({c: F.lit(0.0) for c in GRAPH})
-    return df.withColumns({c: sanitize(c) for c in FEATURES})
+    # Native and telemetry columns are finite already.
+    return df.withColumns({c: finite(c) for c in [*TEMPORAL, *GRAPH]})
 
 
 def feature_vector(df: DataFrame, columns: list[str] = FEATURES, output: str = "features") -> DataFrame:

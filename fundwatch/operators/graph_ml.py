@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import node_id, sanitize
+from ..functions.columns import node_id, finite
 from ..functions.session import cut
 from .features import cut_points
 from .graph import TRANSFER
@@ -57,7 +57,7 @@ def chronological_snapshots(tx: DataFrame, train: float = 0.70, validation: floa
 
 
 def edge_features(edges: DataFrame) -> DataFrame:
-    amount = sanitize("amount")
+    amount = finite("amount")
     flag = lambda *r: F.when(F.col("relationship").isin(*r), 1.0).otherwise(0.0)
     log = F.when(amount > 0, F.round(F.log10(amount + 1.0), 4)).otherwise(0.0)
     return edges.select("src", "dst", "key", F.array(log, flag(TRANSFER), flag("USES_DEVICE", "USED_DEVICE"), flag("USES_IP", "USED_IP")).alias("attributes"))
@@ -73,7 +73,7 @@ def node_features(edges: DataFrame, attributes: DataFrame | None = None, tempora
     """
     rel = F.col("relationship")
     kind = F.when(rel == TRANSFER, "transfer").when(rel.endswith("DEVICE"), "device").otherwise("ip")
-    links = edges.groupBy("src", "dst", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(sanitize("amount")).alias("amount"))
+    links = edges.groupBy("src", "dst", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(finite("amount")).alias("amount"))
     ends = links.select(F.inline(F.array(
         F.struct(F.col("src").alias("node"), F.lit("out").alias("way"), "kind", "n", "amount"),
         F.struct(F.col("dst").alias("node"), F.lit("in").alias("way"), "kind", "n", "amount"))))
@@ -92,7 +92,7 @@ def node_features(edges: DataFrame, attributes: DataFrame | None = None, tempora
     if graph is not None:
         agg = agg.join(graph.select(node_id("account", "account").alias("node"), F.col("shared_device_count").cast("double").alias("g_device"),
                                     F.col("shared_ip_count").cast("double").alias("g_ip"), F.col("neighbourhood_density").alias("g_density")), "node", "left")
-    agg = agg.withColumns({k: sanitize(F.col(k), d) if k in agg.columns else F.lit(d) for k, d in extra.items()})
+    agg = agg.withColumns({k: finite(F.col(k), d) if k in agg.columns else F.lit(d) for k, d in extra.items()})
     log = lambda c: F.when(F.col(c) > 0, F.round(F.log10(F.col(c) + 1.0), 4)).otherwise(0.0)
     ratio = lambda a, b: F.round(F.col(a) / F.greatest(F.lit(1.0), F.col(b)), 4)
     account = F.array(

@@ -131,9 +131,8 @@ def amount_anomaly(tx: DataFrame, contamination: float = 0.05) -> DataFrame:
     """Flag the top ``contamination`` of amounts per channel, with a robust z-score (median and MAD)."""
     q = lambda c, p: F.percentile_approx(c, p, 10000)
     cuts = tx.groupBy("channel").agg(q("amount", 1 - contamination).alias("_cut"), q("amount", 0.5).alias("_median"))
-    spread = tx.join(F.broadcast(cuts), "channel").groupBy("channel").agg(q(F.abs(F.col("amount") - F.col("_median")), 0.5).alias("_mad"))
-    # One row per channel on both sides; channels are a short fixed list.
-    limits = F.broadcast(cuts.join(spread, "channel"))
+    spread = tx.join(cuts, "channel").groupBy("channel").agg(q(F.abs(F.col("amount") - F.col("_median")), 0.5).alias("_mad"))
+    limits = cuts.join(spread, "channel")
     z = F.coalesce((F.col("amount") - F.col("_median")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)), F.lit(0.0))
     return tx.join(limits, "channel").withColumns({"robust_z": z, "is_anomaly": F.col("amount") > F.col("_cut")}).drop("_cut", "_median", "_mad")
 
