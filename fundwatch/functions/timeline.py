@@ -50,8 +50,7 @@ def find_hot(
     hot = stats.filter(F.col("_n") > hot_rows).select(
         *keys, "_lo", F.greatest(F.lit(1), width).cast("long").alias("_width")
     )
-    hot = cut(hot)
-    return None if hot.isEmpty() else hot
+    return None if hot.isEmpty() else cut(hot)
 
 
 def _fragmented(rows: DataFrame, hot: DataFrame | None, t: str) -> DataFrame:

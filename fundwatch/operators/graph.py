@@ -85,7 +85,7 @@ def _expand(
             nxt = nxt.join(within, [k for k in within.columns], "left_semi")
         frontier = cut(nxt.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
+        if hop < hops and frontier.isEmpty():
             break
     return seen
 
