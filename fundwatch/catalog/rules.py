@@ -144,7 +144,7 @@ def evaluated_sql(codes) -> str:
     rank = ", ".join(f"CASE WHEN {DEFAULTS[c]} THEN {RANK[R.RULES[c][4]]} ELSE 1 END" for c in codes)
     hits = ", ".join(f"CASE WHEN {DEFAULTS[c]} THEN '{c}' END" for c in codes)
     return (f"evaluated AS MATERIALIZED (SELECT *, ({score})::INT AS rule_score, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[greatest({rank})] AS highest_severity, "
-            f"array_to_string([{hits}], ',') AS codes FROM ctx)")
+            f"coalesce(array_to_string([{hits}], ','), '') AS codes FROM ctx)")
 
 
 @query("r15_evaluate_rules", with_(*CONTEXT, evaluated_sql(R.RULES), "SELECT transaction_id, rule_score, highest_severity, codes FROM evaluated"))
