@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_file
+from . import packing, token_counts, token_file
 from .scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +30,13 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     token_file.write_tokens(table(spark, sf_dir, "documents"), folder, TOKENIZER)
     return token_file.read_documents(spark, folder)
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
