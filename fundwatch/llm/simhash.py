@@ -1,9 +1,10 @@
 """SimHash near duplicates with a generalised pigeonhole index.
 
 Fingerprints are grouped first, so a text copied a million times is one entry. Two entries
-link when at most three of 64 bits differ. The bits are dealt to m partitions, correlated bits
-together; partition i gets a threshold T_i (-1: unused) with the sum of T_i at least 3 - m + 1,
-so two linked entries differ in at most T_i bits of some partition. A dynamic programme picks
+link when at most ``distance`` of 64 bits differ (and, if the fingerprints are wider, at most
+``wide`` of all bits). The 64 bits are dealt to m partitions, correlated bits together;
+partition i gets a threshold T_i (-1: unused) with the sum of T_i equal to distance - m + 1, so
+two linked entries differ in at most T_i bits of some partition. A dynamic programme picks
 m and the thresholds that make probes and estimated candidates cheapest. An entry is filed
 under its value of a partition and, up to T_i, probes the values nearby; entries of a bucket
 are compared inside the task, and only a spanning forest of the links found leaves it. A
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +24,58 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .scratch import dropped, written
+from .scratch import written
 
-BITS, DISTANCE, SEED, SAMPLE, BUCKET = 64, 3, 42, 2048, 20_000
+BITS, DISTANCE, SEED, SAMPLE, BUCKET = 64, 3, 42, 1024, 40_000
 #: Relative costs of a row that is shuffled and of a candidate that is compared.
 ROW_COST, PAIR_COST = 1.0, 0.002
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles; ASCII letters in lower case, words split at ASCII white space, no words: 0."""
+def allowed(similarity: float, bits: int, deviations: float = 1.0) -> int:
+    """Differing bits expected of two shingle sets with this Jaccard similarity, plus so many standard deviations."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each hash (the finalizer of SplitMix64)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 3, parts: int = 1) -> list[int]:
+    """SimHash of the word shingles, 64 bits a part; ASCII letters in lower case, words split at ASCII white space, no words: 0."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return [0] * parts
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(words_per_shingle, len(words))
     starts = np.concatenate([[0], ends[: len(words) - k] + 1])
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())), np.uint64, len(starts))
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 50_000):
-        part = hashes[i : i + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    found = []
+    for _ in range(parts):
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, len(hashes), 50_000):
+            some = hashes[i : i + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+        hashes = _mixed(hashes)
+    return found
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id, fp (as a signed long) of every whole text of ``docs``."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, parts: int = 1) -> DataFrame:
+    """doc_id, fp (the first 64 bits as a signed long), more (the other parts' bytes) of every whole text of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, words_per_shingle, parts) for t in batch.column(1).to_pylist()], "<u8").reshape(-1, parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].view(np.int64)), pa.array([x.tobytes() for x in found[:, 1:]], pa.binary())], names=["doc_id", "fp", "more"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint, more binary")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -101,8 +120,12 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
     return chosen
 
 
+ROW = ["mask", "value", "probe", "rep", "fp", "more"]
+ROW_SCHEMA = "mask bigint, value bigint, probe boolean, rep bigint, fp bigint, more binary"
+
+
 def _file(parts: list[tuple[int, int]]):
-    """Rows (mask, value, probe, rep, fp): each entry under its own value and, as a probe, under those up to the threshold away."""
+    """Rows (mask, value, probe, rep, fp, more): each entry under its own value and, as a probe, under those up to the threshold away."""
     flips = [(mask, [0] + [sum(1 << b for b in c) for n in range(1, t + 1) for c in combinations([b for b in range(BITS) if mask >> b & 1], n)]) for mask, t in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +136,7 @@ def _file(parts: list[tuple[int, int]]):
                 for change in changes:
                     n = len(own)
                     columns = [np.full(n, mask, np.uint64).view(np.int64), (own ^ np.uint64(change)).view(np.int64), np.full(n, change != 0)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column(0), batch.column(1)], names=["mask", "value", "probe", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *batch.columns], names=ROW)
 
     return run
 
@@ -130,7 +153,7 @@ def _refile(distance: int):
                 for bits in np.array_split(free, distance + 1):
                     more = np.uint64(sum(1 << int(b) for b in bits))
                     columns = [np.full(len(at), np.uint64(one) | more).view(np.int64), (value[at] | fp[at] & more).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(batch.column(i).take(pa.array(at)) for i in (2, 3, 4))], names=["mask", "value", "probe", "rep", "fp"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(batch.column(i).take(pa.array(at)) for i in range(2, 6))], names=ROW)
 
     return run
 
@@ -150,18 +173,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _compare(distance: int):
+def _compare(distance: int, wide: int):
     """Links inside the buckets of a partition sorted by (mask, value), as a forest; at most one incomplete bucket is carried over."""
 
     def links(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        mask, value, probe, rep, fp = rows
+        mask, value, probe, rep, fp, more = rows
         bucket = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(mask) else mask
         found, held, at, step = [], 0, np.arange(len(mask)), 0
         while len(at):
             step += 1
             at = at[at < len(mask) - step]
             at = at[bucket[at + step] == bucket[at]]
-            near = at[(np.bitwise_count(fp[at] ^ fp[at + step]) <= distance) & ~(probe[at] & probe[at + step])]
+            apart = np.bitwise_count(fp[at] ^ fp[at + step])
+            near = at[(apart <= distance) & ~(probe[at] & probe[at + step])]
+            if more.shape[1]:
+                apart = np.bitwise_count(fp[near] ^ fp[near + step]) + np.bitwise_count(more[near] ^ more[near + step]).sum(axis=1, dtype=np.int64)
+                near = near[apart <= wide]
             found.append((rep[near], rep[near + step]))
             held += len(near)
             if held > 1_000_000:
@@ -182,7 +209,9 @@ def _compare(distance: int):
 
         for batch in batches:
             arrays = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            kept.append([arrays[0], arrays[1], arrays[2].astype(bool), arrays[3], arrays[4].view(np.uint64)])
+            more = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0), np.uint64)
+            kept.append([arrays[0], arrays[1], arrays[2].astype(bool), arrays[3], arrays[4].view(np.uint64), more])
+            kept[:] = [k for k in kept if len(k[0])]
             if sum(len(k[0]) for k in kept) > 200_000:
                 yield flush(False)
         if kept:
@@ -191,37 +220,52 @@ def _compare(distance: int):
     return run
 
 
-def near_links(entries: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Spanning links (a, b) between the entries (rep, fp) whose fingerprints differ in at most ``distance`` bits."""
-    sample = entries.orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
-    rows = entries.mapInArrow(_file(plan(sample, max(1, entries.count()), distance)), "mask bigint, value bigint, probe boolean, rep bigint, fp bigint")
+def near_links(entries: DataFrame, distance: int = DISTANCE, wide: int = DISTANCE) -> DataFrame:
+    """Spanning links (a, b) between the entries (rep, fp, more) that differ in at most ``distance`` bits of fp and ``wide`` of all."""
+    sample = entries.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
+    rows = entries.select("rep", "fp", "more").mapInArrow(_file(plan(sample, max(1, entries.count()), distance)), ROW_SCHEMA)
     links, key = [], ["mask", "value"]
     while True:
         large = written(rows.groupBy(key).count().filter(F.col("count") > BUCKET).select(key), "large")
         any_large = bool(large.take(1))
         small = rows.join(large, key, "left_anti") if any_large else rows
-        found = small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(distance), "a bigint, b bigint")
+        found = small.select(ROW).repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(distance, wide), "a bigint, b bigint")
         links.append(written(found, "near"))
         if not any_large:
-            dropped(large)
             break
-        rows = written(rows.join(large, key, "left_semi").select("mask", "value", "probe", "rep", "fp").mapInArrow(_refile(distance), rows.schema), "refiled")
+        rows = written(rows.join(large, key, "left_semi").select(ROW).mapInArrow(_refile(distance), ROW_SCHEMA), "refiled")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, distance: int = DISTANCE, parts: int = 1, wide: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of at most ``distance`` bits. Null
-    and empty texts have fingerprint 0. Rows with equal doc_id are one node; a row with a
-    null doc_id takes the component of its fingerprint if another row has that one, else null.
-    Other columns are ignored; an empty table gives no row.
+    component_id is the smallest doc_id reachable over links of at most ``distance`` differing
+    bits of the first 64, and ``wide`` of all 64 * ``parts``. Null and empty texts have
+    fingerprint 0. Rows with equal doc_id are one node; a row with a null doc_id takes the
+    component of its fingerprint if another row has that one, else null. Other columns are
+    ignored; an empty table gives no row.
+    """
+    rows = written(fingerprints(docs, words_per_shingle, parts), "fingerprints")
+    key = ["fp", "more"]
+    entries = written(rows.groupBy(key).agg(F.min("doc_id").alias("rep")), "entries")
+    groups = components(near_links(entries.filter(F.col("rep").isNotNull()), distance, wide))
+    known = written(entries.join(groups, entries["rep"] == groups["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "members")
+    return rows.join(known, key).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+    """``docs`` without near copies: of each component the rows of its smallest doc_id stay, repeated rows once.
+
+    Two texts count as near copies when their 64 * ``parts`` SimHash bits differ no more than
+    is usual (one standard deviation above the mean; 1.5 for the first 64 bits, which find the
+    candidates) at a Jaccard similarity of ``similarity``. A row with a null doc_id stays if no
+    other row has its fingerprint.
     """
-    rows = written(fingerprints(docs, words_per_shingle), "fingerprints")
-    entries = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep", "fp"), "entries")
-    groups = components(near_links(entries.filter(F.col("rep").isNotNull()), distance))
-    known = written(entries.join(groups, entries["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "members")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    found = near_duplicates(docs, words_per_shingle, allowed(similarity, BITS, 1.5), parts, allowed(similarity, BITS * parts))
+    stay = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
