@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, simhash, token_counts, token_file
+from . import decontaminate, language, packing, simhash, token_counts, token_file
 from .scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,10 @@ hits AS (SELECT doc_id, item_id, text, count(*) AS shared FROM ds JOIN bs USING
 SELECT doc_id, item_id, shared / shingles AS containment, shared, shingles
 FROM hits JOIN n USING (item_id, text) WHERE shared >= 0.8 * shingles - 1e-9
 """)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
