@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, packing, simhash, token_counts, token_file
+from . import decontaminate, language, packing, quality, simhash, token_counts, token_file
 from .scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs.select("doc_id", "text"), language.train(docs))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs)).select("doc_id", F.col("quality_score").alias("score"), F.col("quality_posterior").alias("posterior"), F.col("quality_keep").alias("keep"))
