@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, packing, quality, simhash, token_counts, token_file
+from . import decontaminate, language, packing, quality, shards, simhash, token_counts, token_file
 from .scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.train(docs)).select("doc_id", F.col("quality_score").alias("score"), F.col("quality_posterior").alias("posterior"), F.col("quality_keep").alias("keep"))
+
+
+@query
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.assign(table(spark, sf_dir, "documents"), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
