@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | No
             encoder.trim()
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc, encoder.encode(text) + end)
-                if len(packer.out) > 20_000:
+                if len(packer.out) > (2_000 if keep_ids else 20_000):
                     yield packer.batch()
         packer.close()
         yield packer.batch()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, packing, quality, shards, simhash, token_counts, token_file, topk
+from . import decontaminate, language, licenses, packing, quality, shards, simhash, token_counts, token_file, topk
 from .scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,42 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, le
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """)
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no paths: a path is made of source and doc_id, and every 16th file is named LICENSE, at one of three depths."""
+    docs = table(spark, sf_dir, "documents")
+    place = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "source", F.expr("doc_id div 4096"))).otherwise(F.concat_ws("/", "source", F.expr("doc_id div 4096"), F.expr("doc_id div 256")))
+    path = F.when(F.expr("doc_id div 20 % 16 = 0"), F.concat(place, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat_ws("/", "source", F.expr("doc_id div 4096"), F.expr("doc_id div 256"), F.concat("doc_id", F.lit(".txt"))))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+sql("op7_licenses", r"""
+WITH tpl(template, license, text) AS (VALUES """ + ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES)) + r"""),
+f AS (SELECT doc_id, text, CASE WHEN doc_id // 20 % 16 = 0
+        THEN CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '/' || doc_id // 4096 ELSE source || '/' || doc_id // 4096 || '/' || doc_id // 256 END || '/LICENSE-' || doc_id
+        ELSE source || '/' || doc_id // 4096 || '/' || doc_id // 256 || '/' || doc_id || '.txt' END AS path FROM documents),
+files AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, path LIKE '%/LICENSE-%' AS named FROM f),
+tt AS (SELECT template, license, term, count(*) AS tf
+       FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) AS term FROM tpl) x GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.+-][a-z0-9]+)*'))) AS term FROM files) x GROUP BY term),
+idf AS (SELECT term, round(ln((1 + (SELECT count(text) FROM files))::DOUBLE / (1 + coalesce(n, 0))) + 1, 9) AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term)),
+tn AS (SELECT template, sqrt(sum((tf * idf) ** 2)) AS norm FROM tt JOIN idf USING (term) GROUP BY template),
+w AS (SELECT template, license, term, tf * idf / norm AS w FROM tt JOIN idf USING (term) JOIN tn USING (template)),
+u AS (SELECT doc_id, unnest(units) AS text, unnest(range(len(units))) AS unit
+      FROM (SELECT doc_id, string_split(text, chr(10)) || list_filter(regexp_split_to_array(text, '\n[^\S\n]*\n'), lambda p: contains(p, chr(10))) || CASE WHEN named THEN [text] ELSE [] END AS units FROM files) x),
+ut AS (SELECT doc_id, unit, term, count(*) * coalesce(any_value(idf), 1) AS v
+       FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.+-][a-z0-9]+)*')) AS term FROM u) x LEFT JOIN idf USING (term) GROUP BY ALL),
+un AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS norm FROM ut GROUP BY ALL),
+s AS (SELECT doc_id, license, round(sum(v * w) / any_value(norm), 6) AS score FROM ut JOIN w USING (term) JOIN un USING (doc_id, unit) GROUP BY doc_id, unit, template, license),
+own AS (SELECT doc_id, first(license ORDER BY score DESC, license) AS license, max(score) AS score FROM s WHERE score >= 0.75 GROUP BY doc_id),
+k AS (SELECT * FROM files LEFT JOIN own USING (doc_id)),
+given AS (SELECT dir AS above, first(license ORDER BY score DESC, license) AS given, max(score) AS given_score FROM k WHERE named AND license IS NOT NULL GROUP BY dir),
+heir AS (SELECT doc_id, first(above ORDER BY length(above) DESC) AS above, first(given ORDER BY length(above) DESC) AS given, first(given_score ORDER BY length(above) DESC) AS given_score
+         FROM k JOIN given ON above = '' OR dir = above OR starts_with(dir, above || '/') WHERE license IS NULL GROUP BY doc_id)
+SELECT doc_id, path, coalesce(license, given) AS license, coalesce(score, given_score) AS score,
+       CASE WHEN license IS NULL THEN CASE WHEN given IS NULL THEN 'none' ELSE 'inherited' END WHEN named THEN 'file' ELSE 'header' END AS basis, above AS licensed_by
+FROM k LEFT JOIN heir USING (doc_id)
+""")
