@@ -111,6 +111,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(rows, sorted({r[0] for r in rows}))
 
 
+def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
+    lang, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if known:
+        p = model.probabilities([letters(texts[i]) for i in known])
+        score[known] = p.max(axis=1)
+        rejected[known] = score[known] < model.least
+        for i, best in zip(known, p.argmax(axis=1).tolist()):
+            lang[i] = model.languages[best]
+    return lang, score, rejected
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected; only the text is looked at.
 
@@ -123,18 +136,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.languages else []
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if known:
-                p = model.probabilities([letters(texts[i]) for i in known])
-                score[known] = p.max(axis=1)
-                for i, best in zip(known, p.argmax(axis=1).tolist()):
-                    lang[i] = model.languages[best]
-            rejected = np.ones(len(texts), bool)
-            rejected[known] = score[known] < model.least
+            lang, score, rejected = judge(shared.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names, *ADDED])
 
     schema = rest.select("*", *(F.lit(x).alias(c) for c, x in zip(ADDED, ("", 0.0, False)))).schema
@@ -142,5 +145,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs``, same columns, without the texts that a model trained on them rejects. The table may not have columns named as in ``ADDED``."""
-    return predict(docs, train(docs, per_language)).filter(~F.col(ADDED[2])).select(docs.columns)
+    """``docs``, same columns, without the texts that a model trained on them rejects."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~judge(shared.value, batch.column(at).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,8 +8,9 @@ two linked entries differ in at most T_i bits of some partition. A dynamic progr
 m and the thresholds that make probes and estimated candidates cheapest. An entry is filed
 under its value of a partition and, up to T_i, probes the values nearby; entries of a bucket
 are compared inside the task, and only a spanning forest of the links found leaves it. A
-bucket above ``BUCKET`` entries is filed again under parts of its remaining bits (pigeonhole
-once more), until all are small: no entry is dropped and no group meets whole in one task.
+bucket above ``BUCKET`` rows is filed again under parts of its remaining bits (pigeonhole once
+more, ``AGAIN`` times at most); one that is dense even then is cut into pieces, and each pair
+of pieces is compared on its own. No entry is dropped and no large group meets in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .scratch import written
 
-BITS, DISTANCE, SEED, SAMPLE, BUCKET = 64, 3, 42, 1024, 40_000
+BITS, DISTANCE, SEED, SAMPLE, BUCKET, AGAIN = 64, 3, 42, 1024, 40_000, 2
 #: Relative costs of a row that is shuffled and of a candidate that is compared.
 ROW_COST, PAIR_COST = 1.0, 0.002
 
@@ -121,6 +122,7 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[tuple
 
 
 ROW = ["mask", "value", "probe", "rep", "fp", "more"]
+KEY = ["mask", "value", "piece"]
 ROW_SCHEMA = "mask bigint, value bigint, probe boolean, rep bigint, fp bigint, more binary"
 
 
@@ -174,11 +176,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(distance: int, wide: int):
-    """Links inside the buckets of a partition sorted by (mask, value), as a forest; at most one incomplete bucket is carried over."""
+    """Links inside the buckets of a partition sorted by ``KEY``, as a forest; at most one incomplete bucket is carried over."""
 
     def links(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        mask, value, probe, rep, fp, more = rows
-        bucket = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])) if len(mask) else mask
+        mask, value, probe, rep, fp, more, piece = rows
+        bucket = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])])) if len(mask) else mask
         found, held, at, step = [], 0, np.arange(len(mask)), 0
         while len(at):
             step += 1
@@ -200,9 +202,8 @@ def _compare(distance: int, wide: int):
 
         def flush(last: bool):
             rows = [np.concatenate(c) for c in zip(*kept)]
-            whole = len(rows[0]) if last else np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1:].sum() + 1
-            if not last and whole == 1 and (rows[0][0] == rows[0][-1]) and (rows[1][0] == rows[1][-1]):
-                whole = 0
+            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[6] != rows[6][-1]))
+            whole = len(rows[0]) if last else other[-1] + 1 if len(other) else 0
             a, b = links([c[:whole] for c in rows])
             kept[:] = [[c[whole:] for c in rows]]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -210,7 +211,7 @@ def _compare(distance: int, wide: int):
         for batch in batches:
             arrays = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             more = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0), np.uint64)
-            kept.append([arrays[0], arrays[1], arrays[2].astype(bool), arrays[3], arrays[4].view(np.uint64), more])
+            kept.append([arrays[0], arrays[1], arrays[2].astype(bool), arrays[3], arrays[4].view(np.uint64), more, batch.column(6).to_numpy(zero_copy_only=False)])
             kept[:] = [k for k in kept if len(k[0])]
             if sum(len(k[0]) for k in kept) > 200_000:
                 yield flush(False)
@@ -224,22 +225,34 @@ def near_links(entries: DataFrame, distance: int = DISTANCE, wide: int = DISTANC
     """Spanning links (a, b) between the entries (rep, fp, more) that differ in at most ``distance`` bits of fp and ``wide`` of all."""
     sample = entries.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
     rows = entries.select("rep", "fp", "more").mapInArrow(_file(plan(sample, max(1, entries.count()), distance)), ROW_SCHEMA)
-    links, key = [], ["mask", "value"]
-    while True:
-        large = written(rows.groupBy(key).count().filter(F.col("count") > BUCKET).select(key), "large")
-        any_large = bool(large.take(1))
-        small = rows.join(large, key, "left_anti") if any_large else rows
-        found = small.select(ROW).repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare(distance, wide), "a bigint, b bigint")
-        links.append(written(found, "near"))
-        if not any_large:
+    links = []
+    for turn in range(AGAIN + 1):
+        counts = written(rows.groupBy("mask", "value").count().filter(F.col("count") > BUCKET), "large")
+        large = bool(counts.take(1))
+        small = rows.join(counts, ["mask", "value"], "left_anti") if large else rows
+        links.append(_linked(small.withColumn("piece", F.lit(0)), distance, wide))
+        if not large:
             break
-        rows = written(rows.join(large, key, "left_semi").select(ROW).mapInArrow(_refile(distance), ROW_SCHEMA), "refiled")
+        rows = rows.join(counts, ["mask", "value"], "left_semi" if turn < AGAIN else "inner")
+        if turn < AGAIN:
+            rows = written(rows.select(ROW).mapInArrow(_refile(distance), ROW_SCHEMA), "refiled")
+        else:
+            # About BUCKET / 2 rows a piece; each row goes to the pairs of its piece with every piece.
+            n = F.ceil(2 * F.col("count") / BUCKET).cast("int")
+            own, other = F.pmod(F.xxhash64("rep", "fp", "probe"), n).cast("int"), F.explode(F.sequence(F.lit(0), n - 1))
+            pairs = rows.select(*ROW, n.alias("n"), own.alias("own"), other.alias("other"))
+            links.append(_linked(pairs.withColumn("piece", F.least("own", "other") * F.col("n") + F.greatest("own", "other") + 1), distance, wide))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _linked(rows: DataFrame, distance: int, wide: int) -> DataFrame:
+    ordered = rows.select(*ROW, F.col("piece").cast("int").alias("piece")).repartition(*KEY).sortWithinPartitions(*KEY)
+    return written(ordered.mapInArrow(_compare(distance, wide), "a bigint, b bigint"), "near")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, distance: int = DISTANCE, parts: int = 1, wide: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs`` (doc_id, text).
 
