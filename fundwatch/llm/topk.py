@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import dropped, written
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PIVOTS, ANNULI, SAMPLE, UNIT, BLOCK, FIRST, SEED = 32, 8, 4096, 2048, 1024, 4, 3
 
 
@@ -221,8 +222,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     def visit(queries: DataFrame, rest: bool) -> DataFrame:
         wanted = queries.mapInArrow(_wanted(shared, FIRST, rest), "annulus int, slice int, query_id bigint")
         blocked = wanted.join(asked, "query_id").groupBy("annulus", "slice", blocks.alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("query").alias("queries"))
+        blocked = written(blocked, "blocks")
         met = blocked.join(units, ["annulus", "slice"]).select("ids", "vectors", "query_ids", "queries")
-        return written(_best(met.mapInArrow(_scored(k), "query_id bigint, vec_id bigint, score bigint"), k).select("query_id", "vec_id", "score"), "scores")
+        # A row holds a slice and a block of queries, so few go to Python at a time.
+        rows = spark.conf.get(BATCH)
+        spark.conf.set(BATCH, "4")
+        try:
+            return written(_best(met.mapInArrow(_scored(k), "query_id bigint, vec_id bigint, score bigint"), k).select("query_id", "vec_id", "score"), "scores")
+        finally:
+            spark.conf.set(BATCH, rows)
 
     near = visit(asked.select("query_id", "query"), False)
     bound = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("worst"))
