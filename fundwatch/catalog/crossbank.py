@@ -65,7 +65,7 @@ def x05(spark, sf):
 @query("x06_acknowledged", with_(TX, REPORTS, "SELECT account_hash, account_hash < '8' AS is_acknowledged FROM alerts"))
 def x06(spark, sf):
     a = X.cross_bank_alerts(reports(spark, sf))
-    return X.acknowledged(a, a.filter(F.col("account_hash") < "8").select("alert_id")).select("account_hash", "is_acknowledged")
+    return X.acknowledged(a, a.filter(F.col("account_hash") < "8").select("account_hash")).select("account_hash", "is_acknowledged")
 
 
 def weights(spark, sf):

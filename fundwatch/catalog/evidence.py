@@ -118,10 +118,11 @@ def e07(spark, sf):
 
 
 @query("e08_case_ids", with_(TX, """SELECT transaction_id, CASE WHEN is_fraud = 1 THEN 'CASE-' || transaction_id WHEN channel = 'UPI' THEN 'CASE-' || replace(location_city, ' ', '_')
-  ELSE 'CASE-ANON-' || substr(sha256('anonymous_case'), 1, 10) END AS case_id FROM tx"""))
+  ELSE 'CASE-ANON-' || substr(sha256('anonymous_case'), 1, 10) END AS case_id, 'CASE-' || substr(repeat(transaction_id || '-', 9), 1, 32) AS label FROM tx"""))
 def e08(spark, sf):
     made = E.case_id(F.when(F.col("is_fraud") == 1, F.col("transaction_id")), F.when(F.col("channel") == "UPI", F.col("location_city")))
-    return transfers(spark, sf).select("transaction_id", made.alias("case_id"))
+    label = E.case_label(E.case_id(F.repeat(F.concat("transaction_id", F.lit("-")), 9)))
+    return transfers(spark, sf).select("transaction_id", made.alias("case_id"), label.alias("label"))
 
 
 @query("e09_valid_provenance", with_(TX, """SELECT transaction_id FROM tx WHERE channel <> 'CARD' AND is_fraud = 0 AND k % 3 <> 0"""))
@@ -242,7 +243,7 @@ def e22(spark, sf):
     from .fusion import raw_score
 
     tx = transfers(spark, sf)
-    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=3)
+    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, cycle_depth=3)
     value = lambda m: F.element_at("signals", m)["value"].alias(m)
     return r.cases.select("case_id", "subject_id", "rule_score", value("rules"), value("temporal"), value("graph"), raw_score())
 
@@ -250,6 +251,6 @@ def e22(spark, sf):
 @query("e22_case_packages")
 def e22_packages(spark, sf):
     tx = transfers(spark, sf)
-    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=3)
+    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, cycle_depth=3)
     acts = r.actions.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("action_id")), ",").alias("actions"))
     return r.packages.join(acts, "case_id").select("case_id", "risk_level", "total_evidence", "n_critical", "actions", "narrative", "risk_summary", "evidence_summary")

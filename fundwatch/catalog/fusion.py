@@ -16,12 +16,12 @@ from ..schema import MODALITIES
 from ..sources.driver_tables import accounts, transfers
 from ..sources.ingest import build_graph
 from .base import LEGS, TX, query, with_
-from .graph import ALL, DENSITY, EDGES, FAN, PAIRS, SHARED, ego_sql
+from .graph import FOCAL, DENSITY, EDGES, FAN, PAIRS, SHARED, ego_sql
 from .rules import CONTEXT, evaluated_sql
 from .temporal import LAST, PAIRS as PASS_PAIRS, RECORD, ROLLING, SUMMARY, burst_sql
 
 TEMPORAL = (ROLLING, LAST, burst_sql(5), PASS_PAIRS, SUMMARY, RECORD)
-GRAPH = (ALL, EDGES, PAIRS, ego_sql(1), FAN, DENSITY, SHARED, """gsig AS MATERIALIZED (SELECT account, circ.account IS NOT NULL AS has_cycle, fan_in_ratio, fan_out_ratio, neighbourhood_density,
+GRAPH = (FOCAL, EDGES, PAIRS, ego_sql(1), FAN, DENSITY, SHARED, """gsig AS MATERIALIZED (SELECT account, circ.account IS NOT NULL AS has_cycle, fan_in_ratio, fan_out_ratio, neighbourhood_density,
   coalesce(shared_device_count, 0) AS shared_device_count, coalesce(shared_ip_count, 0) AS shared_ip_count FROM focal JOIN fm USING (account) JOIN dens USING (account)
   LEFT JOIN circ USING (account) LEFT JOIN (SELECT account, count(*) FILTER (kind = 'device' AND accounts > 1) AS shared_device_count,
     count(*) FILTER (kind = 'ip' AND accounts > 1) AS shared_ip_count FROM shared GROUP BY 1) USING (account))""")

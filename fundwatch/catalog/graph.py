@@ -10,9 +10,8 @@ from ..sources.driver_tables import transfers
 from ..sources.ingest import build_graph, link_edges
 from .base import TX, query, with_
 
-REVIEW = 400_000.0
-FOCAL = f"""focal AS MATERIALIZED (SELECT DISTINCT unnest([sender_account, receiver_account]) AS account FROM tx WHERE amount >= {REVIEW})"""
-ALL = "focal AS MATERIALIZED (SELECT DISTINCT unnest([sender_account, receiver_account]) AS account FROM tx)"
+LARGE = 200_000.0
+FOCAL = "focal AS MATERIALIZED (SELECT DISTINCT unnest([sender_account, receiver_account]) AS account FROM tx)"
 PAIRS = "pr AS MATERIALIZED (SELECT sender_account AS s, receiver_account AS d, count(*) AS n, sum(amount) AS amount FROM tx GROUP BY 1, 2)"
 EDGES = """edges AS MATERIALIZED (SELECT 'account:' || sender_account AS src, 'account:' || receiver_account AS dst, transaction_id AS key, 'TRANSFERRED_FUNDS' AS rel FROM tx
   UNION ALL SELECT DISTINCT 'account:' || sender_account, 'device:' || device_id, 'd', 'USES_DEVICE' FROM tx
@@ -45,10 +44,6 @@ def _edges(spark, sf):
     return _graph(spark, sf)[1]
 
 
-def _focal(spark, sf):
-    return G.accounts_in_large_transfers(transfers(spark, sf), REVIEW)
-
-
 def _everyone(spark, sf):
     return G.accounts_in_large_transfers(transfers(spark, sf), 0.0)
 
@@ -75,7 +70,7 @@ def g04(spark, sf):
     return G.fan_metrics(_edges(spark, sf))
 
 
-@query("g05_ego_one_hop_all_accounts", with_(TX, ALL, EDGES, ego_sql(1), "SELECT account, node, depth FROM ego"))
+@query("g05_ego_one_hop_all_accounts", with_(TX, FOCAL, EDGES, ego_sql(1), "SELECT account, node, depth FROM ego"))
 def g05_one(spark, sf):
     nodes, edges = _graph(spark, sf)
     return G.ego_nodes(nodes, edges, _everyone(spark, sf), 1).select("account", "node", "depth")
@@ -84,16 +79,16 @@ def g05_one(spark, sf):
 @query("g05_ego_two_hops", with_(TX, FOCAL, EDGES, ego_sql(2), "SELECT account, node, depth FROM ego"))
 def g05_two(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.ego_nodes(nodes, edges, _focal(spark, sf), 2).select("account", "node", "depth")
+    return G.ego_nodes(nodes, edges, _everyone(spark, sf), 2).select("account", "node", "depth")
 
 
 @query("g05_ego_edges", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT a.account, rel AS relationship, count(*) AS edges FROM edges JOIN ego a ON a.node = src JOIN ego b ON b.node = dst AND b.account = a.account GROUP BY 1, 2"""))
 def g05_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.ego(nodes, edges, _focal(spark, sf), 1)[1].groupBy("account", "relationship").agg(F.count(F.lit(1)).alias("edges"))
+    return G.ego(nodes, edges, _everyone(spark, sf), 1)[1].groupBy("account", "relationship").agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("g06_neighbour_counts", with_(TX, ALL, EDGES, ego_sql(1), """SELECT account, count(*) FILTER (node LIKE 'account:%' AND node <> 'account:' || account) AS neighbouring_accounts,
+@query("g06_neighbour_counts", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT account, count(*) FILTER (node LIKE 'account:%' AND node <> 'account:' || account) AS neighbouring_accounts,
   count(*) FILTER (node LIKE 'device:%') AS neighbouring_devices, count(*) FILTER (node LIKE 'ip:%') AS neighbouring_ips,
   count(*) FILTER (node LIKE 'account:%') AS account_nodes, count(*) AS subgraph_nodes FROM ego GROUP BY 1"""))
 def g06(spark, sf):
@@ -106,7 +101,7 @@ DENSITY = """dens AS MATERIALIZED (SELECT n.account, CASE WHEN n.n >= 2 THEN rou
   LEFT JOIN (SELECT a.account, count(*) AS n FROM pr JOIN ego a ON a.node = 'account:' || s JOIN ego b ON b.node = 'account:' || d AND b.account = a.account GROUP BY 1) p ON p.account = n.account)"""
 
 
-@query("g07_density", with_(TX, ALL, EDGES, PAIRS, ego_sql(1), DENSITY, "SELECT * FROM dens"))
+@query("g07_density", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(1), DENSITY, "SELECT * FROM dens"))
 def g07(spark, sf):
     nodes, edges = _graph(spark, sf)
     return G.density(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
@@ -130,7 +125,7 @@ SUMMARY_SQL = """CASE WHEN reachable_accounts > 0 THEN 'Account ' || account ||
   || max_path_length || ' hops.' ELSE 'Account ' || account || ' has no downstream fund transfers.' END"""
 
 
-@query("g08_reach_one_hop_all_accounts", with_(TX, ALL, EDGES, PAIRS, ego_sql(1), reach_sql(5), f"SELECT *, {SUMMARY_SQL} AS path_summary FROM reach"))
+@query("g08_reach_one_hop_all_accounts", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(1), reach_sql(5), f"SELECT *, {SUMMARY_SQL} AS path_summary FROM reach"))
 def g08(spark, sf):
     nodes, edges = _graph(spark, sf)
     return G.reach(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
@@ -139,7 +134,7 @@ def g08(spark, sf):
 @query("g08_reach_two_hops", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(2), reach_sql(5), f"SELECT *, {SUMMARY_SQL} AS path_summary FROM reach"))
 def g08_two(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.reach(G.ego_nodes(nodes, edges, _focal(spark, sf), 2), edges)
+    return G.reach(G.ego_nodes(nodes, edges, _everyone(spark, sf), 2), edges)
 
 
 CYCLES3 = """cyc AS MATERIALIZED (SELECT s AS account, [s, s] AS path FROM pr WHERE s = d
@@ -153,19 +148,10 @@ def g09(spark, sf):
     return c.select("start", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
-LARGE = 200_000.0
-
-
-@query("g09_cycles_five_hops_large_transfers", with_(TX, f"""lp AS MATERIALIZED (SELECT DISTINCT sender_account AS s, receiver_account AS d FROM tx WHERE amount >= {LARGE})""", """wr AS (
-    SELECT path, len(path) - 1 AS hops, path[1] AS start, path[-1] AS last FROM (SELECT [s, d] AS path FROM lp WHERE d >= s))""", """RECURSIVE_PLACEHOLDER""").replace(
-    "WITH ", "WITH RECURSIVE ", 1).replace(""",
-wr AS (
-    SELECT path, len(path) - 1 AS hops, path[1] AS start, path[-1] AS last FROM (SELECT [s, d] AS path FROM lp WHERE d >= s))
-RECURSIVE_PLACEHOLDER""", """,
-g(start, last, path) AS (SELECT s, d, [s, d] FROM lp WHERE d >= s
+@query("g09_cycles_five_hops_large_transfers", "WITH RECURSIVE " + ",\n".join((TX, f"lp AS MATERIALIZED (SELECT DISTINCT sender_account AS s, receiver_account AS d FROM tx WHERE amount >= {LARGE})", """g(start, last, path) AS (SELECT s, d, [s, d] FROM lp WHERE d >= s
   UNION ALL SELECT g.start, lp.d, list_append(g.path, lp.d) FROM g JOIN lp ON lp.s = g.last
-    WHERE g.start <> g.last AND len(g.path) < 6 AND lp.d >= g.start AND (lp.d = g.start OR NOT list_contains(g.path, lp.d)))
-SELECT start, array_to_string(path, '>') AS path, len(path) - 1 AS length FROM g WHERE start = last"""))
+    WHERE g.start <> g.last AND len(g.path) < 6 AND lp.d >= g.start AND (lp.d = g.start OR NOT list_contains(g.path, lp.d)))""")) + """
+SELECT start, array_to_string(path, '>') AS path, len(path) - 1 AS length FROM g WHERE start = last""")
 def g09_large(spark, sf):
     tx = transfers(spark, sf).filter(F.col("amount") >= LARGE)
     c = G.cycles(build_graph(tx)[1], max_depth=5)
@@ -185,7 +171,7 @@ def g10_metrics(spark, sf):
     return m.select("account", "cycle_count", F.col("shortest_cycle").cast("long").alias("shortest_cycle"), F.size("cycle_nodes").cast("long").alias("cycle_nodes"))
 
 
-SEEDS = f"seeds AS MATERIALIZED (SELECT transaction_id AS trace_id, sender_account AS u, receiver_account AS v FROM tx WHERE amount >= {REVIEW})"
+SEEDS = f"seeds AS MATERIALIZED (SELECT transaction_id AS trace_id, sender_account AS u, receiver_account AS v FROM tx WHERE amount >= {LARGE})"
 
 
 def trace_sql(depth: int) -> str:
@@ -198,17 +184,17 @@ def trace_sql(depth: int) -> str:
     return ",\n".join(parts)
 
 
-@query("g11_trace_edges", with_(TX, PAIRS, trace_sql(3), "SELECT trace_id, transaction_id FROM path"))
+@query("g11_trace_edges", with_(TX, PAIRS, trace_sql(5), "SELECT trace_id, transaction_id FROM path"))
 def g11(spark, sf):
     edges = _edges(spark, sf)
-    seeds = transfers(spark, sf).filter(F.col("amount") >= REVIEW)
-    return G.trace(edges, seeds, 3)[0].select("trace_id", F.col("key").alias("transaction_id"))
+    seeds = transfers(spark, sf).filter(F.col("amount") >= LARGE)
+    return G.trace(edges, seeds, 5)[0].select("trace_id", F.col("key").alias("transaction_id"))
 
 
 @query("g11_trace_summary", with_(TX, PAIRS, trace_sql(5), """SELECT trace_id, edge_count, accounts, max_depth, 'Funds were traced across ' || edge_count || ' hops involving ' || accounts || ' unique accounts. Layering detected.' AS path_summary
   FROM (SELECT trace_id, count(*) AS edge_count FROM path GROUP BY 1) JOIN (SELECT trace_id, count(*) AS accounts, max(depth) AS max_depth FROM visited GROUP BY 1) USING (trace_id)"""))
 def g11_summary(spark, sf):
-    seeds = transfers(spark, sf).filter(F.col("amount") >= REVIEW)
+    seeds = transfers(spark, sf).filter(F.col("amount") >= LARGE)
     return G.trace(_edges(spark, sf), seeds, 5)[1]
 
 
@@ -217,7 +203,7 @@ def g11_summary(spark, sf):
   """SELECT account, array_to_string(keys, '>') AS keys, hops, position FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY hops, keys) AS position FROM (
     SELECT account, keys, 1 AS hops FROM one UNION ALL SELECT account, keys, 2 FROM two)) WHERE position <= 25"""))
 def g12(spark, sf):
-    p = G.money_paths(_edges(spark, sf), _focal(spark, sf), max_depth=2)
+    p = G.money_paths(_edges(spark, sf), _everyone(spark, sf), max_depth=5, limit=25)
     return p.select("account", F.array_join("keys", ">").alias("keys"), "hops", F.col("position").cast("long").alias("position"))
 
 
@@ -250,7 +236,7 @@ feats AS MATERIALIZED (SELECT account, fm.* EXCLUDE (account), neighbouring_acco
   max_path_length, coalesce(cycle_count, 0) AS cycle_count, coalesce(shortest_cycle, 0) AS shortest_cycle, cycle_count IS NOT NULL AS has_cycle,
   coalesce(shared_device_count, 0) AS shared_device_count, coalesce(shared_ip_count, 0) AS shared_ip_count
   FROM focal JOIN fm USING (account) JOIN nc USING (account) JOIN dens USING (account) JOIN reach USING (account) LEFT JOIN cm USING (account) LEFT JOIN sc USING (account))"""
-FEATURE_CTES = (EDGES, PAIRS, ego_sql(2), FAN, DENSITY, reach_sql(3), CYCLES3, SHARED, FEATURES)
+FEATURE_CTES = (EDGES, PAIRS, ego_sql(2), FAN, DENSITY, reach_sql(5), CYCLES3, SHARED, FEATURES)
 COLUMNS = ["account", "in_degree", "out_degree", "total_degree", "unique_senders", "unique_receivers", "inbound_volume", "outbound_volume", "fan_in_ratio", "fan_out_ratio",
            "neighbouring_accounts", "neighbouring_devices", "neighbouring_ips", "subgraph_nodes", "neighbourhood_density", "reachable_accounts", "upstream_accounts",
            "max_path_length", "cycle_count", "has_cycle", "shared_device_count", "shared_ip_count"]
@@ -263,7 +249,7 @@ SIGNALS = """signals AS MATERIALIZED (SELECT account, 'HIGH_FAN_IN: ' || unique_
 
 def features(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.graph_features(nodes, edges, _focal(spark, sf), hops=2, max_depth=3)
+    return G.graph_features(nodes, edges, _everyone(spark, sf), hops=2, max_depth=5, cycle_depth=3)
 
 
 @query("g15_signals", with_(TX, FOCAL, *FEATURE_CTES, SIGNALS, "SELECT account, string_agg(signal, '|' ORDER BY signal) AS signals FROM signals GROUP BY 1"))
@@ -277,25 +263,24 @@ def g16(spark, sf):
 
 
 @query("g17_event_features", with_(TX, FOCAL, *FEATURE_CTES, f"""SELECT transaction_id, s.in_degree AS sender_in_degree, s.cycle_count AS sender_cycle_count, r.reachable_accounts AS receiver_reachable_accounts,
-  r.fan_in_ratio AS receiver_fan_in_ratio FROM tx LEFT JOIN feats s ON s.account = sender_account LEFT JOIN feats r ON r.account = receiver_account WHERE amount >= {REVIEW}"""))
+  r.fan_in_ratio AS receiver_fan_in_ratio FROM tx LEFT JOIN feats s ON s.account = sender_account LEFT JOIN feats r ON r.account = receiver_account"""))
 def g17(spark, sf):
-    large = transfers(spark, sf).filter(F.col("amount") >= REVIEW)
-    return G.event_graph_features(large, features(spark, sf)).select("transaction_id", "sender_in_degree", "sender_cycle_count", "receiver_reachable_accounts", "receiver_fan_in_ratio")
+    return G.event_graph_features(transfers(spark, sf), features(spark, sf)).select("transaction_id", "sender_in_degree", "sender_cycle_count", "receiver_reachable_accounts", "receiver_fan_in_ratio")
 
 
 @query("g18_contributing_nodes", with_(TX, FOCAL, EDGES, ego_sql(2), "SELECT account, node FROM ego"))
 def g18(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.contributing_nodes(G.ego_nodes(nodes, edges, _focal(spark, sf), 2))
+    return G.contributing_nodes(G.ego_nodes(nodes, edges, _everyone(spark, sf), 2))
 
 
 @query("g18_contributing_transactions", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT DISTINCT a.account, key AS transaction_id FROM edges JOIN ego a ON a.node = src JOIN ego b ON b.node = dst AND b.account = a.account WHERE rel = 'TRANSFERRED_FUNDS'"""))
 def g18_tx(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.contributing_transactions(G.ego_nodes(nodes, edges, _focal(spark, sf), 1), edges)
+    return G.contributing_transactions(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
 
 
-@query("g19_unseen_accounts", with_(TX, ALL, """SELECT 'ACC-' || s_suppkey AS account, f.account IS NOT NULL AS in_graph, CASE WHEN f.account IS NULL THEN 'Account ACC-' || s_suppkey || ' not found in graph topology.' ELSE 'known' END AS path_summary
+@query("g19_unseen_accounts", with_(TX, FOCAL, """SELECT 'ACC-' || s_suppkey AS account, f.account IS NOT NULL AS in_graph, CASE WHEN f.account IS NULL THEN 'Account ACC-' || s_suppkey || ' not found in graph topology.' ELSE 'known' END AS path_summary
   FROM supplier LEFT JOIN focal f ON f.account = 'ACC-' || s_suppkey"""))
 def g19(spark, sf):
     from ..sources.driver_tables import table

@@ -181,11 +181,12 @@ def s14_edges(spark, sf):
   SELECT 'acc-' || sender_account AS id, 'account' AS type, round_even(risk_score, 0) AS risk, is_fraud = 1 AS is_mule, (us, transaction_id, 0) AS ord FROM tx
   UNION ALL SELECT 'acc-' || receiver_account, CASE WHEN k % 11 = 0 THEN 'victim' ELSE 'account' END,
     round_even(CASE WHEN is_fraud = 1 THEN risk_score * 0.8 ELSE risk_score END, 0), false, (us, transaction_id, 1) FROM tx
+  UNION ALL SELECT 'dev-' || device_id, 'device', 10, false, (us, transaction_id, 2) FROM tx
   UNION ALL SELECT 'ip-' || ip_address, 'ip', 15, false, (us, transaction_id, 3) FROM tx)"""]),
   """SELECT id, arg_min(type, ord) AS type, arg_min(risk, ord)::INT AS risk_score, arg_min(is_mule, ord) AS is_mule FROM seen GROUP BY id"""))
 def s14_nodes(spark, sf):
     nodes, _ = I.export_graph(_export_input(spark, sf))
-    return nodes.filter(F.col("type") != "device").select("id", "type", "risk_score", "is_mule")
+    return nodes.select("id", "type", "risk_score", "is_mule")
 
 
 @query("s15_write_scored", with_(TX, "SELECT CAST(ts AS DATE)::VARCHAR AS dt, count(*) AS transfers, sum(risk_score) AS score FROM tx GROUP BY 1"))

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.session import cut
 from ..operators import features as T
 from ..operators import ml as M
-from ..operators.graph import fan_metrics, shared_counts, shared_entities
 from ..operators.temporal import temporal_features
 from ..sources.driver_tables import transfers
-from ..sources.ingest import build_graph
 from .base import TX, query, with_
-from .graph import FAN, SHARED
+from .graph import FEATURE_CTES, FOCAL, features as graph_record
 from .temporal import TEMPORAL
 
 NATIVE_SQL = """SELECT transaction_id, amount, round(log10(amount + 1), 4) AS log_amount, (channel = 'UPI')::INT::DOUBLE AS channel_upi, (channel = 'NEFT')::INT::DOUBLE AS channel_neft,
@@ -24,13 +22,10 @@ NATIVE_SQL = """SELECT transaction_id, amount, round(log10(amount + 1), 4) AS lo
   (hour(ts) < 6 OR hour(ts) >= 22)::INT::DOUBLE AS is_night"""
 
 
-def _graph_record(spark, sf):
-    edges = build_graph(transfers(spark, sf))[1]
-    return fan_metrics(edges).join(shared_counts(shared_entities(edges)), "account", "left")
-
-
 def _features(spark, sf):
-    return T.build_features(transfers(spark, sf), temporal_features(transfers(spark, sf)), _graph_record(spark, sf))
+    """The 57 features; the canonical transfers are written once and read by all three parts."""
+    tx = cut(transfers(spark, sf))
+    return T.build_features(tx, temporal_features(tx), graph_record(spark, sf))
 
 
 def _dataset(spark, sf, target="is_fraud"):
@@ -57,21 +52,41 @@ def m03(spark, sf):
                     "temporal_rapid_in_out_detected", F.round("temporal_rapid_in_out_ratio", 6).alias("temporal_rapid_in_out_ratio"))
 
 
-@query("m04_graph_join", with_(TX, FAN, SHARED, """SELECT transaction_id, in_degree::DOUBLE AS graph_in_degree, out_degree::DOUBLE AS graph_out_degree, fan_out_ratio AS graph_fan_out_ratio,
-  coalesce(n, 0)::DOUBLE AS graph_shared_ip_count FROM tx JOIN fm ON fm.account = sender_account LEFT JOIN (SELECT account, count(*) FILTER (kind = 'ip' AND accounts > 1) AS n FROM shared GROUP BY 1) s ON s.account = sender_account"""))
+# Written out, in the order of the vector: name, and its value in SQL.
+GRAPH_SQL = """in_degree AS graph_in_degree, out_degree AS graph_out_degree, total_degree AS graph_total_degree, unique_senders AS graph_unique_inbound_counterparties,
+  unique_receivers AS graph_unique_outbound_counterparties, fan_in_ratio AS graph_fan_in_ratio, fan_out_ratio AS graph_fan_out_ratio, neighbouring_accounts AS graph_neighboring_accounts_count,
+  neighbouring_devices AS graph_neighboring_devices_count, neighbouring_ips AS graph_neighboring_ips_count, neighbourhood_density AS graph_neighborhood_density,
+  reachable_accounts AS graph_reachable_node_count, max_path_length AS graph_max_downstream_path_length, has_cycle AS graph_has_cycle, cycle_count AS graph_cycle_count,
+  shared_device_count AS graph_shared_device_count, shared_ip_count AS graph_shared_ip_count"""
+GRAPH_DOUBLES = "gd AS MATERIALIZED (SELECT account, COLUMNS(* EXCLUDE (account))::DOUBLE FROM (SELECT account, " + GRAPH_SQL + " FROM feats))"
+
+
+@query("m04_graph_join", with_(TX, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, "SELECT transaction_id, gd.* EXCLUDE (account) FROM tx JOIN gd ON account = sender_account"))
 def m04(spark, sf):
-    return T.join_graph(transfers(spark, sf), _graph_record(spark, sf)).select("transaction_id", "graph_in_degree", "graph_out_degree", "graph_fan_out_ratio", "graph_shared_ip_count")
+    return T.join_graph(transfers(spark, sf), graph_record(spark, sf)).select("transaction_id", *T.GRAPH)
+
+
+VECTOR = f"""vec AS MATERIALIZED (SELECT n.*, account_age_days::DOUBLE AS v14, velocity_l6h::DOUBLE AS v15, 0.01::DOUBLE AS v16, 1.0::DOUBLE AS v17, 1.0::DOUBLE AS v18, 0.1::DOUBLE AS v19, user_risk_score::DOUBLE AS v20, 85.0::DOUBLE AS v21,
+  0.0::DOUBLE AS v22, 10.0::DOUBLE AS v23, 0.0::DOUBLE AS v24, 5.0::DOUBLE AS v25, is_vpn::INT::DOUBLE AS v26, 15.0::DOUBLE AS v27,
+  n_5m::DOUBLE AS v28, n_15m::DOUBLE AS v29, n_1h::DOUBLE AS v30, n_24h::DOUBLE AS v31, amount_5m::DOUBLE AS v32, amount_1h::DOUBLE AS v33, average_interval::DOUBLE AS v34,
+  (burst_count > 0 OR burst_detected)::INT::DOUBLE AS v35, burst_count::DOUBLE AS v36, rapid_in_out_detected::INT::DOUBLE AS v37, rapid_in_out_ratio::DOUBLE AS v38, activity_change_ratio::DOUBLE AS v39,
+  gd.* EXCLUDE (account), is_fraud::DOUBLE AS label
+  FROM ({NATIVE_SQL} FROM tx) n JOIN tx USING (transaction_id) JOIN temporal t ON t.account = sender_account JOIN gd ON gd.account = sender_account)"""
 
 
-@query("m05_feature_vector", with_(TX, """SELECT transaction_id, 57 AS size, amount AS first, velocity_l6h::DOUBLE AS velocity FROM tx"""))
+@query("m05_feature_vector", with_(TX, *TEMPORAL, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, generate_subscripts(v, 1)::INT - 1 AS position, round(unnest(v), 4) AS value
+  FROM (SELECT transaction_id, list_value(*COLUMNS(* EXCLUDE (transaction_id, label))) AS v FROM vec)"""))
 def m05(spark, sf):
     v = T.feature_vector(_features(spark, sf)).select("transaction_id", vector_to_array("features").alias("v"))
-    return v.select("transaction_id", F.size("v").alias("size"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(15)).alias("velocity"))
+    return v.select("transaction_id", F.posexplode("v").alias("position", "value")).withColumn("value", F.round("value", 4))
 
 
-@query("m06_dataset", with_(TX, "SELECT transaction_id, amount, is_fraud::DOUBLE AS label FROM tx"))
+@query("m06_dataset", with_(TX, *TEMPORAL, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, label, len(v) AS features, round(list_sum(v), 2) AS total
+  FROM (SELECT transaction_id, label, list_value(*COLUMNS(* EXCLUDE (transaction_id, label))) AS v FROM vec)"""))
 def m06(spark, sf):
-    return T.dataset(_features(spark, sf)).select("transaction_id", "amount", "label")
+    d = T.dataset(_features(spark, sf))
+    total = F.round(sum((F.col(c) for c in T.FEATURES), F.lit(0.0)), 2)
+    return d.select("transaction_id", "label", F.lit(len(T.FEATURES)).cast("long").alias("features"), total.alias("total"))
 
 
 @query("m07_split_chronological", with_(TX, """SELECT transaction_id, CASE WHEN r <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.85 + 1e-9) THEN 'validation' ELSE 'test' END AS split

@@ -83,9 +83,9 @@ def f09(spark, sf):
         "report_number", "victim_email", "incident_type", "amount_lost", F.sha2("description", 256).alias("description_hash"))
 
 
-@query("f10_build_complaints", with_(REPORTS, """SELECT report_number, report_type, 'Victim Complaint: ' || incident_type || ' — Victim ' || conv_id AS title FROM reports"""))
+@query("f10_build_complaints", with_(REPORTS, """SELECT sha256('TX-' || conv_id || ':' || text) AS report_key, report_number, report_type, 'Victim Complaint: ' || incident_type || ' — Victim ' || conv_id AS title FROM reports"""))
 def f10(spark, sf):
-    return _reports(spark, sf).select("report_number", "report_type", "title")
+    return _reports(spark, sf).select("report_key", "report_number", "report_type", "title")
 
 
 @query("f11_account_history", with_(TX, """SELECT account, transaction_id, side, position FROM (

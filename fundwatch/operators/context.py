@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import haversine_km, micros, number
+from ..functions.session import cut, lookup
 from ..functions.timeline import MONEY_SCALE, find_hot, money_units, neighbours, trailing, trailing_distinct
 from .dashboard import linked_accounts
 from .temporal import legs
@@ -104,14 +105,15 @@ LINKED = {"device_id": "linked_devices", "ip_address": "linked_ips", "beneficiar
 def linked_counts(tx: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Accounts sharing the transfer's device, IP and beneficiary; 1 when there is none.
 
-    The count per entity is aggregated on distinct pairs before it meets the transfers. A
-    popular entity makes the join uneven; AQE splits its transfers over several tasks.
+    The count per entity is aggregated on distinct pairs and written before it meets the
+    transfers: between two plain shuffles AQE can split the transfers of a popular entity.
+    Transfers without the entity go round the join.
     ``population`` is counted instead of ``tx`` when ``tx`` is only a part of it.
     """
     population = tx if population is None else population
     for entity, name in LINKED.items():
-        counts = linked_accounts(population, entity).withColumnRenamed("linked_accounts", name)
-        tx = tx.join(counts, entity, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)).cast("int"))
+        counts = cut(linked_accounts(population, entity).withColumnRenamed("linked_accounts", name))
+        tx = lookup(tx, counts, entity).withColumn(name, F.coalesce(F.col(name), F.lit(1)).cast("int"))
     return tx
 
 

@@ -55,8 +55,9 @@ def alerts_at_least(alerts: DataFrame, level: str) -> DataFrame:
 
 
 def acknowledged(alerts: DataFrame, log: DataFrame) -> DataFrame:
-    seen = log.select("alert_id").distinct().withColumn("is_acknowledged", F.lit(True))
-    return alerts.join(seen, "alert_id", "left").withColumn("is_acknowledged", F.coalesce("is_acknowledged", F.lit(False)))
+    """Alerts with the flag of the log, which names accounts by their whole hash; ``alert_id`` is a short form for display."""
+    seen = log.select("account_hash").distinct().withColumn("is_acknowledged", F.lit(True))
+    return alerts.join(seen, "account_hash", "left").withColumn("is_acknowledged", F.coalesce("is_acknowledged", F.lit(False)))
 
 
 def _uploads(weights: DataFrame) -> DataFrame:

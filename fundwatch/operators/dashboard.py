@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import severity_name, severity_rank
+from ..functions.session import cut, lookup
 from ..schema import RISK_LEVELS
 
 # Alert states that count as active.
@@ -92,7 +93,7 @@ def frequency_encode(df: DataFrame, columns: list[str], fitted: dict[str, DataFr
     for c in columns:
         freq = (fitted or {}).get(c)
         freq = frequency_table(df, c) if freq is None else freq
-        df = df.join(freq, c, "left").withColumn(f"{c}_freq", F.coalesce(f"{c}_freq", F.lit(0.0)))
+        df = lookup(df, cut(freq), c).withColumn(f"{c}_freq", F.coalesce(f"{c}_freq", F.lit(0.0)))
     return df
 
 

@@ -37,11 +37,17 @@ def evidence_id(source, reference, category, accounts, transactions) -> Column:
 
 
 def case_id(transaction: Column | None = None, subject: Column | None = None) -> Column:
-    slug = lambda c: F.concat(F.lit("CASE-"), F.substring(F.translate(filled(c), " ", "_"), 1, 32))
+    """Key of a case: the whole id, so different transfers never share a case. ``case_label`` is the short form for display."""
+    slug = lambda c: F.concat(F.lit("CASE-"), F.translate(filled(c), " ", "_"))
     anonymous = F.concat(F.lit("CASE-ANON-"), F.substring(F.sha2(F.lit("anonymous_case"), 256), 1, 10))
     return F.coalesce(*[slug(c) for c in (transaction, subject) if c is not None], anonymous)
 
 
+def case_label(case: Column | str) -> Column:
+    """The case key as the reports print it: at most 32 characters of the id. Never a key."""
+    return F.substring(case, 1, len("CASE-") + 32)
+
+
 def valid_provenance(items: DataFrame) -> DataFrame:
     return items.filter(F.col("source").isin(list(SOURCE_PRIORITY)) & (F.length(F.trim("source_reference")) > 0))
 

@@ -6,6 +6,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import filled, finite, sanitize
+from ..functions.session import cut, lookup
 
 # Feature names, in order.
 NATIVE = ["amount", "log_amount", "channel_upi", "channel_neft", "channel_rtgs", "channel_imps", "channel_other", "is_interbank",
@@ -67,14 +68,17 @@ def join_temporal(tx: DataFrame, temporal: DataFrame) -> DataFrame:
     for name, source in TEMPORAL.items():
         c = (F.col("burst_detected") | (F.col("burst_count") > 0)) if source is None else F.col(source)
         made.append(c.cast("double").alias(name))
-    joined = tx.join(temporal.select(F.col("account").alias("sender_account"), *made), "sender_account", "left")
+    joined = lookup(tx, cut(temporal.select(F.col("account").alias("sender_account"), *made)), "sender_account")
     return joined.fillna(0.0, list(TEMPORAL))
 
 
-def join_graph(tx: DataFrame, graph: DataFrame) -> DataFrame:
-    """Graph record of the sender; columns the record lacks are 0."""
+def join_graph(tx: DataFrame, graph: DataFrame, absent: tuple[str, ...] = ()) -> DataFrame:
+    """Graph record of the sender. A column that the record lacks is an error unless ``absent`` names it; then it is 0."""
+    lacking = [s for s in GRAPH.values() if s not in graph.columns and s not in absent]
+    if lacking:
+        raise ValueError(f"graph record without {', '.join(lacking)}")
     made = [(F.col(s) if s in graph.columns else F.lit(0.0)).cast("double").alias(n) for n, s in GRAPH.items()]
-    joined = tx.join(graph.select(F.col("account").alias("sender_account"), *made), "sender_account", "left")
+    joined = lookup(tx, cut(graph.select(F.col("account").alias("sender_account"), *made)), "sender_account")
     return joined.fillna(0.0, list(GRAPH))
 
 
@@ -131,6 +135,7 @@ def cut_points(counts: DataFrame, key: str, n: str, shares: list[float]) -> list
     Keys are first summed in wide ranges, so the driver sees at most about a thousand
     sums per level however many keys there are.
     """
+    counts = cut(counts)
     total, low, high = counts.agg(F.sum(n), F.min(key), F.max(key)).first()
     out: list[tuple[int, int] | None] = []
     for share in shares:

@@ -290,11 +290,12 @@ def trace(edges: DataFrame, tx_ids: DataFrame, max_depth: int = 5) -> tuple[Data
     return path, summary.withColumn("path_summary", text)
 
 
-def money_paths(edges: DataFrame, focal: DataFrame, max_depth: int = 5, limit: int = 25) -> DataFrame:
-    """The first ``limit`` transfer paths of each source, shortest first, then by transaction ids.
+def money_paths(edges: DataFrame, focal: DataFrame, max_depth: int = 5, limit: int | None = None) -> DataFrame:
+    """Transfer paths of each source, shortest first, then by transaction ids.
 
-    A path may revisit accounts but not transfers. Only sources that still have fewer
-    than ``limit`` paths grow, so at most ``limit`` paths per source are ever extended.
+    A path may revisit accounts but not transfers. Their number can grow exponentially with
+    the depth. With ``limit`` the report has the first paths only: sources that still have
+    fewer grow, so at most ``limit`` paths per source are ever extended.
     """
     t = edges.filter(F.col("relationship") == TRANSFER).select(strip_prefix("src").alias("last"), strip_prefix("dst").alias("next"), "key")
     path = focal.select("account").distinct().select(
@@ -304,15 +305,19 @@ def money_paths(edges: DataFrame, focal: DataFrame, max_depth: int = 5, limit: i
     for hop in range(1, max_depth + 1):
         grown = path.join(t, "last").filter(~F.array_contains("keys", F.col("key"))).select(
             "account", F.col("next").alias("last"), F.concat("keys", F.array("key")).alias("keys"), F.concat("nodes", F.array("next")).alias("nodes"))
-        grown = grown.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= limit).drop("_i")
+        if limit is not None:
+            grown = grown.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= limit).drop("_i")
         level = cut(grown.withColumn("hops", F.lit(hop)))
         kept = level if kept is None else kept.unionByName(level)
-        full = kept.groupBy("account").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
-        path = level.drop("hops").join(full, "account", "left_anti")
+        path = level.drop("hops")
+        if limit is not None:
+            full = kept.groupBy("account").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+            path = path.join(full, "account", "left_anti")
         if hop < max_depth and path.isEmpty():
             break
     order = Window.partitionBy("account").orderBy("hops", "keys")
-    return kept.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).drop("last")
+    placed = kept.withColumn("position", F.row_number().over(order)).drop("last")
+    return placed if limit is None else placed.filter(F.col("position") <= limit)
 
 
 def shared_entities(edges: DataFrame, focal: DataFrame | None = None) -> DataFrame:
@@ -364,9 +369,12 @@ ZEROS = {
 }
 
 
-def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5) -> DataFrame:
+def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5, cycle_depth: int | None = None) -> DataFrame:
     """The graph record of each focal account; an account the graph does not know gets zeros.
 
+    Paths and cycles go to ``max_depth`` hops; ``cycle_depth`` gives cycles a depth of their
+    own, as their number can grow exponentially with it.
+
     Degrees come from the whole graph: every edge at the account is inside its ego
     network once ``hops`` is at least one. With ``hops = 0`` only self-transfers remain.
     """
@@ -378,7 +386,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: i
     shared = shared_entities(edges, focal)
     known = inside.select("account").distinct().withColumn("in_graph", F.lit(True))
     parts = [known, base, neighbour_counts(inside), density(inside, edges), reach_summary(walked), first_downstream(walked),
-             cycle_metrics(normalize_cycles(cycles(edges, focal, max_depth), focal)), shared_counts(shared)]
+             cycle_metrics(normalize_cycles(cycles(edges, focal, max_depth if cycle_depth is None else cycle_depth), focal)), shared_counts(shared)]
     out = focal
     for part in parts:
         out = out.join(part, "account", "left")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import node_id, finite
 from ..functions.session import cut
@@ -106,10 +106,14 @@ def node_features(edges: DataFrame, attributes: DataFrame | None = None, tempora
 def node_index(nodes: DataFrame) -> DataFrame:
     """Dense index in lexicographic order, for exporting index-based data only; joins use the id.
 
-    A range-partitioned sort, then the offset of each partition: no single-task ranking.
+    Rows are range-partitioned and written with their partition; a row's index is its place in
+    the partition plus the rows of the partitions before (a small table of counts).
     """
-    indexed = nodes.select("node").distinct().sort("node").rdd.zipWithIndex()
-    return indexed.map(lambda r: (r[0]["node"], r[1])).toDF("node string, index long")
+    placed = cut(nodes.select("node").distinct().repartitionByRange("node").select("node", F.spark_partition_id().alias("part")))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1
+    return placed.withColumn("place", place).join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("place")).alias("index"))
 
 
 def _means(h: DataFrame, edges: DataFrame, dim: int) -> DataFrame:

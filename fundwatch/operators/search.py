@@ -77,12 +77,13 @@ def page_meta(df: DataFrame, page: int = 1, size: int = 20) -> DataFrame:
 
 
 def build_complaints(submitted: DataFrame) -> DataFrame:
-    """Complaint rows with the JSON payload as a reports table row."""
+    """Complaint rows with the JSON payload as a reports table row. ``report_key`` is the key; ``report_number`` its short form for display."""
     fields = [f.split()[0] for f in COMPLAINT_SCHEMA.split(", ")]
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    number = F.concat(F.lit("CMP-"), F.upper(F.substring(F.sha2(F.concat_ws(":", "transaction_id", "description"), 256), 1, 12)))
+    key = F.sha2(F.concat_ws(":", "transaction_id", "description"), 256)
     return submitted.select(
-        number.alias("report_number"),
+        key.alias("report_key"),
+        F.concat(F.lit("CMP-"), F.upper(F.substring(key, 1, 12))).alias("report_number"),
         F.lit("VICTIM_COMPLAINT").alias("report_type"),
         F.concat_ws("", F.lit("Victim Complaint: "), "incident_type", F.lit(" — "), "victim_name").alias("title"),
         body.alias("summary_text"),

@@ -185,7 +185,7 @@ def export_graph(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     fraud = F.col("is_fraud") == 1
     ring = F.when(fraud, "COMMUNITY-A12").otherwise("COMMUNITY-B04")
     acc = lambda c: F.concat(F.lit("acc-"), F.col(c))
-    dev = F.concat(F.lit("dev-"), F.pmod(F.xxhash64("device_id"), F.lit(2**31)))
+    dev = F.concat(F.lit("dev-"), "device_id")
     ip = F.concat(F.lit("ip-"), F.regexp_replace("ip_address", r"\.", "_"))
     row = lambda i, label, kind, risk, bank, mule, community, order: F.struct(
         i.alias("id"), label.alias("label"), kind.alias("type"), risk.cast("int").alias("risk_score"),
