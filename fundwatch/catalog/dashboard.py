@@ -8,6 +8,7 @@ from ..operators import dashboard as D
 from ..operators.rules import evaluate_rules, exploded_matches
 from ..sources.driver_tables import accounts, alerts, transfers
 from .base import ACCOUNTS, ALERTS, TX, query, with_
+from .rules import CONTEXT, MATCHES, context
 
 
 @query("a01_channel_breakdown", with_(TX, "SELECT channel, count(*) AS transfers, round(sum(amount), 2) AS volume FROM tx GROUP BY 1"))
@@ -36,13 +37,10 @@ def a06(spark, sf):
     return D.risk_distribution(accounts(spark, sf))
 
 
-@query("a07_top_patterns", with_(TX, """m AS (SELECT 'Smurfing' AS p, 3 AS s FROM tx WHERE amount BETWEEN 48000 AND 49999
-  UNION ALL SELECT 'Night Activity', 2 FROM tx WHERE hour(ts) < 5 AND amount >= 50000
-  UNION ALL SELECT 'Circular Flow', 4 FROM tx WHERE sender_account = receiver_account)""",
-  "SELECT p AS pattern_name, count(*) AS hit_count, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(s)] AS severity FROM m GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
+@query("a07_top_patterns", with_(*CONTEXT, MATCHES, """SELECT pattern_name, count(*) AS hit_count,
+  (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)] AS severity FROM hits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))
 def a07(spark, sf):
-    rows = transfers(spark, sf).withColumn("in_cycle", F.lit(False))
-    return D.top_patterns(exploded_matches(evaluate_rules(rows, active=["R005", "R012", "R014"])))
+    return D.top_patterns(exploded_matches(evaluate_rules(context(spark, sf))))
 
 
 @query("a08_daily_series", with_(TX, ALERTS, """SELECT coalesce(d, e)::VARCHAR AS day, round(coalesce(v, 0), 2) AS total_volume, round(coalesce(f, 0), 2) AS flagged_volume,

@@ -116,8 +116,37 @@ CASES = {
 }
 
 
+DEFAULTS = {
+    "R001": "history_1h >= 20", "R002": "fan_in >= 10", "R003": "fan_out >= 10",
+    "R004": "amount > 0 AND recent_sum > 0 AND amount / recent_sum >= 0.90", "R005": "amount BETWEEN 48000 AND 49999",
+    "R006": "linked_devices > 3", "R007": "dormant_days > 90", "R008": "account_age < 7 AND history_n > 15", "R009": "channels_1h >= 3",
+    "R010": "linked_ips > 5", "R011": "coalesce(travel_speed_kmh > 500, false)", "R012": "hour(ts) < 5 AND amount >= 50000",
+    "R013": "linked_beneficiaries >= 5", "R014": "in_cycle OR sender_account = receiver_account",
+}
+RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
+# The rules' pattern, score, severity and narrative, written out for the SQL side.
+FIXED = {
+    "R001": ("High Velocity", 25, "HIGH", "'High velocity detected: ' || history_1h || ' transactions executed in the past hour.'"),
+    "R002": ("Fan In", 30, "HIGH", "'Fan-In Collector detected: ' || fan_in || ' unique senders transferred to account.'"),
+    "R003": ("Fan Out", 30, "HIGH", "'Fan-Out Distributor detected: funds scattered to ' || fan_out || ' receivers.'"),
+    "R004": ("Mule Chain", 40, "CRITICAL", "'Mule Chain Pass-Through detected: >90% of funds (₹' || format('{:,.2f}', amount) || ') forwarded within 15 minutes.'"),
+    "R005": ("Smurfing", 35, "HIGH", "'Smurfing / Structuring detected: transfer of ₹' || format('{:,.2f}', amount) || ' just under reporting threshold.'"),
+    "R006": ("Shared Device", 35, "HIGH", "'Shared Device pattern detected: hardware fingerprint linked to ' || linked_devices || ' accounts.'"),
+    "R007": ("Dormant Reactivation", 30, "HIGH", "'Dormant Account Reactivation detected: sudden activity on account dormant >90 days.'"),
+    "R008": ("New Account Abuse", 25, "HIGH", "'New Account Abuse detected: ' || history_n || ' transactions on account created ' || account_age::INT || ' days ago (<7 days).'"),
+    "R009": ("Cross-Channel Hopping", 25, "MEDIUM", "'Cross-Channel Hopping detected: cycling across ' || channels_1h || ' distinct rails within 1 hour.'"),
+    "R010": ("Shared IP", 30, "HIGH", "'Shared IP pattern detected: public IP address linked to ' || linked_ips || ' accounts.'"),
+    "R011": ("Impossible Travel", 35, "HIGH", "'Impossible Travel detected: physical transit speed between transactions exceeds 500 km/h.'"),
+    "R012": ("Night Activity", 20, "MEDIUM", "'Night Activity anomaly detected: high-value transfer (₹' || format('{:,.2f}', amount) || ') executed between 12 AM and 5 AM.'"),
+    "R013": ("Shared Beneficiary", 30, "HIGH", "'Shared Beneficiary detected: beneficiary account shared by ' || linked_beneficiaries || ' unrelated accounts.'"),
+    "R014": ("Circular Flow", 40, "CRITICAL", "'Circular Flow detected: funds traverse intermediate accounts and return to originator.'"),
+}
+MATCHES = "hits AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT transaction_id, '{c}' AS rule_code, '{p}' AS pattern_name, '{severity}' AS severity, {text} AS narrative FROM ctx WHERE {DEFAULTS[c]}" for c, (p, _, severity, text) in FIXED.items()) + ")"
+
+
 def _register(name, code, overrides, where):
-    _, _, pattern, score, severity, _ = R.RULES[code]
+    pattern, score, severity, _ = FIXED[code]
     sql = with_(*CONTEXT, f"SELECT transaction_id, '{pattern}' AS pattern_name, {score} AS score, '{severity}' AS severity FROM ctx WHERE {where}")
 
     @query(name, sql)
@@ -129,20 +158,10 @@ def _register(name, code, overrides, where):
 for _name, (_code, _overrides, _where) in CASES.items():
     _register(_name, _code, _overrides, _where)
 
-DEFAULTS = {
-    "R001": "history_1h >= 20", "R002": "fan_in >= 10", "R003": "fan_out >= 10",
-    "R004": "amount > 0 AND recent_sum > 0 AND amount / recent_sum >= 0.90", "R005": "amount BETWEEN 48000 AND 49999",
-    "R006": "linked_devices > 3", "R007": "dormant_days > 90", "R008": "account_age < 7 AND history_n > 15", "R009": "channels_1h >= 3",
-    "R010": "linked_ips > 5", "R011": "coalesce(travel_speed_kmh > 500, false)", "R012": "hour(ts) < 5 AND amount >= 50000",
-    "R013": "linked_beneficiaries >= 5", "R014": "in_cycle OR sender_account = receiver_account",
-}
-RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
-
-
-def evaluated_sql(codes) -> str:
-    score = " + ".join(f"CASE WHEN {DEFAULTS[c]} THEN {R.RULES[c][3]} ELSE 0 END" for c in codes)
-    rank = ", ".join(f"CASE WHEN {DEFAULTS[c]} THEN {RANK[R.RULES[c][4]]} ELSE 1 END" for c in codes)
-    hits = ", ".join(f"CASE WHEN {DEFAULTS[c]} THEN '{c}' END" for c in codes)
+def evaluated_sql(codes, where=DEFAULTS) -> str:
+    score = " + ".join(f"CASE WHEN {where[c]} THEN {FIXED[c][1]} ELSE 0 END" for c in codes)
+    rank = ", ".join(f"CASE WHEN {where[c]} THEN {RANK[FIXED[c][2]]} ELSE 1 END" for c in codes)
+    hits = ", ".join(f"CASE WHEN {where[c]} THEN '{c}' END" for c in codes)
     return (f"evaluated AS MATERIALIZED (SELECT *, ({score})::INT AS rule_score, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[greatest({rank})] AS highest_severity, "
             f"coalesce(array_to_string([{hits}], ','), '') AS codes FROM ctx)")
 
@@ -156,17 +175,15 @@ def r15(spark, sf):
 WHITELIST = ["R004", "R009", "R012"]
 
 
-@query("r16_active_rules", with_(*CONTEXT, evaluated_sql(WHITELIST), "SELECT transaction_id, rule_score, highest_severity, codes FROM evaluated"))
+@query("r16_active_rules", with_(*CONTEXT, evaluated_sql(WHITELIST, {**DEFAULTS, "R009": "channels_1h >= 2", "R012": "hour(ts) < 5 AND amount >= 20000"}), "SELECT transaction_id, rule_score, highest_severity, codes FROM evaluated"))
 def r16(spark, sf):
-    rules = R.registry(spark).withColumn("is_active", F.col("rule_code").isin(WHITELIST))
+    limits = F.when(F.col("rule_code") == "R009", 2.0).when(F.col("rule_code") == "R012", 20_000.0)
+    rules = R.registry(spark).withColumns({"is_active": F.col("rule_code").isin(WHITELIST), "threshold_value": limits})
     active = R.active_rules(rules)
-    e = R.evaluate_rules(context(spark, sf, active), active=active)
+    e = R.evaluate_rules(context(spark, sf, active), active=active, overrides=R.rule_overrides(rules))
     return e.select("transaction_id", "rule_score", "highest_severity", F.array_join(F.transform("matches", lambda m: m["rule_code"]), ",").alias("codes"))
 
 
-@query("r17_narratives", with_(*CONTEXT, """SELECT transaction_id, 'R004' AS rule_code, 'Mule Chain Pass-Through detected: >90% of funds (₹' || format('{:,.2f}', amount) || ') forwarded within 15 minutes.' AS narrative
-    FROM ctx WHERE recent_sum > 0 AND amount / recent_sum >= 0.9
-  UNION ALL SELECT transaction_id, 'R009', 'Cross-Channel Hopping detected: cycling across ' || channels_1h || ' distinct rails within 1 hour.' FROM ctx WHERE channels_1h >= 3
-  UNION ALL SELECT transaction_id, 'R012', 'Night Activity anomaly detected: high-value transfer (₹' || format('{:,.2f}', amount) || ') executed between 12 AM and 5 AM.' FROM ctx WHERE hour(ts) < 5 AND amount >= 50000"""))
+@query("r17_narratives", with_(*CONTEXT, MATCHES, "SELECT transaction_id, rule_code, severity, narrative FROM hits"))
 def r17(spark, sf):
-    return R.exploded_matches(R.evaluate_rules(context(spark, sf, WHITELIST), active=WHITELIST)).select("transaction_id", "rule_code", "narrative")
+    return R.exploded_matches(R.evaluate_rules(context(spark, sf))).select("transaction_id", "rule_code", "severity", "narrative")

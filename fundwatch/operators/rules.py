@@ -7,6 +7,7 @@ them are evaluated in one narrow stage.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -159,6 +160,13 @@ def active_rules(rules: DataFrame) -> list[str]:
     return [r["rule_code"] for r in rows.collect()]
 
 
+def rule_overrides(rules: DataFrame) -> dict[str, dict[str, float]]:
+    """Thresholds of the rules table for ``evaluate_rules``: a rule's ``threshold_value``, where it has one, replaces its first threshold (R012: the amount)."""
+    rows = rules.filter(F.col("threshold_value").isNotNull() & F.col("rule_code").isin(list(RULES))).select("rule_code", "threshold_value").distinct()
+    first = {code: next(iter(signature(rule[0]).parameters), None) for code, rule in RULES.items()} | {"R012": "amount"}
+    return {r["rule_code"]: {first[r["rule_code"]]: r["threshold_value"]} for r in rows.collect() if first[r["rule_code"]]}
+
+
 def registry(spark) -> DataFrame:
     rows = [(i, code, r[1], r[2], r[3], r[4]) for i, (code, r) in enumerate(RULES.items(), 1)]
     return spark.createDataFrame(rows, "position int, rule_code string, rule_name string, pattern_name string, score int, severity string")
