@@ -10,15 +10,13 @@ from ..operators.fusion import fuse, signals
 from ..operators.rules import evaluate_rules
 from ..operators.temporal import temporal_features
 from ..plans.case import case_pipeline, open_cases
-from ..plans.flagship import RULES as CODES
 from ..sources.driver_tables import accounts, transfers
 from .base import LEGS, TX, query, with_
 from .fusion import RAW, S_GRAPH, S_RULES, S_TEMPORAL, TEMPORAL, TIER
 from .graph import COLUMNS, FEATURE_CTES, FOCAL, features
-from .rules import CONTEXT, context, evaluated_sql
-from ..operators.rules import RULES
+from .rules import CONTEXT, FIXED, context, evaluated_sql
 
-LARGE, CASE_MIN = 200_000.0, 300_000.0
+LARGE = CASE_MIN = 200_000.0
 
 
 def eid(source: str, ref: str, category: str, accounts: str, txs: str) -> str:
@@ -27,31 +25,25 @@ def eid(source: str, ref: str, category: str, accounts: str, txs: str) -> str:
 
 
 TWO = "array_to_string(list_sort([sender_account, receiver_account]), ',')"
-TEXT = {
-    "R004": "'Mule Chain Pass-Through detected: >90% of funds (₹' || format('{:,.2f}', amount) || ') forwarded within 15 minutes.'",
-    "R005": "'Smurfing / Structuring detected: transfer of ₹' || format('{:,.2f}', amount) || ' just under reporting threshold.'",
-    "R009": "'Cross-Channel Hopping detected: cycling across ' || channels_1h || ' distinct rails within 1 hour.'",
-    "R012": "'Night Activity anomaly detected: high-value transfer (₹' || format('{:,.2f}', amount) || ') executed between 12 AM and 5 AM.'",
-}
 RULE_ITEMS = "ritems AS MATERIALIZED (" + " UNION ALL ".join(
-    f"""SELECT transaction_id, amount, sender_account, receiver_account, 'RULE' AS source, 'RULE:{c}' AS ref, 'RULE_VIOLATION' AS category, '{RULES[c][4]}' AS severity, {RULES[c][3]}.0::DOUBLE AS strength,
-  'Forensic Rule {c} Triggered ({RULES[c][2]})' AS title, {TEXT[c]} AS description FROM evaluated WHERE contains(codes, '{c}')""" for c in CODES) + ")"
+    f"""SELECT transaction_id, amount, sender_account, receiver_account, 'RULE' AS source, 'RULE:{c}' AS ref, 'RULE_VIOLATION' AS category, '{FIXED[c][2]}' AS severity, {FIXED[c][1]}.0::DOUBLE AS strength,
+  'Forensic Rule {c} Triggered ({FIXED[c][0]})' AS title, {FIXED[c][3]} AS description FROM evaluated WHERE contains(codes, '{c}')""" for c in FIXED) + ")"
 AMOUNT_ITEMS = f"""aitems AS MATERIALIZED (SELECT transaction_id, amount, sender_account, receiver_account, 'TRANSACTION' AS source, 'TRANSACTION:large_amount' AS ref, 'TRANSACTION_CONTEXT' AS category,
   CASE WHEN amount >= 500000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0.0::DOUBLE AS strength, 'Large High-Value Transfer (₹' || format('{{:,.2f}}', amount) || ')' AS title,
   'Transaction amount of ₹' || format('{{:,.2f}}', amount) || ' INR executed via ' || channel || ' channel from ' || sender_account || ' to ' || receiver_account || '.' AS description
   FROM tx WHERE amount >= {LARGE})"""
 ID = eid("source", "ref", "category", TWO, "transaction_id")
-ITEMS = f"""items AS MATERIALIZED (SELECT 'CASE-' || transaction_id AS case_id, {ID} AS evidence_id, * FROM (SELECT * FROM aitems UNION ALL SELECT * FROM ritems WHERE amount >= {LARGE})),
+ITEMS = f"""items AS MATERIALIZED (SELECT 'CASE-' || transaction_id AS case_id, {ID} AS evidence_id, * FROM (SELECT * FROM aitems UNION ALL SELECT * FROM ritems)),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC,
   CASE source WHEN 'RULE' THEN 70 ELSE 20 END DESC, strength DESC, evidence_id) AS rank FROM items)"""
-BASE = (*CONTEXT, evaluated_sql(CODES))
+BASE = (*CONTEXT, evaluated_sql(FIXED))
 FULL = (*BASE, RULE_ITEMS, AMOUNT_ITEMS, ITEMS)
 
 
-def _cases(spark, sf, min_amount=LARGE):
-    """Large transfers as cases with their rule matches, and the large amount as evidence."""
-    judged = evaluate_rules(context(spark, sf, CODES), active=CODES).select("transaction_id", "matches", "rule_score", "highest_severity")
-    return open_cases(transfers(spark, sf), min_amount).join(judged, "transaction_id")
+def _cases(spark, sf):
+    """Every transfer as a case with its rule matches, and a large amount as evidence."""
+    judged = evaluate_rules(context(spark, sf)).select("transaction_id", "matches", "rule_score", "highest_severity")
+    return open_cases(transfers(spark, sf), 0.0).join(judged, "transaction_id")
 
 
 def _ranked(spark, sf):
@@ -61,7 +53,7 @@ def _ranked(spark, sf):
 
 @query("e01_rule_evidence", with_(*BASE, RULE_ITEMS, f"SELECT {ID} AS evidence_id, title, description, severity, strength AS score_contribution FROM ritems"))
 def e01(spark, sf):
-    e = E.rule_evidence(_cases(spark, sf, 0.0))
+    e = E.rule_evidence(_cases(spark, sf))
     return e.select("evidence_id", "title", "description", "severity", F.element_at("metrics", "score_contribution").alias("score_contribution"))
 
 
@@ -163,7 +155,7 @@ def e12(spark, sf):
     return _ranked(spark, sf)[1].select("case_id", "evidence_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("e13_coverage", with_(TX, f"SELECT 'CASE-' || transaction_id AS case_id, source, CASE WHEN source IN ('RULE', 'TRANSACTION') THEN 'AVAILABLE' ELSE 'MISSING' END AS state FROM tx, (SELECT unnest(['RULE', 'TEMPORAL', 'GRAPH', 'TABULAR_ML', 'GRAPH_ML', 'RISK_FUSION', 'TRANSACTION']) AS source) WHERE amount >= {LARGE}"))
+@query("e13_coverage", with_(TX, f"SELECT 'CASE-' || transaction_id AS case_id, source, CASE WHEN source IN ('RULE', 'TRANSACTION') THEN 'AVAILABLE' ELSE 'MISSING' END AS state FROM tx, (SELECT unnest(['RULE', 'TEMPORAL', 'GRAPH', 'TABULAR_ML', 'GRAPH_ML', 'RISK_FUSION', 'TRANSACTION']) AS source)"))
 def e13(spark, sf):
     return E.coverage(_cases(spark, sf)).select("case_id", F.explode("source_coverage").alias("source", "state"))
 
@@ -207,20 +199,23 @@ def e18(spark, sf):
     return E.key_findings(_ranked(spark, sf)[1]).select("case_id", F.col("rank").cast("long").alias("rank"), "finding", "evidence_id")
 
 
-ACT = """act AS MATERIALIZED (SELECT case_id, 'ACT-TEM-001' AS action_id, evidence_id FROM ranked WHERE ref = 'RULE:R004'
-  UNION ALL SELECT case_id, 'ACT-RUL-001', evidence_id FROM (SELECT *, max((ref = 'RULE:R004')::INT) OVER (PARTITION BY case_id ORDER BY rank) AS strong FROM ranked) WHERE category = 'RULE_VIOLATION' AND strong = 0),
-acts AS MATERIALIZED (SELECT case_id, action_id, string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids FROM act GROUP BY 1, 2
-  UNION ALL SELECT case_id, 'ACT-GEN-001', string_agg(evidence_id, ',' ORDER BY rank) FROM ranked WHERE case_id NOT IN (SELECT case_id FROM act) GROUP BY 1)"""
+ACT = """need(action_id, priority, ref) AS (VALUES ('ACT-CYC-001', 4, 'RULE:R014'), ('ACT-TEM-001', 3, 'RULE:R003'), ('ACT-TEM-001', 3, 'RULE:R004'), ('ACT-VEL-001', 3, 'RULE:R001'), ('ACT-TOP-001', 2, 'RULE:R002'), ('ACT-TOP-002', 2, 'RULE:R003')),
+act AS MATERIALIZED (SELECT case_id, action_id, priority, evidence_id FROM ranked JOIN need USING (ref)
+  UNION ALL SELECT case_id, 'ACT-RUL-001', 2, evidence_id FROM (SELECT *, max((ref IN ('RULE:R003', 'RULE:R004', 'RULE:R014'))::INT) OVER (PARTITION BY case_id ORDER BY rank) AS strong FROM ranked) WHERE category = 'RULE_VIOLATION' AND strong = 0),
+acts AS MATERIALIZED (SELECT case_id, action_id, priority, string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids FROM act GROUP BY ALL
+  UNION ALL SELECT case_id, 'ACT-GEN-001', 1, string_agg(evidence_id, ',' ORDER BY rank) FROM ranked WHERE case_id NOT IN (SELECT case_id FROM act) GROUP BY 1)"""
 
 
-@query("e19_actions", with_(*FULL, ACT, "SELECT case_id, action_id, ids, row_number() OVER (PARTITION BY case_id ORDER BY CASE action_id WHEN 'ACT-TEM-001' THEN 0 WHEN 'ACT-RUL-001' THEN 1 ELSE 2 END) AS position FROM acts"))
+@query("e19_actions", with_(*FULL, ACT, "SELECT case_id, action_id, ids, row_number() OVER (PARTITION BY case_id ORDER BY priority DESC, action_id) AS position FROM acts"))
 def e19(spark, sf):
     cases, ranked = _ranked(spark, sf)
     return E.actions(ranked, cases).select("case_id", "action_id", F.array_join("evidence_ids", ",").alias("ids"), F.col("position").cast("long").alias("position"))
 
 
-@query("e20_questions", with_(*FULL, """SELECT case_id, CASE WHEN bool_or(ref = 'RULE:R004') THEN 'What is the exact time delta between inbound fund credits and outbound debits across the flagged sequence?'
-  ELSE 'Do supplementary behavioral logs or device records exist for the transactions in this package?' END AS questions FROM ranked GROUP BY 1"""))
+@query("e20_questions", with_(*FULL, """ask(ref, question) AS (VALUES ('RULE:R001', 'Does the burst in transaction velocity coincide with recent authentication changes or credential updates?'),
+  ('RULE:R004', 'What is the exact time delta between inbound fund credits and outbound debits across the flagged sequence?'), ('RULE:R014', 'What accounts and counterparties participate in the detected circular transaction flow?'))""",
+  """SELECT case_id, coalesce(string_agg(question, '|' ORDER BY question), 'Do supplementary behavioral logs or device records exist for the transactions in this package?') AS questions
+  FROM ranked LEFT JOIN ask USING (ref) GROUP BY 1"""))
 def e20(spark, sf):
     cases, ranked = _ranked(spark, sf)
     return E.questions(ranked, cases).select("case_id", F.array_join("questions", "|").alias("questions"))
@@ -236,7 +231,7 @@ def e21(spark, sf):
 CASE_FOCAL = f"focal AS MATERIALIZED (SELECT DISTINCT sender_account AS account FROM tx WHERE amount >= {CASE_MIN})"
 
 
-@query("e22_case_pipeline", with_(*CONTEXT, evaluated_sql(RULES), *TEMPORAL, RAW, CASE_FOCAL, *FEATURE_CTES, f"""SELECT 'CASE-' || transaction_id AS case_id, sender_account AS subject_id, rule_score, round(s1, 4) AS rules, round(s2, 4) AS temporal, round(s3, 4) AS graph,
+@query("e22_case_pipeline", with_(*CONTEXT, evaluated_sql(FIXED), *TEMPORAL, RAW, CASE_FOCAL, *FEATURE_CTES, f"""SELECT 'CASE-' || transaction_id AS case_id, sender_account AS subject_id, rule_score, round(s1, 4) AS rules, round(s2, 4) AS temporal, round(s3, 4) AS graph,
   round(100 * least(1.0, 0.25::DOUBLE / 0.6 * s1 + 0.15 / 0.6 * s2 + 0.2 / 0.6 * s3), 6) AS score
   FROM (SELECT e.*, {S_RULES} AS s1, {S_TEMPORAL} AS s2, {S_GRAPH} AS s3 FROM evaluated e JOIN traw ON traw.account = sender_account JOIN feats ON feats.account = sender_account WHERE e.amount >= {CASE_MIN})"""))
 def e22(spark, sf):
