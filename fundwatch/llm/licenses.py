@@ -136,7 +136,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     nearest = written(nearest.select("dir", "by.above", "by.given", "by.given_score"), "inherited")
     salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     without = known.filter("license IS NULL").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    heirs = without.join(salted, ["dir", "salt"], "left").select(
+    # The number of directories has no bound, and a small file of them may be large in memory: no broadcast.
+    heirs = without.join(salted.hint("merge"), ["dir", "salt"], "left").select(
         "doc_id", "path", F.col("given").alias("license"), F.col("given_score").alias("score"), F.when(F.col("given").isNull(), "none").otherwise("inherited").alias("basis"), F.when(F.col("given").isNotNull(), F.col("above")).alias("licensed_by"))
     owners = known.filter("license IS NOT NULL").select("doc_id", "path", "license", "score", F.when(F.col("named"), "file").otherwise("header").alias("basis"), F.lit(None).cast("string").alias("licensed_by"))
     return owners.unionByName(heirs)
