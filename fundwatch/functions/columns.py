@@ -41,6 +41,10 @@ TIMESTAMP_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]",
     "yyyy-MM-dd",
     "yyyy/MM/dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm[XXX]",
+    "yyyy-MM-dd HH:mm[XXX]",
+    "yyyyMMdd'T'HHmmss[XXX]",
+    "yyyyMMdd",
 ]
 
 NODE_PREFIXES = ("account", "device", "ip")
@@ -60,8 +64,12 @@ def filled(c: Column | str) -> Column:
 
 
 def parse_ts(c: Column | str) -> Column:
-    """Timestamp from text; null when no layout fits (such rows go to quarantine)."""
-    text = F.trim(col(c))
+    """Timestamp from text; null when no layout fits (such rows go to quarantine).
+
+    Digits beyond microseconds are cut, and an offset may be written without a colon.
+    """
+    text = F.regexp_replace(F.trim(col(c)), r"(\.\d{6})\d+", "$1")
+    text = F.regexp_replace(text, r"(\d[T ]?\d{2}:?\d{2}(?::?\d{2})?(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS])
 
 

