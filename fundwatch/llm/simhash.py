@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .minhash import mixed, similar_components
 from .scratch import written
 
 BITS, DISTANCE, SEED, SAMPLE, BUCKET, AGAIN = 64, 3, 42, 1024, 40_000, 2
@@ -32,20 +33,6 @@ BITS, DISTANCE, SEED, SAMPLE, BUCKET, AGAIN = 64, 3, 42, 1024, 40_000, 2
 ROW_COST, PAIR_COST = 5.0, 0.002
 
 
-def allowed(similarity: float, bits: int, deviations: float = 1.0) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity, plus so many standard deviations."""
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
-
-
-def _mixed(hashes: np.ndarray) -> np.ndarray:
-    """Another 64-bit hash of each hash (the finalizer of SplitMix64)."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: str | None, words_per_shingle: int = 3, parts: int = 1) -> list[int]:
     """SimHash of the word shingles, 64 bits a part; ASCII letters in lower case, words split at ASCII white space, no words: 0."""
     words = text.encode().lower().split() if text else []
@@ -64,7 +51,7 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, parts: int = 1) ->
             some = hashes[i : i + 50_000].astype("<u8").view(np.uint8).reshape(-1, 8)
             ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
-        hashes = _mixed(hashes)
+        hashes = mixed(hashes)
     return found
 
 
@@ -270,15 +257,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, distance: int =
     return rows.join(known, key).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each component the rows of its smallest doc_id stay, repeated rows once.
 
-    Two texts count as near copies when their 64 * ``parts`` SimHash bits differ no more than
-    is usual (one standard deviation above the mean; 1.5 for the first 64 bits, which find the
-    candidates) at a Jaccard similarity of ``similarity``. A row with a null doc_id stays if no
-    other row has its fingerprint.
+    Two texts are near copies when the exact Jaccard similarity of their distinct shingles is at
+    least ``similarity``; a component is connected by such pairs (``minhash``). A row with a null
+    doc_id stays if no other row has its shingles.
     """
-    found = near_duplicates(docs, words_per_shingle, allowed(similarity, BITS, 1.5), parts, allowed(similarity, BITS * parts))
+    found = similar_components(docs, words_per_shingle, similarity)
     stay = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

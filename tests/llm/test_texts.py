@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fundwatch.llm import components, decontaminate, language, licenses, quality, queries, simhash
+from fundwatch.llm import components, decontaminate, language, licenses, minhash, quality, queries, simhash
 
 from .conftest import TEXTS
 
@@ -121,6 +121,35 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [20_000, 4])
+def test_near_copies_are_verified(spark, monkeypatch, bucket):
+    """Planted pairs at 0.6 to 0.95, a dense group and a repeated line, against brute force on distinct shingles."""
+    monkeypatch.setattr(minhash, "BUCKET", bucket)
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        words = prose(500 + i, 204).split()
+        rows.append((2 * i, " ".join(words)))
+        # n of 200 shingles changed at the end: similarity (200 - n) / (200 + n)
+        n = round(200 * (1 - (goal := 0.6 + 0.35 * i / 59)) / (1 + goal))
+        rows.append((2 * i + 1, " ".join(words[: 204 - n] + prose(9000 + i, n).split())))
+    words = prose(77, 150).split()
+    for i in range(40):
+        some = list(words)
+        for at in r.sample(range(150), r.randrange(8)):
+            some[at] = f"other{i}x{at}"
+        rows.append((1000 + i, " ".join(some)))
+    line = "the same line again and again " * 400
+    rows += [(2000 + i, line + prose(3000 + i, 60)) for i in range(2)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 20 < sum(b == a + 1 and b < 120 for a, b in alike) < 40
+    got = minhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 0.8)
+    assert {x.doc_id: x.component_id for x in got.collect()} == plain_components(sets, alike)
+    kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {i for i, c in plain_components(sets, alike).items() if i == c}
+
+
 # decontamination
 
 def plain_containment(docs, items, k=5, threshold=0.8):
