@@ -148,5 +148,5 @@ wr AS MATERIALIZED (SELECT sender_account AS account, arg_max(rule_score, o) AS
 @query("flagship_forwarders", with_(*CONTEXT, evaluated_sql(FLAGSHIP_RULES), *TEMPORAL, RAW, FLAGSHIP, f"""SELECT account, forwarded_pairs, round(highest_ratio, 4) AS highest_ratio, rule_score, highest_severity,
   {TIER} AS risk_level FROM (SELECT fw.*, rule_score, highest_severity, round(100 * (0.625::DOUBLE * {S_RULES} + 0.375::DOUBLE * {S_TEMPORAL}), 6) AS score FROM fw JOIN traw USING (account) LEFT JOIN wr USING (account))"""))
 def flagship(spark, sf):
-    f = score_forwarders(transfers(spark, sf))
+    f = score_forwarders(transfers(spark, sf), accounts=accounts(spark, sf))
     return f.select("account", "forwarded_pairs", F.round("highest_ratio", 4).alias("highest_ratio"), "rule_score", "highest_severity", "risk_level")

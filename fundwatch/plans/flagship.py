@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.context import rule_context
 from ..operators.fusion import fuse, signals
-from ..operators.rules import evaluate_rules
+from ..operators.graph import circular_flags
+from ..operators.rules import RULES, evaluate_rules
 from ..operators.temporal import pass_through, temporal_features
-from ..sources.driver_tables import transfers
+from ..sources.driver_tables import accounts, transfers
+from ..sources.ingest import build_graph
 
-RULES = ["R004", "R005", "R009", "R012"]
 
-
-def score_forwarders(tx: DataFrame, ratio: float = 0.90) -> DataFrame:
-    """Forwarding accounts with their pairs, worst transfer by the rules, fused score and tier."""
+def score_forwarders(tx: DataFrame, ratio: float = 0.90, accounts: DataFrame | None = None) -> DataFrame:
+    """Forwarding accounts with their pairs, worst transfer by all fourteen rules, fused score and tier."""
     pairs = pass_through(tx).filter(F.col("pass_through_ratio") >= ratio)
     forwarded = pairs.groupBy("account").agg(F.count(F.lit(1)).alias("forwarded_pairs"), F.max("pass_through_ratio").alias("highest_ratio"))
-    judged = evaluate_rules(rule_context(tx, active=RULES), active=RULES)
+    judged = evaluate_rules(rule_context(tx, accounts, circular_flags(build_graph(tx)[1])))
     worst = judged.groupBy(F.col("sender_account").alias("account")).agg(
         F.max_by(F.struct("rule_score", "highest_severity", F.size("matches").alias("rule_count")), F.struct("rule_score", "transaction_id")).alias("_w"))
     worst = worst.select("account", "_w.*")
@@ -28,4 +28,4 @@ def score_forwarders(tx: DataFrame, ratio: float = 0.90) -> DataFrame:
 
 
 def forwarders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_forwarders(transfers(spark, sf_dir)).orderBy(F.desc("composite_risk_score"), "account")
+    return score_forwarders(transfers(spark, sf_dir), accounts=accounts(spark, sf_dir)).orderBy(F.desc("composite_risk_score"), "account")

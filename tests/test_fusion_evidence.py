@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from fundwatch.operators import evidence as E
 from fundwatch.operators import fusion as U
 from fundwatch.plans.case import case_pipeline, open_cases
+from fundwatch.plans.flagship import score_forwarders
 
 
 def one(spark, **values):
@@ -109,3 +110,10 @@ def test_mule_chain_case(spark, make):
     assert r.actions.orderBy("position").first()["action_id"] == "ACT-CYC-001"
     assert any("circular transaction flow" in q for q in r.questions.first()["questions"])
     assert len(r.limitations.first()["limitations"]) == 3 + 2 + 2
+
+
+def test_forwarders_meet_all_rules(make, rows):
+    """A forwards 95 % within a minute (R004, 40) and lies on a ring (R014, 40)."""
+    tx = make([("T1", 0, "X", "A", 1000), ("T2", 60, "A", "B", 950), ("T3", 4000, "B", "X", 10)])
+    got = rows(score_forwarders(tx))
+    assert [(r["account"], r["rule_score"], r["highest_severity"]) for r in got] == [("A", 80, "CRITICAL")]
