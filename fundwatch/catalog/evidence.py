@@ -79,7 +79,7 @@ def e02(spark, sf):
   UNION ALL SELECT 'CASE-' || account, 'GRAPH:fan_ratio', 'Topological Anomaly: ' || CASE WHEN fan_in_ratio >= fan_out_ratio THEN 'Fan-In Aggregation' ELSE 'Fan-Out Dispersion' END || ' (Ratio: ' || printf('%.1f', greatest(fan_in_ratio, fan_out_ratio)) || ')', 'MEDIUM' FROM feats WHERE greatest(fan_in_ratio, fan_out_ratio) >= 0.5
   UNION ALL SELECT 'CASE-' || account, 'GRAPH:downstream_layering', 'Multi-Hop Layering Chain (' || max_path_length || ' Hops)', 'HIGH' FROM feats WHERE max_path_length >= 3"""))
 def e03(spark, sf):
-    e = E.graph_evidence(_account_cases(features(spark, sf)), fan_threshold=0.5)
+    e = E.graph_evidence(_account_cases(features(spark, sf, list_depth=3)), fan_threshold=0.5)
     return e.select("case_id", "source_reference", "title", "severity")
 
 
@@ -238,7 +238,7 @@ def e22(spark, sf):
     from .fusion import raw_score
 
     tx = transfers(spark, sf)
-    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, cycle_depth=3)
+    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, list_depth=3)
     value = lambda m: F.element_at("signals", m)["value"].alias(m)
     return r.cases.select("case_id", "subject_id", "rule_score", value("rules"), value("temporal"), value("graph"), raw_score())
 
@@ -246,6 +246,6 @@ def e22(spark, sf):
 @query("e22_case_packages")
 def e22_packages(spark, sf):
     tx = transfers(spark, sf)
-    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, cycle_depth=3)
+    r = case_pipeline(tx, open_cases(tx, CASE_MIN), accounts(spark, sf), hops=2, max_depth=5, list_depth=3)
     acts = r.actions.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("action_id")), ",").alias("actions"))
     return r.packages.join(acts, "case_id").select("case_id", "risk_level", "total_evidence", "n_critical", "actions", "narrative", "risk_summary", "evidence_summary")

@@ -10,7 +10,6 @@ from ..sources.driver_tables import transfers
 from ..sources.ingest import build_graph, link_edges
 from .base import TX, query, with_
 
-LARGE = 200_000.0
 FOCAL = "focal AS MATERIALIZED (SELECT DISTINCT unnest([sender_account, receiver_account]) AS account FROM tx)"
 PAIRS = "pr AS MATERIALIZED (SELECT sender_account AS s, receiver_account AS d, count(*) AS n, sum(amount) AS amount FROM tx GROUP BY 1, 2)"
 EDGES = """edges AS MATERIALIZED (SELECT 'account:' || sender_account AS src, 'account:' || receiver_account AS dst, transaction_id AS key, 'TRANSFERRED_FUNDS' AS rel FROM tx
@@ -85,7 +84,7 @@ def g05_two(spark, sf):
 @query("g05_ego_edges", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT a.account, rel AS relationship, count(*) AS edges FROM edges JOIN ego a ON a.node = src JOIN ego b ON b.node = dst AND b.account = a.account GROUP BY 1, 2"""))
 def g05_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.ego(nodes, edges, _everyone(spark, sf), 1)[1].groupBy("account", "relationship").agg(F.count(F.lit(1)).alias("edges"))
+    return G.ego_edge_counts(G.ego(nodes, edges, _everyone(spark, sf), 1), edges)
 
 
 @query("g06_neighbour_counts", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT account, count(*) FILTER (node LIKE 'account:%' AND node <> 'account:' || account) AS neighbouring_accounts,
@@ -93,7 +92,7 @@ def g05_edges(spark, sf):
   count(*) FILTER (node LIKE 'account:%') AS account_nodes, count(*) AS subgraph_nodes FROM ego GROUP BY 1"""))
 def g06(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.neighbour_counts(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1))
+    return G.neighbour_counts(G.ego(nodes, edges, _everyone(spark, sf), 1))
 
 
 DENSITY = """dens AS MATERIALIZED (SELECT n.account, CASE WHEN n.n >= 2 THEN round(coalesce(p.n, 0) / (n.n * (n.n - 1)), 4) ELSE 0 END AS neighbourhood_density
@@ -104,7 +103,13 @@ DENSITY = """dens AS MATERIALIZED (SELECT n.account, CASE WHEN n.n >= 2 THEN rou
 @query("g07_density", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(1), DENSITY, "SELECT * FROM dens"))
 def g07(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.density(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
+    return G.density(G.ego(nodes, edges, _everyone(spark, sf), 1), edges)
+
+
+@query("g07_density_two_hops", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(2), DENSITY, "SELECT * FROM dens"))
+def g07_two(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return G.density(G.ego(nodes, edges, _everyone(spark, sf), 2), edges)
 
 
 def reach_sql(depth: int) -> str:
@@ -128,13 +133,13 @@ SUMMARY_SQL = """CASE WHEN reachable_accounts > 0 THEN 'Account ' || account ||
 @query("g08_reach_one_hop_all_accounts", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(1), reach_sql(5), f"SELECT *, {SUMMARY_SQL} AS path_summary FROM reach"))
 def g08(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.reach(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
+    return G.reach(G.ego(nodes, edges, _everyone(spark, sf), 1), edges)
 
 
 @query("g08_reach_two_hops", with_(TX, FOCAL, EDGES, PAIRS, ego_sql(2), reach_sql(5), f"SELECT *, {SUMMARY_SQL} AS path_summary FROM reach"))
 def g08_two(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.reach(G.ego_nodes(nodes, edges, _everyone(spark, sf), 2), edges)
+    return G.reach(G.ego(nodes, edges, _everyone(spark, sf), 2), edges)
 
 
 CYCLES3 = """cyc AS MATERIALIZED (SELECT s AS account, [s, s] AS path FROM pr WHERE s = d
@@ -148,14 +153,46 @@ def g09(spark, sf):
     return c.select("start", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
-@query("g09_cycles_five_hops_large_transfers", "WITH RECURSIVE " + ",\n".join((TX, f"lp AS MATERIALIZED (SELECT DISTINCT sender_account AS s, receiver_account AS d FROM tx WHERE amount >= {LARGE})", """g(start, last, path) AS (SELECT s, d, [s, d] FROM lp WHERE d >= s
-  UNION ALL SELECT g.start, lp.d, list_append(g.path, lp.d) FROM g JOIN lp ON lp.s = g.last
-    WHERE g.start <> g.last AND len(g.path) < 6 AND lp.d >= g.start AND (lp.d = g.start OR NOT list_contains(g.path, lp.d)))""")) + """
-SELECT start, array_to_string(path, '>') AS path, len(path) - 1 AS length FROM g WHERE start = last""")
-def g09_large(spark, sf):
-    tx = transfers(spark, sf).filter(F.col("amount") >= LARGE)
-    c = G.cycles(build_graph(tx)[1], max_depth=5)
-    return c.select("start", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
+CORE = "core AS MATERIALIZED (SELECT s, d FROM pr WHERE s <> d AND s IN (SELECT d FROM pr) AND d IN (SELECT s FROM pr))"
+# Cycles of each account by length: closed walks without those that visit an account twice (the tests compare with a plain search).
+RINGS5 = CORE + """,
+w AS MATERIALIZED (SELECT a.s AS a, b.d AS b, count(*) AS w FROM core a JOIN core b ON b.s = a.d GROUP BY 1, 2),
+w3 AS MATERIALIZED (SELECT a, d AS b, sum(w)::BIGINT AS w FROM w JOIN core ON s = b GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT x.s AS a, x.d AS b FROM core x JOIN core y ON y.s = x.d AND y.d = x.s),
+r AS MATERIALIZED (SELECT a, w AS r FROM w WHERE a = b), t AS MATERIALIZED (SELECT a, w AS t FROM w3 WHERE a = b),
+mm AS MATERIALIZED (SELECT x.a, y.b, count(*) AS k FROM m x JOIN m y ON y.a = x.b GROUP BY 1, 2),
+bent AS MATERIALIZED (SELECT m.a AS b, core.d AS a, count(*) AS k FROM m JOIN core ON core.s = m.b GROUP BY 1, 2),
+four AS (SELECT w.a, sum(w.w * v.w - coalesce(k, 0)) AS n FROM w JOIN w v ON v.a = w.b AND v.b = w.a LEFT JOIN mm ON mm.a = w.a AND mm.b = w.b WHERE w.a <> w.b GROUP BY 1),
+five AS (SELECT a, sum(n) AS n FROM (
+  SELECT w3.a, w3.w * w.w AS n FROM w3 JOIN w ON w.a = w3.b AND w.b = w3.a
+  UNION ALL SELECT a, -2 * r * t FROM r JOIN t USING (a)
+  UNION ALL SELECT core.s, -r * w FROM core JOIN r ON r.a = core.d JOIN w ON w.a = core.d AND w.b = core.s
+  UNION ALL SELECT m.a, -t FROM m JOIN t ON t.a = m.b
+  UNION ALL SELECT w.a, -r * w FROM w JOIN core ON core.s = w.b AND core.d = w.a JOIN r ON r.a = w.b
+  UNION ALL SELECT m.a, 2 * w FROM m JOIN w ON w.a = m.b AND w.b = m.a
+  UNION ALL SELECT m.a, 2 * w FROM m JOIN w ON w.a = m.a AND w.b = m.b
+  UNION ALL SELECT core.s, k FROM core JOIN bent ON bent.b = core.d AND bent.a = core.s) GROUP BY 1),
+rings AS MATERIALIZED (SELECT account, length, n::BIGINT AS n FROM (SELECT s AS account, 1 AS length, 1 AS n FROM pr WHERE s = d UNION ALL SELECT a, 2, r FROM r UNION ALL SELECT a, 3, t FROM t
+  UNION ALL SELECT a, 4, n FROM four UNION ALL SELECT a, 5, n FROM five) WHERE n > 0)"""
+# Every cycle from its first account, by joining pairs.
+FIRSTS4 = CORE + """,
+up AS MATERIALIZED (SELECT * FROM core WHERE d > s),
+firsts AS (SELECT s AS start, 1 AS length, 1 AS n FROM pr WHERE s = d
+  UNION ALL SELECT a.s, 2, count(*) FROM up a JOIN core b ON b.s = a.d AND b.d = a.s GROUP BY 1
+  UNION ALL SELECT a.s, 3, count(*) FROM up a JOIN core b ON b.s = a.d AND b.d > a.s JOIN core c ON c.s = b.d AND c.d = a.s GROUP BY 1
+  UNION ALL SELECT a.s, 4, count(*) FROM up a JOIN core b ON b.s = a.d AND b.d > a.s JOIN core c ON c.s = b.d AND c.d > a.s AND c.d <> a.d JOIN core d ON d.s = c.d AND d.d = a.s GROUP BY 1)"""
+
+
+@query("g09_cycles_four_hops", with_(TX, PAIRS, FIRSTS4, "SELECT start, length, n FROM firsts"))
+def g09_four(spark, sf):
+    """All cycles to four hops of the whole graph are listed, then counted by their first account; five hops (counted below) would be tens of millions of rows."""
+    c = G.cycles(_edges(spark, sf), max_depth=4)
+    return c.groupBy("start", "length").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g09_cycle_counts", with_(TX, PAIRS, RINGS5, "SELECT account, length, n FROM rings"))
+def g09_counts(spark, sf):
+    return G.cycle_counts(_edges(spark, sf), max_depth=5)
 
 
 @query("g10_normalized_cycles", with_(TX, PAIRS, CYCLES3, "SELECT account, array_to_string(path, '>') AS path, len(path) - 1 AS length FROM cyc"))
@@ -164,38 +201,41 @@ def g10(spark, sf):
     return n.select("account", F.array_join("path", ">").alias("path"), F.col("length").cast("long").alias("length"))
 
 
-@query("g10_cycle_metrics", with_(TX, PAIRS, CYCLES3, """SELECT account, count(*) AS cycle_count, min(len(path)) - 1 AS shortest_cycle, count(DISTINCT node) AS cycle_nodes FROM (
-    SELECT account, path, unnest(path) AS node, row_number() OVER () AS r FROM cyc) GROUP BY 1""").replace("count(*) AS cycle_count", "count(DISTINCT path) AS cycle_count"))
+@query("g10_cycle_metrics", with_(TX, PAIRS, CYCLES3, RINGS5, """SELECT account, cycle_count, shortest_cycle, cycle_nodes FROM (SELECT account, sum(n)::BIGINT AS cycle_count, min(length)::BIGINT AS shortest_cycle FROM rings GROUP BY 1)
+  JOIN (SELECT account, count(DISTINCT node) AS cycle_nodes FROM (SELECT account, unnest(path) AS node FROM cyc) GROUP BY 1) USING (account)"""))
 def g10_metrics(spark, sf):
-    m = G.cycle_metrics(G.normalize_cycles(G.cycles(_edges(spark, sf), max_depth=3)))
+    """Counts and shortest lengths to five hops; the accounts on an account's cycles to three."""
+    m = G.cycle_record(_edges(spark, sf), 5, list_depth=3)
     return m.select("account", "cycle_count", F.col("shortest_cycle").cast("long").alias("shortest_cycle"), F.size("cycle_nodes").cast("long").alias("cycle_nodes"))
 
 
-SEEDS = f"seeds AS MATERIALIZED (SELECT transaction_id AS trace_id, sender_account AS u, receiver_account AS v FROM tx WHERE amount >= {LARGE})"
+SEEDS = "seeds AS MATERIALIZED (SELECT transaction_id AS trace_id, sender_account AS u, receiver_account AS v FROM tx)"
 
 
 def trace_sql(depth: int) -> str:
-    parts = [SEEDS, "blocked AS (SELECT trace_id, u AS node FROM seeds WHERE u <> v)", "t1 AS MATERIALIZED (SELECT trace_id, v AS node, 1 AS depth FROM seeds)"]
+    """Walks of each (sender, receiver); transfers share those of their two accounts."""
+    parts = [SEEDS, "ends AS MATERIALIZED (SELECT DISTINCT u, v FROM seeds)", "t1 AS MATERIALIZED (SELECT u, v, v AS node, 1 AS depth FROM ends)"]
     for h in range(2, depth + 1):
-        seen = " UNION ALL ".join(["SELECT trace_id, node FROM blocked"] + [f"SELECT trace_id, node FROM t{i}" for i in range(1, h)])
-        parts.append(f"t{h} AS MATERIALIZED (SELECT DISTINCT trace_id, d AS node, {h} AS depth FROM t{h - 1} JOIN pr ON s = node WHERE (trace_id, d) NOT IN ({seen}))")
-    parts.append("visited AS MATERIALIZED (SELECT trace_id, node, 0 AS depth FROM blocked UNION ALL " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, depth + 1)) + ")")
-    parts.append(f"""path AS MATERIALIZED (SELECT DISTINCT trace_id, transaction_id FROM visited JOIN tx ON sender_account = node WHERE depth > 0 AND depth < {depth} UNION SELECT trace_id, trace_id FROM seeds)""")
+        seen = " UNION ALL ".join(["SELECT u, v, u FROM ends WHERE u <> v"] + [f"SELECT u, v, node FROM t{i}" for i in range(1, h)])
+        parts.append(f"t{h} AS MATERIALIZED (SELECT DISTINCT u, v, d AS node, {h} AS depth FROM t{h - 1} JOIN pr ON s = node WHERE (u, v, d) NOT IN ({seen}))")
+    parts.append("visited AS MATERIALIZED (SELECT u, v, u AS node, 0 AS depth FROM ends WHERE u <> v UNION ALL " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(1, depth + 1)) + ")")
+    parts.append("outgoing AS (SELECT sender_account AS node, count(*) AS n FROM tx GROUP BY 1)")
+    parts.append(f"followed AS MATERIALIZED (SELECT u, v, node, depth, CASE WHEN depth > 0 AND depth < {depth} THEN coalesce(n, 0) ELSE 0 END AS transfers FROM visited LEFT JOIN outgoing USING (node))")
     return ",\n".join(parts)
 
 
-@query("g11_trace_edges", with_(TX, PAIRS, trace_sql(5), "SELECT trace_id, transaction_id FROM path"))
+@query("g11_trace_accounts", with_(TX, PAIRS, trace_sql(5), "SELECT trace_id, node, depth, transfers FROM seeds JOIN followed USING (u, v)"))
 def g11(spark, sf):
+    """Traces of all transfers by the accounts they visit; their edges are the transfers followed from each."""
     edges = _edges(spark, sf)
-    seeds = transfers(spark, sf).filter(F.col("amount") >= LARGE)
-    return G.trace(edges, seeds, 5)[0].select("trace_id", F.col("key").alias("transaction_id"))
+    return G.trace_accounts(G.traces(edges, transfers(spark, sf), 5), edges, 5)
 
 
 @query("g11_trace_summary", with_(TX, PAIRS, trace_sql(5), """SELECT trace_id, edge_count, accounts, max_depth, 'Funds were traced across ' || edge_count || ' hops involving ' || accounts || ' unique accounts. Layering detected.' AS path_summary
-  FROM (SELECT trace_id, count(*) AS edge_count FROM path GROUP BY 1) JOIN (SELECT trace_id, count(*) AS accounts, max(depth) AS max_depth FROM visited GROUP BY 1) USING (trace_id)"""))
+  FROM seeds JOIN (SELECT u, v, sum(transfers)::BIGINT + CASE WHEN u = v THEN 0 ELSE 1 END AS edge_count, count(*) AS accounts, max(depth) AS max_depth FROM followed GROUP BY 1, 2) USING (u, v)"""))
 def g11_summary(spark, sf):
-    seeds = transfers(spark, sf).filter(F.col("amount") >= LARGE)
-    return G.trace(_edges(spark, sf), seeds, 5)[1]
+    edges = _edges(spark, sf)
+    return G.trace_summary(G.traces(edges, transfers(spark, sf), 5), edges, 5)
 
 
 @query("g12_money_paths", with_(TX, FOCAL, """one AS (SELECT account, [transaction_id] AS keys, receiver_account AS last FROM focal JOIN tx ON sender_account = account),
@@ -228,7 +268,7 @@ def g14(spark, sf):
     return link_edges(transfers(spark, sf), "device_id", "device").select("src", "dst")
 
 
-FEATURES = f"""cm AS MATERIALIZED (SELECT account, count(*) AS cycle_count, min(len(path)) - 1 AS shortest_cycle FROM cyc GROUP BY 1),
+FEATURES = f"""cm AS MATERIALIZED (SELECT account, sum(n)::BIGINT AS cycle_count, min(length)::BIGINT AS shortest_cycle FROM rings GROUP BY 1),
 sc AS MATERIALIZED (SELECT account, count(*) FILTER (kind = 'device' AND accounts > 1) AS shared_device_count, count(*) FILTER (kind = 'ip' AND accounts > 1) AS shared_ip_count FROM shared GROUP BY 1),
 nc AS MATERIALIZED (SELECT account, count(*) FILTER (node LIKE 'account:%' AND node <> 'account:' || account) AS neighbouring_accounts, count(*) FILTER (node LIKE 'device:%') AS neighbouring_devices,
   count(*) FILTER (node LIKE 'ip:%') AS neighbouring_ips, count(*) AS subgraph_nodes FROM ego GROUP BY 1),
@@ -236,10 +276,10 @@ feats AS MATERIALIZED (SELECT account, fm.* EXCLUDE (account), neighbouring_acco
   max_path_length, coalesce(cycle_count, 0) AS cycle_count, coalesce(shortest_cycle, 0) AS shortest_cycle, cycle_count IS NOT NULL AS has_cycle,
   coalesce(shared_device_count, 0) AS shared_device_count, coalesce(shared_ip_count, 0) AS shared_ip_count
   FROM focal JOIN fm USING (account) JOIN nc USING (account) JOIN dens USING (account) JOIN reach USING (account) LEFT JOIN cm USING (account) LEFT JOIN sc USING (account))"""
-FEATURE_CTES = (EDGES, PAIRS, ego_sql(2), FAN, DENSITY, reach_sql(5), CYCLES3, SHARED, FEATURES)
+FEATURE_CTES = (EDGES, PAIRS, ego_sql(2), FAN, DENSITY, reach_sql(5), RINGS5, SHARED, FEATURES)
 COLUMNS = ["account", "in_degree", "out_degree", "total_degree", "unique_senders", "unique_receivers", "inbound_volume", "outbound_volume", "fan_in_ratio", "fan_out_ratio",
            "neighbouring_accounts", "neighbouring_devices", "neighbouring_ips", "subgraph_nodes", "neighbourhood_density", "reachable_accounts", "upstream_accounts",
-           "max_path_length", "cycle_count", "has_cycle", "shared_device_count", "shared_ip_count"]
+           "max_path_length", "cycle_count", "shortest_cycle", "has_cycle", "shared_device_count", "shared_ip_count"]
 SIGNALS = """signals AS MATERIALIZED (SELECT account, 'HIGH_FAN_IN: ' || unique_senders || ' unique senders across ' || in_degree || ' transactions' AS signal FROM feats WHERE unique_senders >= 3 AND fan_in_ratio >= 0.7
   UNION ALL SELECT account, 'HIGH_FAN_OUT: ' || unique_receivers || ' unique receivers across ' || out_degree || ' transactions' FROM feats WHERE unique_receivers >= 3 AND fan_out_ratio >= 0.7
   UNION ALL SELECT account, 'CYCLE_DETECTED: ' || cycle_count || ' circular fund flow loop(s) detected (shortest: ' || shortest_cycle || ' hops)' FROM feats WHERE has_cycle
@@ -247,9 +287,9 @@ SIGNALS = """signals AS MATERIALIZED (SELECT account, 'HIGH_FAN_IN: ' || unique_
   UNION ALL SELECT account, CASE kind WHEN 'device' THEN 'SHARED_DEVICE: Device ' ELSE 'SHARED_IP: IP ' END || entity || ' is linked to ' || accounts || ' accounts' FROM shared SEMI JOIN focal USING (account) WHERE accounts > 1)"""
 
 
-def features(spark, sf):
+def features(spark, sf, list_depth=0):
     nodes, edges = _graph(spark, sf)
-    return G.graph_features(nodes, edges, _everyone(spark, sf), hops=2, max_depth=5, cycle_depth=3)
+    return G.graph_features(nodes, edges, _everyone(spark, sf), hops=2, max_depth=5, list_depth=list_depth)
 
 
 @query("g15_signals", with_(TX, FOCAL, *FEATURE_CTES, SIGNALS, "SELECT account, string_agg(signal, '|' ORDER BY signal) AS signals FROM signals GROUP BY 1"))
@@ -259,7 +299,7 @@ def g15(spark, sf):
 
 @query("g16_graph_features", with_(TX, FOCAL, *FEATURE_CTES, f"SELECT {', '.join(COLUMNS)} FROM feats"))
 def g16(spark, sf):
-    return features(spark, sf).select(*COLUMNS)
+    return features(spark, sf).withColumn("shortest_cycle", F.col("shortest_cycle").cast("long")).select(*COLUMNS)
 
 
 @query("g17_event_features", with_(TX, FOCAL, *FEATURE_CTES, f"""SELECT transaction_id, s.in_degree AS sender_in_degree, s.cycle_count AS sender_cycle_count, r.reachable_accounts AS receiver_reachable_accounts,
@@ -271,13 +311,13 @@ def g17(spark, sf):
 @query("g18_contributing_nodes", with_(TX, FOCAL, EDGES, ego_sql(2), "SELECT account, node FROM ego"))
 def g18(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.contributing_nodes(G.ego_nodes(nodes, edges, _everyone(spark, sf), 2))
+    return G.contributing_nodes(G.ego(nodes, edges, _everyone(spark, sf), 2))
 
 
 @query("g18_contributing_transactions", with_(TX, FOCAL, EDGES, ego_sql(1), """SELECT DISTINCT a.account, key AS transaction_id FROM edges JOIN ego a ON a.node = src JOIN ego b ON b.node = dst AND b.account = a.account WHERE rel = 'TRANSFERRED_FUNDS'"""))
 def g18_tx(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.contributing_transactions(G.ego_nodes(nodes, edges, _everyone(spark, sf), 1), edges)
+    return G.contributing_transactions(G.ego(nodes, edges, _everyone(spark, sf), 1), edges)
 
 
 @query("g19_unseen_accounts", with_(TX, FOCAL, """SELECT 'ACC-' || s_suppkey AS account, f.account IS NOT NULL AS in_graph, CASE WHEN f.account IS NULL THEN 'Account ACC-' || s_suppkey || ' not found in graph topology.' ELSE 'known' END AS path_summary

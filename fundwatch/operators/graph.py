@@ -2,17 +2,20 @@
 
 Edges are ``(src, dst, key, relationship, amount, ...)`` with typed ids (``account:A``).
 Everything that walks the graph uses the collapsed pairs, so parallel transfers cost
-nothing, and advances all starting points together, one join per hop. Each hop is
-written to the checkpoint folder; visited nodes are removed before the next one. A hub
-on the adjacency side of a hop is split by AQE's skew join.
+nothing, and advances all starting points together, 64 of them a row (``words``), one join
+per hop. Each hop is written to the checkpoint folder; visited nodes are removed before the
+next one. A hub on the adjacency side of a hop is split by AQE's skew join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import money, node_id, strip_prefix
 from ..functions.session import cut
+from . import words as W
 
 TRANSFER = "TRANSFERRED_FUNDS"
 
@@ -63,106 +66,145 @@ def counterparties(edges: DataFrame) -> DataFrame:
     return fan_metrics(edges).select("account", "unique_senders", "unique_receivers")
 
 
-def _expand(
-    start: DataFrame, steps: DataFrame, hops: int, keys: list[str],
-    within: DataFrame | None = None, blocked: DataFrame | None = None,
-) -> DataFrame:
-    """Breadth-first search of many starting points: ``keys + (node, depth)``.
+@dataclass(frozen=True)
+class Egos:
+    """Ego networks of many accounts: ``accounts`` with their places, and ``sets`` (node, type, word, bits, depth)."""
 
-    ``steps`` has ``from``, ``to`` and any of the keys it depends on. ``within`` limits
-    the walk to its ``keys + node`` rows; ``blocked`` rows count as visited (depth -1).
-    """
-    shared = [k for k in keys if k in steps.columns]
-    # Both frames are read once per hop.
-    steps = cut(steps)
-    seen = frontier = cut(start.withColumn("depth", F.lit(0)))
-    if blocked is not None:
-        seen = seen.unionByName(blocked.withColumn("depth", F.lit(-1)))
-    for hop in range(1, hops + 1):
-        nxt = frontier.drop("depth").withColumnRenamed("node", "from").join(steps, ["from", *shared])
-        nxt = nxt.select(*keys, F.col("to").alias("node")).distinct()
-        if within is not None:
-            nxt = nxt.join(within, [k for k in within.columns], "left_semi")
-        frontier = cut(nxt.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(hop)))
-        seen = seen.unionByName(frontier)
-        if hop < hops and frontier.isEmpty():
-            break
-    return seen
+    accounts: DataFrame
+    sets: DataFrame
+    hops: int
 
+    def inside(self, kind: str | None = None) -> DataFrame:
+        """node, word, bits over all depths; with ``kind="account"`` only accounts, by their plain names."""
+        rows = self.sets if kind is None else self.sets.filter(F.col("type") == kind).withColumn("node", strip_prefix("node"))
+        return W.merged(rows)
 
-def ego_nodes(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2) -> DataFrame:
-    """Nodes within ``hops`` of each focal account over all edge types, ignoring direction."""
+
+def ego(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2) -> Egos:
+    """Nodes within ``hops`` of each focal account of the graph over all edge types, ignoring direction."""
     ends = edges.select("src", "dst").distinct()
     steps = ends.select(F.col("src").alias("from"), F.col("dst").alias("to")).union(ends.select("dst", "src")).distinct()
-    start = focal.select("account").distinct().select("account", node_id("account", "account").alias("node"))
-    start = start.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("account", "node")
-    return _expand(start, steps, hops, ["account"]).withColumn("type", F.substring_index("node", ":", 1))
+    known = focal.select("account").distinct().withColumn("node", node_id("account", "account")).join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    accounts = W.numbered(known)
+    start = accounts.select(node_id("account", "account").alias("node"), "word", W.own_bit())
+    return Egos(accounts, W.walk(start, steps, hops).withColumn("type", F.substring_index("node", ":", 1)), hops)
+
+
+def ego_nodes(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2) -> DataFrame:
+    """account, node, depth, type: the ego networks as rows, for as many accounts as the listing is wanted of."""
+    found = ego(nodes, edges, focal, hops)
+    return W.listed(found.sets, found.accounts)
+
 
+def _ego_edges(egos: Egos, edges: DataFrame) -> DataFrame:
+    """Edges with the accounts (word, bits) whose ego network holds both ends."""
+    inside = cut(egos.inside())
+    return W.both(edges.join(inside.withColumnRenamed("node", "src"), "src"), inside.withColumnRenamed("node", "dst"), ["dst"])
 
-def ego_edges(ego: DataFrame, edges: DataFrame) -> DataFrame:
+
+def ego_edges(egos: Egos, edges: DataFrame) -> DataFrame:
     """Edges with both ends in the ego network, one row per focal account and edge."""
-    src = ego.select("account", F.col("node").alias("src"))
-    dst = ego.select("account", F.col("node").alias("dst"))
-    return src.join(edges, "src").join(dst, ["account", "dst"], "left_semi")
+    return W.listed(_ego_edges(egos, edges), egos.accounts)
 
 
-def ego(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    inside = ego_nodes(nodes, edges, focal, hops)
-    return inside, ego_edges(inside, edges)
+def ego_edge_counts(egos: Egos, edges: DataFrame) -> DataFrame:
+    """account, relationship, edges: edges inside each ego network, parallel ones combined beforehand."""
+    collapsed = edges.groupBy("src", "dst", "relationship").agg(F.count(F.lit(1)).alias("_edges"))
+    return W.per_account(_ego_edges(egos, collapsed), egos.accounts, ["relationship"], "_edges").withColumnRenamed("n", "edges")
 
 
-def neighbour_counts(ego: DataFrame) -> DataFrame:
+def neighbour_counts(egos: Egos) -> DataFrame:
     """Neighbours by type, and all nodes."""
-    kind = F.col("type")
-    other = F.col("node") != node_id("account", "account")
-    return ego.groupBy("account").agg(
-        F.count_if((kind == "account") & other).alias("neighbouring_accounts"),
-        F.count_if(kind == "device").alias("neighbouring_devices"), F.count_if(kind == "ip").alias("neighbouring_ips"),
-        F.count_if(kind == "account").alias("account_nodes"), F.count(F.lit(1)).alias("subgraph_nodes"),
+    kind, n = F.col("type"), F.col("n")
+    of = lambda name: F.sum(F.when(kind == name, n).otherwise(0))
+    return W.per_account(egos.sets, egos.accounts, ["type"]).groupBy("account").agg(
+        (of("account") - 1).alias("neighbouring_accounts"), of("device").alias("neighbouring_devices"), of("ip").alias("neighbouring_ips"),
+        of("account").alias("account_nodes"), F.sum(n).alias("subgraph_nodes"),
     )
 
 
-def _ego_accounts(ego: DataFrame) -> DataFrame:
-    return ego.filter(F.col("type") == "account").select("account", strip_prefix("node").alias("node"))
-
+def triangles(p: DataFrame) -> DataFrame:
+    """a, b, c, ab, bc, ac: every three accounts linked with each other, once, and the directions of their pairs.
 
-def density(ego: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distinct directed transfer pairs inside the ego network over ``n (n - 1)``; self-pairs count above only."""
-    inside = _ego_accounts(ego)
-    size = inside.groupBy("account").agg(F.count(F.lit(1)).alias("n"))
-    p = pairs(edges).select("src", "dst")
-    linked = inside.withColumnRenamed("node", "src").join(p, "src").join(inside.withColumnRenamed("node", "dst"), ["account", "dst"], "left_semi")
-    count = linked.groupBy("account").agg(F.count(F.lit(1)).alias("linked_pairs"))
-    value = F.when(F.col("n") >= 2, F.round(F.coalesce("linked_pairs", F.lit(0)) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0)), 4))
+    A link is 1 (first to second), 2 (second to first) or 3 (both). Links point from the account
+    with fewer neighbours to the one with more, so a wedge is closed at its least end and no
+    account opens more than the square root of twice the number of links.
+    """
+    way = F.when(F.col("src") < F.col("dst"), 1).otherwise(2)
+    links = p.filter("src <> dst").groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.bit_or(way).alias("m"))
+    links = cut(links)
+    degree = cut(links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    at = lambda end: degree.select(F.col("node").alias(end), F.struct("degree", "node").alias(f"_{end}"))
+    placed = links.join(at("x"), "x").join(at("y"), "y")
+    up = F.col("_x") < F.col("_y")
+    turned = F.when(up, F.col("m")).otherwise(F.shiftrightunsigned(F.col("m"), 1) + F.shiftleft(F.col("m").bitwiseAND(1), 1))
+    oriented = cut(placed.select(
+        F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"), turned.cast("int").alias("ab"), F.greatest("_x", "_y").alias("rank")))
+    wedges = oriented.join(oriented.select("a", F.col("b").alias("c"), F.col("ab").alias("ac"), F.col("rank").alias("_c")), "a").filter(F.col("rank") < F.col("_c"))
+    closing = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("ab").alias("bc"))
+    return wedges.join(closing, ["b", "c"]).select("a", "b", "c", "ab", "bc", "ac")
+
+
+def _near_pairs(p: DataFrame) -> DataFrame:
+    """account, linked_pairs: directed pairs among an account and its neighbours, from the triangles it is a corner of."""
+    n = lambda m: F.when(F.col(m) == 3, 2).otherwise(1)
+    opposite = triangles(p).select(F.inline(F.array(*[F.struct(F.col(corner).alias("account"), n(side).alias("k")) for corner, side in (("a", "bc"), ("b", "ac"), ("c", "ab"))])))
+    own = p.filter("src <> dst").select(F.explode(F.array("src", "dst")).alias("account"), F.lit(1).alias("k"))
+    loops = p.filter("src = dst").select(F.col("src").alias("node"))
+    links = p.filter("src <> dst").select(F.col("src").alias("account"), F.col("dst").alias("node"))
+    beside = links.unionByName(links.select(F.col("node").alias("account"), F.col("account").alias("node"))).distinct().unionByName(loops.select(F.col("node").alias("account"), "node"))
+    looped = beside.join(loops, "node").select("account", F.lit(1).alias("k"))
+    return opposite.unionByName(own).unionByName(looped).groupBy("account").agg(F.sum("k").alias("linked_pairs"))
+
+
+def density(egos: Egos, edges: DataFrame) -> DataFrame:
+    """Distinct directed transfer pairs inside the ego network over ``n (n - 1)``; self-pairs count above only.
+
+    Ego networks of one hop are an account and its neighbours, whose pairs are triangles; wider
+    ones meet each pair at both ends.
+    """
+    p = cut(pairs(edges).select("src", "dst"))
+    inside = cut(egos.inside("account"))
+    size = W.per_account(inside, egos.accounts, []).withColumnRenamed("n", "accounts")
+    if egos.hops == 1:
+        count = _near_pairs(p)
+    else:
+        met = W.both(p.join(inside.withColumnRenamed("node", "src"), "src"), inside.withColumnRenamed("node", "dst"), ["dst"])
+        count = W.per_account(met, egos.accounts, []).withColumnRenamed("n", "linked_pairs")
+    n = F.col("accounts")
+    value = F.when(n >= 2, F.round(F.coalesce("linked_pairs", F.lit(0)) / F.nullif(n * (n - 1), F.lit(0)), 4))
     return size.join(count, "account", "left").select("account", F.coalesce(value, F.lit(0.0)).alias("neighbourhood_density"))
 
 
-def reach_nodes(ego: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Accounts downstream and upstream of each focal account inside its ego network, with their depth."""
+def reach_sets(egos: Egos, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """direction, node, word, bits, depth: accounts downstream and upstream of each focal account inside its ego network."""
     p = pairs(edges).select("src", "dst")
     down = p.select(F.lit("down").alias("direction"), F.col("src").alias("from"), F.col("dst").alias("to"))
     steps = down.unionByName(p.select(F.lit("up").alias("direction"), F.col("dst").alias("from"), F.col("src").alias("to")))
-    inside = cut(_ego_accounts(ego))
-    start = inside.select("account").distinct().select("account", F.explode(F.array(F.lit("down"), F.lit("up"))).alias("direction"), F.col("account").alias("node"))
-    return _expand(start, steps, max_depth, ["account", "direction"], within=inside)
+    start = egos.accounts.select(F.explode(F.array(F.lit("down"), F.lit("up"))).alias("direction"), F.col("account").alias("node"), "word", "bit")
+    start = start.select("direction", "node", "word", W.own_bit())
+    return W.walk(start, steps, max_depth, ["direction"], within=cut(egos.inside("account")))
 
 
-def reach(ego: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+def reach(egos: Egos, edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """Reachable count, upstream count, longest downstream distance and the summary sentence."""
-    return reach_summary(reach_nodes(ego, edges, max_depth))
+    return reach_summary(egos, reach_sets(egos, edges, max_depth))
 
 
-def first_downstream(walked: DataFrame, n: int = 5) -> DataFrame:
+def first_downstream(egos: Egos, walked: DataFrame, n: int = 5) -> DataFrame:
     """``downstream``: the first ``n`` reached accounts by name (ranks beyond ``n`` are dropped before the shuffle)."""
-    w = Window.partitionBy("account").orderBy("node")
-    top = walked.filter((F.col("direction") == "down") & (F.col("depth") > 0)).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n)
-    return top.groupBy("account").agg(F.array_sort(F.collect_list("node")).alias("downstream"))
-
-
-def reach_summary(walked: DataFrame) -> DataFrame:
-    down, away = F.col("direction") == "down", F.col("depth") > 0
-    agg = walked.groupBy("account").agg(
-        F.count_if(down & away).alias("reachable_accounts"), F.count_if(~down & away).alias("upstream_accounts"),
+    w = Window.partitionBy("word", "bit").orderBy("node")
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(W.BITS - 1)), lambda k: F.getbit(F.col("bits"), k) == 1)).alias("bit")
+    rows = walked.filter((F.col("direction") == "down") & (F.col("depth") > 0)).select("word", bit, "node")
+    top = rows.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n)
+    first = top.groupBy("word", "bit").agg(F.array_sort(F.collect_list("node")).alias("downstream"))
+    return first.join(egos.accounts, ["word", "bit"]).select("account", "downstream")
+
+
+def reach_summary(egos: Egos, walked: DataFrame) -> DataFrame:
+    down, away, n = F.col("direction") == "down", F.col("depth") > 0, F.col("n")
+    agg = W.per_account(walked, egos.accounts, ["direction", "depth"]).groupBy("account").agg(
+        F.sum(F.when(down & away, n).otherwise(0)).alias("reachable_accounts"), F.sum(F.when(~down & away, n).otherwise(0)).alias("upstream_accounts"),
         F.max(F.when(down, F.col("depth"))).alias("max_path_length"),
     )
     return agg.withColumn("path_summary", path_summary())
@@ -176,11 +218,20 @@ def path_summary() -> Column:
     )).otherwise(F.concat(F.lit("Account "), "account", F.lit(" has no downstream fund transfers.")))
 
 
-def _trimmed(p: DataFrame, rounds: int = 2) -> DataFrame:
-    """Drop pairs that cannot lie on a cycle: the source never receives or the target never sends."""
-    for _ in range(rounds):
+def _trimmed(p: DataFrame) -> DataFrame:
+    """Drop pairs that cannot lie on a cycle: the source never receives or the target never sends.
+
+    Rounds go on to the fixed point, or until one takes less than a hundredth of the pairs (a long
+    chain would lose its ends only, and needs no further rounds for a right result).
+    """
+    p = cut(p)
+    n = p.count()
+    while n:
         sends, receives = p.select(F.col("src").alias("dst")).distinct(), p.select(F.col("dst").alias("src")).distinct()
-        p = p.join(sends, "dst", "left_semi").join(receives, "src", "left_semi")
+        p = cut(p.join(sends, "dst", "left_semi").join(receives, "src", "left_semi"))
+        before, n = n, p.count()
+        if before - n <= before // 100:
+            break
     return p
 
 
@@ -188,28 +239,118 @@ def cycles(edges: DataFrame, focal: DataFrame | None = None, max_depth: int = 5)
     """Simple cycles of at most ``max_depth`` hops, ``(start, path, length)``; a self-transfer has one hop.
 
     With ``focal`` the cycles through those accounts, else every cycle once, from its
-    smallest account. The last hop is a lookup of ``(last, start)``, not an expansion.
-    The number of cycles can grow exponentially with the depth; that is the answer's own size.
+    smallest account. The number of cycles can grow exponentially with the depth; that is the
+    answer's own size (``cycle_counts`` and ``circular_flags`` list none).
     """
-    p = cut(_trimmed(pairs(edges).select("src", "dst")))
-    start = p.select("src").distinct()
-    if focal is not None:
-        start = start.join(focal.select(F.col("account").alias("src")).distinct(), "src", "left_semi")
-    path = start.select(F.col("src").alias("start"), F.col("src").alias("last"), F.array("src").alias("path"))
+    p = pairs(edges).select("src", "dst")
+    loops = p.filter("src = dst").select(F.col("src").alias("start"), F.array("src", "src").alias("path"), F.lit(1).alias("length"))
+    rest = _trimmed(p.filter("src <> dst"))
+    if focal is None:
+        return loops.unionByName(_rings(rest, max_depth))
+    asked = focal.select(F.col("account").alias("start")).distinct()
+    return loops.join(asked, "start", "left_semi").unionByName(_rings_through(rest, asked, max_depth))
+
+
+def _rings(p: DataFrame, max_depth: int) -> DataFrame:
+    """Every cycle of two or more hops once: half-paths from its account of least degree meet at the far end.
+
+    Paths only visit accounts above the one they start from in the order of (degree, name), so a
+    hub starts none but those among hubs.
+    """
+    degree = p.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    rank = cut(degree.select("node", F.struct("degree", "node").alias("rank")))
+    at = lambda end: rank.select(F.col("node").alias(end), F.col("rank").alias(f"_{end}"))
+    step = cut(p.join(at("src"), "src").join(at("dst"), "dst"))
+    forth = {1: step.filter("_src < _dst").select(F.col("src").alias("start"), F.col("_src").alias("least"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))}
+    back = {1: step.filter("_dst < _src").select(F.col("dst").alias("start"), F.col("_dst").alias("least"), F.col("src").alias("last"), F.array("src").alias("rest"))}
+    found = None
+    for length in range(2, max_depth + 1):
+        out, home = (length + 1) // 2, length // 2
+        if out not in forth:
+            grown = forth[out - 1].join(step.select(F.col("src").alias("last"), F.col("dst").alias("next"), "_dst"), "last").filter((F.col("_dst") > F.col("least")) & ~F.array_contains("path", F.col("next")))
+            forth[out] = cut(grown.select("start", "least", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")))
+        if home not in back:
+            grown = back[home - 1].join(step.select(F.col("dst").alias("last"), F.col("src").alias("next"), "_src"), "last").filter((F.col("_src") > F.col("least")) & ~F.array_contains("rest", F.col("next")))
+            back[home] = cut(grown.select("start", "least", F.col("next").alias("last"), F.concat(F.array("next"), "rest").alias("rest")))
+        met = forth[out].join(back[home].drop("least"), ["start", "last"]).withColumn("rest", F.slice("rest", 2, length))
+        ring = F.concat("path", "rest")
+        closed = met.filter(~F.arrays_overlap("path", "rest")).select(ring.alias("ring"), F.lit(length).alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+    if found is None:
+        return p.select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.lit(0).alias("length")).limit(0)
+    first = F.array_min("ring")
+    at = F.array_position("ring", first).cast("int")
+    turned = F.concat(F.slice("ring", at, F.size("ring")), F.slice("ring", F.lit(1), at - 1), F.array(first))
+    return found.select(first.alias("start"), turned.alias("path"), "length")
+
+
+def _rings_through(p: DataFrame, asked: DataFrame, max_depth: int) -> DataFrame:
+    """Cycles of two or more hops from each asked account back to it; the last hop is a lookup of ``(last, start)``."""
+    path = p.join(asked, F.col("src") == F.col("start"), "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     closing = p.select(F.col("src").alias("last"), F.col("dst").alias("start"))
     step = p.select(F.col("src").alias("last"), F.col("dst").alias("next"))
     found = None
-    for length in range(1, max_depth + 1):
-        closed = path.join(closing, ["last", "start"], "left_semi").select(
-            "start", F.concat("path", F.array("start")).alias("path"), F.lit(length).alias("length"))
+    for length in range(2, max(max_depth, 2) + 1):
+        closed = path.join(closing, ["last", "start"], "left_semi").select("start", F.concat("path", F.array("start")).alias("path"), F.lit(length).alias("length"))
         found = closed if found is None else found.unionByName(closed)
-        if length == max_depth:
+        if length >= max_depth:
             break
         grown = path.join(step, "last").filter(~F.array_contains("path", F.col("next")))
-        if focal is None:
-            grown = grown.filter(F.col("next") > F.col("start"))
         path = cut(grown.select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")))
-    return found
+    return found.filter(F.col("length") <= max_depth)
+
+
+def cycle_counts(edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """account, length, n: simple cycles of each account by length, to at most five hops, without listing any.
+
+    They are the closed walks of that length less those that visit an account twice. With r two-hop
+    and t three-hop closed walks, w(a, b) walks of two hops, e the pairs and m the mutual ones:
+    length 2 has r(a) and length 3 t(a) cycles; of the four-hop walks those that come through a
+    again or leave and enter by one account go; of the five-hop walks those made of a cycle of two
+    and one of three, at each of the five places where they can touch.
+    """
+    if max_depth > 5:
+        raise ValueError("cycles are counted to five hops; list longer ones with cycles()")
+    whole = cut(pairs(edges).select("src", "dst"))
+    out = whole.filter("src = dst").select(F.col("src").alias("account"), F.lit(1).alias("length"), F.lit(1).cast("bigint").alias("n"))
+    if max_depth < 2:
+        return out
+    e = _trimmed(whole.filter("src <> dst")).toDF("a", "b")
+    name = lambda df, *names: df.toDF(*names)
+    walks = cut(name(e, "a", "x").join(name(e, "x", "b"), "x").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+    r = cut(walks.filter("a = b").select("a", F.col("w").alias("r")))
+    mutual = e.join(name(e, "b", "a"), ["a", "b"])
+    terms = [r.select("a", F.lit(2).alias("length"), F.col("r").alias("n"))]
+    if max_depth >= 3:
+        triple = walks.join(name(e, "b", "a"), ["a", "b"]).groupBy("a").agg(F.sum("w").alias("t"))
+        t = cut(triple)
+        terms.append(t.select("a", F.lit(3).alias("length"), F.col("t").alias("n")))
+    back = name(walks, "b", "a", "v")
+    by = lambda df, key, value: name(df, key, value)
+    term = lambda df, length, value: df.select("a", F.lit(length).alias("length"), value.cast("bigint").alias("n"))
+    w, v = F.col("w"), F.col("v")
+    if max_depth >= 4:
+        terms += [
+            term(walks.join(back, ["a", "b"]), 4, w * v),
+            term(r, 4, F.col("r") - F.col("r") * F.col("r")),
+            term(mutual.join(by(r, "b", "rb"), "b"), 4, -F.col("rb"))]
+    if max_depth >= 5:
+        three = name(walks, "a", "x", "w").join(name(e, "x", "b"), "x").groupBy("a", "b").agg(F.sum("w").alias("w"))
+        crossed = name(mutual, "b", "c").join(name(e, "c", "a"), "c").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+        terms += [
+            term(three.join(back, ["a", "b"]), 5, w * v),
+            term(r.join(t, "a"), 5, -2 * F.col("r") * F.col("t")),
+            term(e.join(back, ["a", "b"]).join(by(r, "b", "rb"), "b"), 5, -F.col("rb") * v),
+            term(mutual.join(by(t, "b", "tb"), "b"), 5, -F.col("tb")),
+            term(walks.join(name(e, "b", "a"), ["a", "b"]).join(by(r, "b", "rb"), "b"), 5, -F.col("rb") * w),
+            term(mutual.join(back, ["a", "b"]), 5, 2 * v),
+            term(mutual.join(walks, ["a", "b"]), 5, 2 * w),
+            term(e.join(crossed, ["a", "b"]), 5, F.col("k"))]
+    summed = terms[0]
+    for more in terms[1:]:
+        summed = summed.unionByName(more)
+    counts = summed.groupBy(F.col("a").alias("account"), "length").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    return out.unionByName(counts)
 
 
 def normalize_cycles(found: DataFrame, focal: DataFrame | None = None) -> DataFrame:
@@ -234,60 +375,158 @@ def cycle_metrics(normal: DataFrame) -> DataFrame:
     return counts.join(nodes, "account").withColumn("has_cycle", F.lit(True))
 
 
-def circular_flags(edges: DataFrame, max_depth: int = 5) -> DataFrame:
+def circular_flags(edges: DataFrame, max_depth: int = 5, hub: int | None = None) -> DataFrame:
     """Accounts on a cycle of at most ``max_depth`` hops, with the shortest length.
 
-    Only the distance back to oneself matters, so no cycle is listed: self-loops and
-    mutual pairs settle most accounts with one lookup each, settled accounts leave the
-    search, and the rest advance by distinct reached accounts.
+    No cycle is listed. Self-transfers, mutual pairs and directed triangles settle one to three
+    hops by lookups. For accounts still open, a shortest cycle of 2 k hops is where the
+    accounts k hops ahead and k hops back meet, one of 2 k + 1 hops where a pair leads from the ones to
+    the others; both sides are sets of accounts (``words``), and none goes further than half way.
+    Accounts with more than ``hub`` (by default the number of pairs, at least a million) ways
+    through them are taken out first and searched from themselves: a cycle through one is
+    a way to it and a way from it.
     """
-    p = cut(_trimmed(pairs(edges).select("src", "dst")))
-    back = p.select(F.col("src").alias("node"), F.col("dst").alias("account"))
-    step = p.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    frontier = p.select(F.col("src").alias("account"), F.col("src").alias("node")).distinct()
-    seen = frontier
-    settled: DataFrame | None = None
-    for length in range(1, max_depth + 1):
-        hit = cut(frontier.join(back, ["node", "account"], "left_semi").select("account").distinct().withColumn("shortest_cycle", F.lit(length)))
-        settled = hit if settled is None else settled.unionByName(hit)
-        if length == max_depth:
-            break
-        frontier = frontier.join(hit, "account", "left_anti")
-        grown = frontier.join(step, "node").select("account", F.col("next").alias("node")).distinct()
-        frontier = cut(grown.join(seen, ["account", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    whole = cut(pairs(edges).select("src", "dst"))
+    row = lambda df, account, length: df.select(F.col(account).alias("account"), F.lit(length).alias("shortest_cycle"))
+    found = row(whole.filter("src = dst"), "src", 1)
+    p = _trimmed(whole.filter("src <> dst"))
+    if max_depth >= 2:
+        found = found.unionByName(row(p.join(p.toDF("dst", "src"), ["src", "dst"]), "src", 2))
+    if max_depth >= 3:
+        has = lambda m, way: F.col(m).bitwiseAND(way) != 0
+        round_trip = (has("ab", 1) & has("bc", 1) & has("ac", 2)) | (has("ab", 2) & has("bc", 2) & has("ac", 1))
+        found = found.unionByName(row(triangles(p).filter(round_trip).select(F.explode(F.array("a", "b", "c")).alias("account")), "account", 3))
+    settled = cut(found.groupBy("account").agg(F.min("shortest_cycle").alias("shortest_cycle")))
+    if max_depth >= 4:
+        still = cut(p.select(F.col("src").alias("account")).distinct().join(settled, "account", "left_anti"))
+        if not still.isEmpty():
+            longer = _longer_cycles(p, still, max_depth, hub)
+            settled = settled.unionByName(longer.groupBy("account").agg(F.min("shortest_cycle").alias("shortest_cycle")))
     return settled.withColumn("in_cycle", F.lit(True))
 
 
-def trace_nodes(edges: DataFrame, tx_ids: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Accounts reached downstream of each traced transfer; the receiver has depth 1 and the sender 0."""
-    t = edges.filter(F.col("relationship") == TRANSFER)
-    seed = t.join(tx_ids.select("transaction_id").distinct(), "transaction_id", "left_semi")
-    steps = pairs(edges).select(F.col("src").alias("from"), F.col("dst").alias("to"))
-    seed = seed.select(F.col("transaction_id").alias("trace_id"), strip_prefix("src").alias("u"), strip_prefix("dst").alias("v"))
-    # The sender counts as visited: money is followed from the receiver, never through the sender.
-    seed = cut(seed)
-    sender = seed.filter("u <> v").select("trace_id", F.col("u").alias("node"))
-    walked = _expand(seed.select("trace_id", F.col("v").alias("node")), steps, max_depth - 1, ["trace_id"], blocked=sender)
-    return walked.withColumn("depth", F.col("depth") + 1)
+def _steps(p: DataFrame, back: bool = False) -> DataFrame:
+    return p.select(F.col("dst" if back else "src").alias("from"), F.col("src" if back else "dst").alias("to"))
+
+
+def _longer_cycles(p: DataFrame, still: DataFrame, max_depth: int, hub: int | None) -> DataFrame:
+    """account, shortest_cycle of the accounts ``still`` open that lie on a cycle of 4 to ``max_depth`` hops."""
+    ends = p.select(F.explode(F.array(F.struct(F.col("src").alias("account"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("account"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+    ways = ends.groupBy("account").agg((F.sum("into") * F.sum(1 - F.col("into"))).alias("ways"))
+    hubs = cut(ways.filter(F.col("ways") > (max(1_000_000, p.count()) if hub is None else hub)).select("account"))
+    found = still.withColumn("shortest_cycle", F.lit(0)).limit(0)
+    if not hubs.isEmpty():
+        found = found.unionByName(_cycles_through(p, hubs, max_depth).join(still, "account", "left_semi"))
+        named = lambda end: hubs.select(F.col("account").alias(end))
+        p = cut(p.join(named("src"), "src", "left_anti").join(named("dst"), "dst", "left_anti"))
+        still = still.join(hubs, "account", "left_anti")
+    ahead, behind = _steps(p), _steps(p, back=True)
+    places = W.numbered(still)
+    start = cut(places.select(F.col("account").alias("node"), "word", W.own_bit()))
+    open_bits = start.groupBy("word").agg(F.bit_or("bits").alias("_open"))
+    forth, back = start, start
+    seen_forth, seen_back = start, start
+    for k in range(1, max_depth // 2 + 1):
+        forth, seen_forth = _next(forth, seen_forth, ahead, open_bits)
+        back, seen_back = _next(back, seen_back, behind, open_bits)
+        for length in (2 * k, 2 * k + 1):
+            if length < 4 or length > max_depth:
+                continue
+            near = forth if length == 2 * k else W.spread(forth, ahead, [])
+            met = W.both(near, back, ["node"]).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+            met = cut(met.join(open_bits, "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("_open"))).filter("bits <> 0").select("word", "bits"))
+            found = found.unionByName(W.listed(met, places).withColumn("shortest_cycle", F.lit(length)))
+            left = open_bits.join(met, "word", "left").withColumn("_open", F.col("_open").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint")))))
+            open_bits = cut(left.filter("_open <> 0").select("word", "_open"))
+    return found
 
 
-def trace(edges: DataFrame, tx_ids: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Edges of each fund trace, and its summary: edge count, accounts, depth and sentence."""
+def _next(sets: DataFrame, seen: DataFrame, steps: DataFrame, open_bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of open accounts one hop on, without what they have seen, and all that is seen by then."""
+    met = W.spread(sets, steps, []).join(open_bits, "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("_open")))
+    before = seen.groupBy("node", "word").agg(F.bit_or("bits").alias("_seen"))
+    fresh = met.join(before, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("bigint")))))
+    fresh = cut(fresh.filter("bits <> 0").select("node", "word", "bits"))
+    return fresh, seen.unionByName(fresh)
+
+
+def _cycles_through(p: DataFrame, hubs: DataFrame, max_depth: int) -> DataFrame:
+    """account, shortest_cycle: the shortest closed way of each account that visits a hub."""
+    places = W.numbered(hubs)
+    start = places.select(F.col("account").alias("node"), "word", W.own_bit())
+    ahead, behind = (W.walk(start, _steps(p, back), max_depth - 1).filter("depth > 0") for back in (False, True))
+    met = W.both(ahead.withColumnRenamed("depth", "_to"), behind.withColumnRenamed("depth", "_from"), ["node"])
+    others = met.select(F.col("node").alias("account"), (F.col("_to") + F.col("_from")).alias("shortest_cycle"))
+    home = ahead.join(p.select(F.col("src").alias("node"), F.col("dst").alias("account")), "node").join(places, ["account", "word"])
+    own = home.filter(F.expr("bits & shiftleft(1L, bit)") != 0).select("account", (F.col("depth") + 1).alias("shortest_cycle"))
+    return others.unionByName(own).filter(F.col("shortest_cycle") <= max_depth).groupBy("account").agg(F.min("shortest_cycle").alias("shortest_cycle"))
+
+
+@dataclass(frozen=True)
+class Traces:
+    """Walks downstream of transfers, one for each distinct (sender, receiver): ``seeds`` (trace_id, u, v, account), their places and ``sets``."""
+
+    seeds: DataFrame
+    accounts: DataFrame
+    sets: DataFrame
+
+
+def traces(edges: DataFrame, tx_ids: DataFrame, max_depth: int = 5) -> Traces:
+    """Accounts reached downstream of each traced transfer; the receiver has depth 1 and the sender 0.
+
+    The sender counts as visited: money is followed from the receiver, never through the sender.
+    """
     t = edges.filter(F.col("relationship") == TRANSFER)
-    reached = cut(trace_nodes(edges, tx_ids, max_depth))
-    expanded = reached.filter((F.col("depth") > 0) & (F.col("depth") < max_depth)).select("trace_id", node_id("node", "account").alias("src"))
-    seed = t.join(tx_ids.select("transaction_id").distinct(), "transaction_id", "left_semi").select(F.col("transaction_id").alias("trace_id"), "src", "dst", "key", "amount")
+    seeds = t.join(tx_ids.select("transaction_id").distinct(), "transaction_id", "left_semi")
+    seeds = seeds.select(F.col("transaction_id").alias("trace_id"), strip_prefix("src").alias("u"), strip_prefix("dst").alias("v"))
+    seeds = cut(seeds.withColumn("account", F.to_json(F.array("u", "v"))))
+    places = W.numbered(seeds)
+    at = cut(seeds.select("account", "u", "v").distinct().join(places, "account"))
+    sender = cut(at.filter("u <> v").select(F.col("u").alias("node"), "word", W.own_bit()))
+    start = at.select(F.col("v").alias("node"), "word", W.own_bit())
+    grouped = lambda df: df.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    walked = W.walk(grouped(start), _steps(pairs(edges).select("src", "dst")), max_depth - 1, blocked=sender)
+    return Traces(seeds, places, walked.withColumn("depth", F.col("depth") + 1).unionByName(grouped(sender).withColumn("depth", F.lit(0))))
+
+
+def trace_accounts(found: Traces, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """trace_id, node, depth, transfers: the accounts of each trace and the number of transfers followed from them."""
+    out = edges.filter(F.col("relationship") == TRANSFER).groupBy(strip_prefix("src").alias("node")).agg(F.count(F.lit(1)).alias("transfers"))
+    rows = W.listed(found.sets, found.accounts).join(out, "node", "left")
+    followed = (F.col("depth") > 0) & (F.col("depth") < max_depth)
+    rows = rows.withColumn("transfers", F.when(followed, F.coalesce("transfers", F.lit(0))).otherwise(0))
+    return found.seeds.select("trace_id", "account").join(rows, "account").select("trace_id", "node", "depth", "transfers")
+
+
+def trace_edges(found: Traces, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """trace_id, src, dst, key, amount: the transfers of each trace as rows; their number has no bound."""
+    t = edges.filter(F.col("relationship") == TRANSFER)
+    followed = W.listed(found.sets.filter((F.col("depth") > 0) & (F.col("depth") < max_depth)), found.accounts)
+    expanded = found.seeds.select("trace_id", "account").join(followed, "account").select("trace_id", node_id("node", "account").alias("src"))
+    seed = t.join(found.seeds.select(F.col("trace_id").alias("transaction_id")), "transaction_id", "left_semi").select(F.col("transaction_id").alias("trace_id"), "src", "dst", "key", "amount")
     path = expanded.join(t, "src").select("trace_id", "src", "dst", "key", "amount").unionByName(seed)
-    path = path.dropDuplicates(["trace_id", "src", "dst", "key"])
-    summary = path.groupBy("trace_id").agg(F.count(F.lit(1)).alias("edge_count")).join(
-        reached.groupBy("trace_id").agg(F.count_distinct("node").alias("accounts"), F.max("depth").alias("max_depth")), "trace_id")
+    return path.dropDuplicates(["trace_id", "src", "dst", "key"])
+
+
+def trace_summary(found: Traces, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """trace_id, edge_count, accounts, max_depth and the sentence; counted for each (sender, receiver), nothing is listed."""
+    out = edges.filter(F.col("relationship") == TRANSFER).groupBy(strip_prefix("src").alias("node")).agg(F.count(F.lit(1)).alias("transfers"))
+    weighed = found.sets.join(out, "node", "left").withColumn("transfers", F.when((F.col("depth") > 0) & (F.col("depth") < max_depth), F.coalesce("transfers", F.lit(0))).otherwise(0))
+    counted = W.per_account(found.sets, found.accounts, ["depth"]).groupBy("account").agg(F.sum("n").alias("accounts"), F.max("depth").alias("max_depth"))
+    followed = W.per_account(weighed, found.accounts, [], "transfers").withColumnRenamed("n", "followed")
+    # The transfer itself is not among those followed, unless it goes from an account to itself.
+    itself = F.when((F.col("u") == F.col("v")) & F.lit(max_depth > 1), 0).otherwise(1)
+    summary = found.seeds.join(counted, "account").join(followed, "account", "left").select("trace_id", (F.coalesce("followed", F.lit(0)) + itself).alias("edge_count"), "accounts", "max_depth")
     # Fixed value: the summary sentence, whose "hops" are edges.
     text = F.concat(F.lit("Funds were traced across "), F.col("edge_count").cast("string"), F.lit(" hops involving "),
                     F.col("accounts").cast("string"), F.lit(" unique accounts. Layering detected."))
-    return path, summary.withColumn("path_summary", text)
+    return summary.withColumn("path_summary", text)
+
+
+def trace(edges: DataFrame, tx_ids: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Edges of each fund trace, and its summary: edge count, accounts, depth and sentence."""
+    found = traces(edges, tx_ids, max_depth)
+    return trace_edges(found, edges, max_depth), trace_summary(found, edges, max_depth)
 
 
 def money_paths(edges: DataFrame, focal: DataFrame, max_depth: int = 5, limit: int | None = None) -> DataFrame:
@@ -369,24 +608,36 @@ ZEROS = {
 }
 
 
-def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5, cycle_depth: int | None = None) -> DataFrame:
+def cycle_record(edges: DataFrame, max_depth: int = 5, focal: DataFrame | None = None, list_depth: int = 0) -> DataFrame:
+    """account, has_cycle, shortest_cycle, cycle_count to ``max_depth`` hops, and cycle_nodes, the accounts on cycles of at most ``list_depth``."""
+    counts = cycle_counts(edges, max_depth).groupBy("account").agg(F.sum("n").alias("cycle_count"))
+    out = circular_flags(edges, max_depth).select("account", F.col("in_cycle").alias("has_cycle"), "shortest_cycle").join(counts, "account")
+    if list_depth:
+        members = normalize_cycles(cycles(edges, focal, list_depth), focal).select("account", F.explode("path").alias("node")).distinct()
+        return out.join(members.groupBy("account").agg(F.array_sort(F.collect_list("node")).alias("cycle_nodes")), "account", "left")
+    return out.withColumn("cycle_nodes", F.lit(None).cast("array<string>"))
+
+
+def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5, list_depth: int | None = None) -> DataFrame:
     """The graph record of each focal account; an account the graph does not know gets zeros.
 
-    Paths and cycles go to ``max_depth`` hops; ``cycle_depth`` gives cycles a depth of their
-    own, as their number can grow exponentially with it.
+    Paths go to ``max_depth`` hops, cycles to ``max_depth``, five at most. ``cycle_nodes`` needs the
+    cycles listed, whose number can grow exponentially; ``list_depth`` gives that column a depth
+    of its own (0: empty). Flags and counts do not depend on it.
 
     Degrees come from the whole graph: every edge at the account is inside its ego
     network once ``hops`` is at least one. With ``hops = 0`` only self-transfers remain.
     """
     # Each of these is read by most of the parts below.
     focal, edges = cut(focal.select("account").distinct()), cut(edges)
-    inside = cut(ego_nodes(nodes, edges, focal, hops))
-    walked = reach_nodes(inside, edges, max_depth)
+    egos = ego(nodes, edges, focal, hops)
+    walked = reach_sets(egos, edges, max_depth)
     base = fan_metrics(edges if hops > 0 else edges.filter(F.col("src") == F.col("dst")))
     shared = shared_entities(edges, focal)
-    known = inside.select("account").distinct().withColumn("in_graph", F.lit(True))
-    parts = [known, base, neighbour_counts(inside), density(inside, edges), reach_summary(walked), first_downstream(walked),
-             cycle_metrics(normalize_cycles(cycles(edges, focal, max_depth if cycle_depth is None else cycle_depth), focal)), shared_counts(shared)]
+    known = egos.accounts.select("account", F.lit(True).alias("in_graph"))
+    depth = min(max_depth, 5)
+    parts = [known, base, neighbour_counts(egos), density(egos, edges), reach_summary(egos, walked), first_downstream(egos, walked),
+             cycle_record(edges, depth, focal, depth if list_depth is None else list_depth), shared_counts(shared)]
     out = focal
     for part in parts:
         out = out.join(part, "account", "left")
@@ -425,10 +676,10 @@ def event_graph_features(tx: DataFrame, features: DataFrame) -> DataFrame:
     return tx.join(side("sender"), "sender_account", "left").join(side("receiver"), "receiver_account", "left")
 
 
-def contributing_nodes(ego: DataFrame) -> DataFrame:
-    return ego.select("account", "node").distinct()
+def contributing_nodes(egos: Egos) -> DataFrame:
+    return W.listed(W.merged(egos.sets), egos.accounts)
 
 
-def contributing_transactions(ego: DataFrame, edges: DataFrame) -> DataFrame:
+def contributing_transactions(egos: Egos, edges: DataFrame) -> DataFrame:
     """Transfers inside each ego network as rows; their number has no bound, so no array."""
-    return ego_edges(ego, edges.filter(F.col("relationship") == TRANSFER)).select("account", F.col("key").alias("transaction_id")).distinct()
+    return ego_edges(egos, edges.filter(F.col("relationship") == TRANSFER)).select("account", F.col("key").alias("transaction_id")).distinct()

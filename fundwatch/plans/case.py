@@ -50,7 +50,7 @@ def _contributing(tx: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def case_features(
-    tx: DataFrame, cases: DataFrame, accounts: DataFrame | None = None, *, hops: int = 2, max_depth: int = 5, cycle_depth: int | None = None,
+    tx: DataFrame, cases: DataFrame, accounts: DataFrame | None = None, *, hops: int = 2, max_depth: int = 5, list_depth: int | None = None,
     tabular: DataFrame | None = None, graph_ml: DataFrame | None = None,
 ) -> DataFrame:
     """Case rows joined with rule matches, temporal, graph and model results.
@@ -66,7 +66,7 @@ def case_features(
         .join(parties.withColumnRenamed("account", "sender_account"), "sender_account", "left_anti"))
     near = cut(near)
     nodes, edges = build_graph(tx)
-    graph = G.graph_features(nodes, edges, subjects, hops, max_depth, cycle_depth)
+    graph = G.graph_features(nodes, edges, subjects, hops, max_depth, list_depth)
     circular = graph.select("account", F.col("has_cycle").alias("in_cycle"))
     judged = evaluate_rules(rule_context(near, accounts, circular, population=tx))
     judged = judged.join(cases.select("transaction_id"), "transaction_id", "left_semi").select(
@@ -84,10 +84,10 @@ def case_features(
 
 def case_pipeline(
     tx: DataFrame, cases: DataFrame, accounts: DataFrame | None = None, *, weights=WEIGHTS, policy: str = "renormalize_available",
-    hops: int = 2, max_depth: int = 5, cycle_depth: int | None = None, tabular: DataFrame | None = None, graph_ml: DataFrame | None = None,
+    hops: int = 2, max_depth: int = 5, list_depth: int | None = None, tabular: DataFrame | None = None, graph_ml: DataFrame | None = None,
 ) -> CaseResult:
     """Evidence packages, actions, questions and limitations of every case."""
-    features = case_features(tx, cases, accounts, hops=hops, max_depth=max_depth, cycle_depth=cycle_depth, tabular=tabular, graph_ml=graph_ml)
+    features = case_features(tx, cases, accounts, hops=hops, max_depth=max_depth, list_depth=list_depth, tabular=tabular, graph_ml=graph_ml)
     scored = cut(E.coverage(fuse(signals(features), weights, policy)))
     ranked = cut(E.rank_evidence(E.dedup_evidence(E.valid_provenance(E.collect_evidence(scored)))))
     packaged = E.risk_drivers(E.themes(E.packages(ranked, scored)))
