@@ -292,6 +292,11 @@ def features(spark, sf, list_depth=0):
     return G.graph_features(nodes, edges, _everyone(spark, sf), hops=2, max_depth=5, list_depth=list_depth)
 
 
+def numbers(tx):
+    """The graph record of every account without the columns of names."""
+    return G.graph_features(*build_graph(tx), G.accounts_in_large_transfers(tx, 0.0), hops=2, max_depth=5, lists=False)
+
+
 @query("g15_signals", with_(TX, FOCAL, *FEATURE_CTES, SIGNALS, "SELECT account, string_agg(signal, '|' ORDER BY signal) AS signals FROM signals GROUP BY 1"))
 def g15(spark, sf):
     return features(spark, sf).select("account", F.array_join("evidence_signals", "|").alias("signals"))

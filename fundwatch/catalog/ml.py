@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.session import cut
 from ..operators import features as T
 from ..operators import ml as M
-from ..operators.temporal import temporal_features
 from ..sources.driver_tables import transfers
-from .base import TX, query, with_
-from .graph import FEATURE_CTES, FOCAL, features as graph_record
-from .temporal import TEMPORAL
+from .base import LEGS, TX, query, with_
+from .graph import FEATURE_CTES, FOCAL, numbers as graph_record
+from .temporal import PAIRS, ROLLING, asof_sql, round_up, to_places
 
 NATIVE_SQL = """SELECT transaction_id, amount, round(log10(amount + 1), 4) AS log_amount, (channel = 'UPI')::INT::DOUBLE AS channel_upi, (channel = 'NEFT')::INT::DOUBLE AS channel_neft,
   (channel = 'RTGS')::INT::DOUBLE AS channel_rtgs, (channel = 'IMPS')::INT::DOUBLE AS channel_imps, (channel = 'CARD')::INT::DOUBLE AS channel_other, (sender_bank <> receiver_bank)::INT::DOUBLE AS is_interbank,
@@ -25,7 +24,7 @@ NATIVE_SQL = """SELECT transaction_id, amount, round(log10(amount + 1), 4) AS lo
 def _features(spark, sf):
     """The 57 features; the canonical transfers are written once and read by all three parts."""
     tx = cut(transfers(spark, sf))
-    return T.build_features(tx, temporal_features(tx), graph_record(spark, sf))
+    return T.build_features(tx, graph=graph_record(tx), history=tx)
 
 
 def _dataset(spark, sf, target="is_fraud"):
@@ -44,12 +43,18 @@ def m02(spark, sf):
     return T.telemetry_features(transfers(spark, sf)).select("transaction_id", "account_age_days", "velocity_l6h", "churn_rate", "user_risk_score", "device_trust_score", "is_vpn_or_proxy", "is_rooted_or_emulator", "network_risk_score")
 
 
-@query("m03_temporal_join", with_(TX, *TEMPORAL, """SELECT transaction_id, n_24h::DOUBLE AS temporal_tx_count_24h, round(amount_1h, 2) AS temporal_amount_sum_1h, 1.0::DOUBLE AS temporal_burst_detected,
-  burst_count::DOUBLE AS temporal_burst_count, rapid_in_out_detected::INT::DOUBLE AS temporal_rapid_in_out_detected, round(rapid_in_out_ratio, 6) AS temporal_rapid_in_out_ratio FROM tx JOIN temporal ON account = sender_account"""))
+# Each transfer's sender at the transfer's own time.
+OWN_TIME = (LEGS, ROLLING, PAIRS, asof_sql("SELECT transaction_id AS id, sender_account AS account, us FROM tx"))
+
+
+@query("m03_temporal_join", with_(TX, *OWN_TIME, """SELECT id AS transaction_id, n_5m::DOUBLE AS temporal_tx_count_5m, n_15m::DOUBLE AS temporal_tx_count_15m, n_1h::DOUBLE AS temporal_tx_count_1h, n_24h::DOUBLE AS temporal_tx_count_24h,
+  round(amount_5m, 2)::DOUBLE AS temporal_amount_sum_5m, round(amount_1h, 2)::DOUBLE AS temporal_amount_sum_1h, """ + to_places("coalesce(average_interval, 0)", 4) + """ AS temporal_avg_interval_seconds,
+  (burst_detected OR burst_count > 0)::INT::DOUBLE AS temporal_burst_detected, burst_count::DOUBLE AS temporal_burst_count, rapid_in_out_detected::INT::DOUBLE AS temporal_rapid_in_out_detected,
+  round(rapid_in_out_ratio, 6) AS temporal_rapid_in_out_ratio, round(activity_change_ratio, 6) AS temporal_activity_change_ratio FROM then_"""))
 def m03(spark, sf):
-    j = T.join_temporal(transfers(spark, sf), temporal_features(transfers(spark, sf)))
-    return j.select("transaction_id", "temporal_tx_count_24h", F.round("temporal_amount_sum_1h", 2).alias("temporal_amount_sum_1h"), "temporal_burst_detected", "temporal_burst_count",
-                    "temporal_rapid_in_out_detected", F.round("temporal_rapid_in_out_ratio", 6).alias("temporal_rapid_in_out_ratio"))
+    places = {"temporal_amount_sum_5m": 2, "temporal_amount_sum_1h": 2, "temporal_rapid_in_out_ratio": 6, "temporal_activity_change_ratio": 6}
+    j = T.temporal_features_at(cut(transfers(spark, sf)))
+    return j.select("transaction_id", *[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in T.TEMPORAL]).withColumn("temporal_avg_interval_seconds", round_up("temporal_avg_interval_seconds", 4))
 
 
 # Written out, in the order of the vector: name, and its value in SQL.
@@ -63,25 +68,25 @@ GRAPH_DOUBLES = "gd AS MATERIALIZED (SELECT account, COLUMNS(* EXCLUDE (account)
 
 @query("m04_graph_join", with_(TX, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, "SELECT transaction_id, gd.* EXCLUDE (account) FROM tx JOIN gd ON account = sender_account"))
 def m04(spark, sf):
-    return T.join_graph(transfers(spark, sf), graph_record(spark, sf)).select("transaction_id", *T.GRAPH)
+    return T.join_graph(transfers(spark, sf), graph_record(transfers(spark, sf))).select("transaction_id", *T.GRAPH)
 
 
 VECTOR = f"""vec AS MATERIALIZED (SELECT n.*, account_age_days::DOUBLE AS v14, velocity_l6h::DOUBLE AS v15, 0.01::DOUBLE AS v16, 1.0::DOUBLE AS v17, 1.0::DOUBLE AS v18, 0.1::DOUBLE AS v19, user_risk_score::DOUBLE AS v20, 85.0::DOUBLE AS v21,
   0.0::DOUBLE AS v22, 10.0::DOUBLE AS v23, 0.0::DOUBLE AS v24, 5.0::DOUBLE AS v25, is_vpn::INT::DOUBLE AS v26, 15.0::DOUBLE AS v27,
-  n_5m::DOUBLE AS v28, n_15m::DOUBLE AS v29, n_1h::DOUBLE AS v30, n_24h::DOUBLE AS v31, amount_5m::DOUBLE AS v32, amount_1h::DOUBLE AS v33, average_interval::DOUBLE AS v34,
+  t.n_5m::DOUBLE AS v28, n_15m::DOUBLE AS v29, n_1h::DOUBLE AS v30, n_24h::DOUBLE AS v31, amount_5m::DOUBLE AS v32, amount_1h::DOUBLE AS v33, coalesce(average_interval, 0)::DOUBLE AS v34,
   (burst_count > 0 OR burst_detected)::INT::DOUBLE AS v35, burst_count::DOUBLE AS v36, rapid_in_out_detected::INT::DOUBLE AS v37, rapid_in_out_ratio::DOUBLE AS v38, activity_change_ratio::DOUBLE AS v39,
   gd.* EXCLUDE (account), is_fraud::DOUBLE AS label
-  FROM ({NATIVE_SQL} FROM tx) n JOIN tx USING (transaction_id) JOIN temporal t ON t.account = sender_account JOIN gd ON gd.account = sender_account)"""
+  FROM ({NATIVE_SQL} FROM tx) n JOIN tx USING (transaction_id) JOIN then_ t ON t.id = transaction_id JOIN gd ON gd.account = sender_account)"""
 
 
-@query("m05_feature_vector", with_(TX, *TEMPORAL, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, generate_subscripts(v, 1)::INT - 1 AS position, round(unnest(v), 4) AS value
+@query("m05_feature_vector", with_(TX, *OWN_TIME, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, generate_subscripts(v, 1)::INT - 1 AS position, """ + to_places("unnest(v)", 4) + """ AS value
   FROM (SELECT transaction_id, list_value(*COLUMNS(* EXCLUDE (transaction_id, label))) AS v FROM vec)"""))
 def m05(spark, sf):
     v = T.feature_vector(_features(spark, sf)).select("transaction_id", vector_to_array("features").alias("v"))
-    return v.select("transaction_id", F.posexplode("v").alias("position", "value")).withColumn("value", F.round("value", 4))
+    return v.select("transaction_id", F.posexplode("v").alias("position", "value")).withColumn("value", round_up("value", 4))
 
 
-@query("m06_dataset", with_(TX, *TEMPORAL, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, label, len(v) AS features, round(list_sum(v), 2) AS total
+@query("m06_dataset", with_(TX, *OWN_TIME, FOCAL, *FEATURE_CTES, GRAPH_DOUBLES, VECTOR, """SELECT transaction_id, label, len(v) AS features, round(list_sum(v), 2) AS total
   FROM (SELECT transaction_id, label, list_value(*COLUMNS(* EXCLUDE (transaction_id, label))) AS v FROM vec)"""))
 def m06(spark, sf):
     d = T.dataset(_features(spark, sf))

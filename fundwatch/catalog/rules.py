@@ -9,7 +9,8 @@ from ..operators import context as C
 from ..operators import rules as R
 from ..operators.graph import circular_flags
 from ..sources.driver_tables import accounts, transfers
-from ..sources.ingest import build_graph
+from ..functions.session import cut
+from ..sources.ingest import account_pairs
 from .base import ACCOUNTS, LEGS, TX, query, with_
 
 HIST = """hist AS MATERIALIZED (
@@ -49,8 +50,8 @@ CONTEXT = (TX, LEGS, HIST, FAN, TRAVEL, LINKED, CIRCULAR, CTX)
 
 
 def context(spark, sf, active=None):
-    tx = transfers(spark, sf)
-    circular = circular_flags(build_graph(tx)[1]) if active is None or "R014" in active else None
+    tx = cut(transfers(spark, sf))
+    circular = circular_flags(account_pairs(tx)) if active is None or "R014" in active else None
     return C.rule_context(tx, accounts(spark, sf), circular, active=active)
 
 
@@ -93,7 +94,7 @@ def c05(spark, sf):
 
 @query("c06_circular_flags", with_(TX, CIRCULAR, "SELECT account, shortest_cycle, true AS in_cycle FROM circ"))
 def c06(spark, sf):
-    return circular_flags(build_graph(transfers(spark, sf))[1])
+    return circular_flags(account_pairs(transfers(spark, sf)))
 
 
 # Thresholds: the defaults where they fire on this data, lower ones where they do not.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import temporal as P
 from ..schema import WINDOWS
-from ..sources.driver_tables import transfers
+from ..sources.driver_tables import accounts, transfers
 from .base import LEGS, TX, query, with_
 
 US = {w: s * 1_000_000 for w, s in WINDOWS.items()}
@@ -24,6 +24,15 @@ AMOUNTS = ", ".join(f"round(amount_{w}, 2) AS amount_{w}" for w in WINDOWS)
 LAST = f"""last AS MATERIALIZED (SELECT * FROM roll QUALIFY row_number() OVER (PARTITION BY account ORDER BY us DESC, transaction_id DESC) = 1)"""
 
 
+def to_places(column: str, places: int) -> str:
+    """Rounded by the same steps in SQL and on Spark, so that halves agree."""
+    return f"floor({column} * 1e{places} + 0.5) / 1e{places}"
+
+
+def round_up(column: str, places: int):
+    return F.floor(F.col(column) * float(10**places) + 0.5) / float(10**places)
+
+
 def _rounded(df, *cols, places=2):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
@@ -154,12 +163,32 @@ temporal AS MATERIALIZED (
   FROM record r JOIN last l USING (account) JOIN bursts b USING (account) LEFT JOIN summary s USING (account))"""
 TEMPORAL = (LEGS, ROLLING, LAST, burst_sql(5), PAIRS, SUMMARY, RECORD)
 
+
+
+def asof_sql(instants: str) -> str:
+    """The record of an account at each instant (id, account, us), from the events at or before it; ``known`` is the running state after each event."""
+    windows = ", ".join(f"count(*) FILTER (l.us >= i.us - {u}) AS n_{w}, coalesce(sum(amount) FILTER (l.us >= i.us - {u}), 0) AS amount_{w}" for w, u in US.items())
+    change = CHANGE.replace("c / p", "n_1h / p").replace("THEN c", "THEN n_1h").replace("c = 0", "n_1h = 0")
+    return f"""instants AS MATERIALIZED ({instants}),
+known AS MATERIALIZED (SELECT i.id, i.account, i.us AS reference_us, count(l.us) AS total_events, {windows},
+    count(*) FILTER (l.us BETWEEN i.us - {2 * US['1h']} AND i.us - {US['1h']}) AS p, (max(l.us) - min(l.us)) / 1e6 AS span,
+    CASE WHEN count(l.us) > 1 THEN (max(l.us) - min(l.us)) / 1e6 / (count(l.us) - 1) END AS average_interval, min(l.us - prev) / 1e6 AS minimum_interval, max(l.us - prev) / 1e6 AS maximum_interval, max(peak) AS peak
+  FROM instants i LEFT JOIN (SELECT *, n_5m AS peak FROM roll) l ON l.account = i.account AND l.us <= i.us GROUP BY 1, 2, 3),
+moved AS MATERIALIZED (SELECT id, count(*) AS pairs, arg_min(delay_seconds, ord) AS delay, arg_min(ratio, ord) AS ratio
+  FROM (SELECT i.id, p.*, (in_us, incoming_id, out_us, outgoing_id) AS ord FROM instants i JOIN pairs p ON p.account = i.account AND out_us <= i.us) GROUP BY id),
+then_ AS MATERIALIZED (SELECT k.* EXCLUDE (p, span, peak), p AS previous_count, coalesce(span, 0) AS sequence_duration, total_events >= 5 AND peak >= 5 AS burst_detected,
+    CASE WHEN total_events >= 5 THEN peak ELSE total_events END AS burst_count, coalesce(peak / nullif(total_events, 0), 0) AS temporal_concentration, {change} AS activity_change_ratio,
+    coalesce(pairs, 0) AS pass_through_pairs, pairs IS NOT NULL AS rapid_in_out_detected, delay AS rapid_in_out_delay, coalesce(ratio, 0) AS rapid_in_out_ratio
+  FROM known k LEFT JOIN moved USING (id))"""
+
+
 FLAT = ["account", "total_events", *[f"n_{w}" for w in WINDOWS], "minimum_interval", "maximum_interval", "burst_detected", "burst_count",
         "sequence_duration", "previous_count", "pass_through_pairs", "rapid_in_out_detected", "rapid_in_out_delay"]
 
 
-def _record(df):
-    return df.select(*FLAT, *[F.round(f"amount_{w}", 2).alias(f"amount_{w}") for w in WINDOWS], F.round("average_interval", 4).alias("average_interval"),
+def _record(df, *more, average=None):
+    average = F.round("average_interval", 4) if average is None else average
+    return df.select(*more, *FLAT, *[F.round(f"amount_{w}", 2).alias(f"amount_{w}") for w in WINDOWS], average.alias("average_interval"),
                      *[F.round(c, 6).alias(c) for c in ("temporal_concentration", "activity_change_ratio", "rapid_in_out_ratio")])
 
 
@@ -172,11 +201,23 @@ def w12(spark, sf):
     return _record(P.temporal_features(transfers(spark, sf)))
 
 
+HOURS = """SELECT account || '@' || us AS id, account, us FROM (SELECT DISTINCT account, (us // 3600000000 + 1) * 3600000000 AS us FROM legs
+  UNION SELECT 'ACC-' || c_custkey, 1705320000000000 FROM customer)"""
+
+
+@query("w12_temporal_asof", with_(TX, LEGS, ROLLING, PAIRS, asof_sql(HOURS), f"SELECT reference_us, {RECORD_SQL.replace('round(average_interval, 4)', to_places('average_interval', 4))} FROM then_"))
+def w12_asof(spark, sf):
+    """Every account at the end of each hour it was active in, and every customer at one instant."""
+    tx = transfers(spark, sf)
+    hours = P.legs(tx).select("account", ((F.floor(F.col("us") / 3_600_000_000) + 1) * 3_600_000_000).alias("reference_us"))
+    all_at_once = accounts(spark, sf).select(F.col("account_number").alias("account"), F.lit(1_705_320_000_000_000).alias("reference_us"))
+    found = P.temporal_asof(tx, hours.unionByName(all_at_once).distinct())
+    return _record(found, "reference_us", average=round_up("average_interval", 4))
+
+
 @query("w11_focal_with_empty_history", with_(TX, LEGS, "focal AS (SELECT 'ACC-' || c_custkey AS account FROM customer)", """SELECT f.account, count(us) AS total_events,
   (coalesce(max(us) - min(us), 0)) / 1e6 AS sequence_duration FROM focal f LEFT JOIN legs USING (account) GROUP BY 1"""))
 def w11(spark, sf):
-    from ..sources.driver_tables import accounts
-
     focal = accounts(spark, sf).select(F.col("account_number").alias("account"))
     return P.temporal_features(transfers(spark, sf), focal).select("account", "total_events", "sequence_duration")
 

@@ -80,6 +80,7 @@ def trailing(
     windows: Mapping[str, int],
     *,
     order: str | None = None,
+    counted: str | None = None,
     open_windows: Mapping[str, int] | None = None,
     hot: DataFrame | str | None = "auto",
 ) -> DataFrame:
@@ -87,7 +88,8 @@ def trailing(
 
     ``windows`` maps a label to seconds (closed at both ends); ``open_windows`` leave out
     events exactly ``w`` old. Rows with the same ``t`` see each other. With ``order`` (a
-    unique id) the previous time of the key is added as ``prev_t``.
+    unique id) the previous time of the key is added as ``prev_t``; with the boolean column
+    ``counted`` only rows where it holds are previous ones.
     """
     hot, events, part = _resolve(events, keys, t, hot)
     spans = {k: (int(v * 1_000_000) + 1) for k, v in windows.items()}
@@ -117,11 +119,11 @@ def trailing(
     rows = _fragmented(moved, hot, "_t")
     sums = [name for name, _, _ in deltas]
     if hot is not None:
-        rows = rows.unionByName(_totals_before(rows, keys, sums, t if order else None), allowMissingColumns=True)
+        rows = rows.unionByName(_totals_before(rows, keys, sums, t if order else None, counted), allowMissingColumns=True)
     within = Window.partitionBy(*part)
     if order:
         before = within.orderBy("_t", order).rowsBetween(Window.unboundedPreceding, -1)
-        seen = F.when(F.col("_own"), F.col(t))
+        seen = F.when(F.col("_own") & F.col(counted) if counted else F.col("_own"), F.col(t))
         seen = seen if hot is None else F.coalesce(seen, F.col("_carry_t"))
         rows = rows.withColumn("prev_t", F.last(seen, ignorenulls=True).over(before))
     upto = within.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,11 +133,11 @@ def trailing(
     return rows.filter("_own").drop("_own")
 
 
-def _totals_before(rows: DataFrame, keys: list[str], sums: list[str], t: str | None) -> DataFrame:
+def _totals_before(rows: DataFrame, keys: list[str], sums: list[str], t: str | None, counted: str | None = None) -> DataFrame:
     """One carry row per fragment of a hot key: totals (and last time) of all earlier fragments."""
     aggs = [F.sum(s).alias(s) for s in sums]
     if t:
-        aggs.append(F.max(F.when(F.col("_own"), F.col(t))).alias("_carry_t"))
+        aggs.append(F.max(F.when(F.col("_own") & F.col(counted) if counted else F.col("_own"), F.col(t))).alias("_carry_t"))
     table = rows.filter("_hot").groupBy(*keys, "_frag").agg(*aggs)
     earlier = Window.partitionBy(*keys).orderBy("_frag").rowsBetween(Window.unboundedPreceding, -1)
     out = [*keys, "_frag", F.lit(FIRST).cast("long").alias("_t"), F.lit(False).alias("_own"), F.lit(True).alias("_hot")]
@@ -145,6 +147,26 @@ def _totals_before(rows: DataFrame, keys: list[str], sums: list[str], t: str | N
     return table.select(*out)
 
 
+RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def running(rows: DataFrame, keys: list[str], t: str, measures: Mapping[str, tuple[str, Column]], *, hot: DataFrame | str | None = "auto") -> DataFrame:
+    """Add each measure, a (``sum``, ``min`` or ``max``, column) pair, over all rows of the key up to and including time ``t``.
+
+    Nulls are left out. Earlier fragments of a hot key arrive as one carry row a fragment.
+    """
+    hot, rows, part = _resolve(rows, keys, t, hot)
+    payload = rows.columns
+    valued = _fragmented(rows.select("*", *[c.alias(f"_v_{m}") for m, (_, c) in measures.items()]).withColumn("_own", F.lit(True)), hot, t)
+    if hot is not None:
+        earlier = Window.partitionBy(*keys).orderBy("_frag").rowsBetween(Window.unboundedPreceding, -1)
+        table = valued.filter("_hot").groupBy(*keys, "_frag").agg(*[RUNNING[how](f"_v_{m}").alias(f"_v_{m}") for m, (how, _) in measures.items()])
+        carried = table.select(*keys, "_frag", F.lit(FIRST).cast("long").alias(t), F.lit(False).alias("_own"), *[RUNNING[how](f"_v_{m}").over(earlier).alias(f"_v_{m}") for m, (how, _) in measures.items()])
+        valued = valued.unionByName(carried, allowMissingColumns=True)
+    upto = Window.partitionBy(*part).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return valued.select("_own", *payload, *[RUNNING[how](f"_v_{m}").over(upto).alias(m) for m, (how, _) in measures.items()]).filter("_own").drop("_own")
+
+
 def neighbours(
     df: DataFrame, keys: list[str], t: str, order: str, cols: list[str], *, hot: DataFrame | str | None = "auto"
 ) -> DataFrame:

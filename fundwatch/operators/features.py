@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import filled, finite, sanitize
+from ..functions.columns import filled, finite, micros, sanitize
 from ..functions.session import cut, lookup
+from .temporal import temporal_asof
 
 # Feature names, in order.
 NATIVE = ["amount", "log_amount", "channel_upi", "channel_neft", "channel_rtgs", "channel_imps", "channel_other", "is_interbank",
@@ -62,12 +63,26 @@ def telemetry_features(tx: DataFrame) -> DataFrame:
     return tx.withColumns(made)
 
 
+def _temporal_columns() -> list[Column]:
+    """A burst counts as soon as there is any event."""
+    source = lambda s: (F.col("burst_detected") | (F.col("burst_count") > 0)) if s is None else F.col(s)
+    return [source(s).cast("double").alias(name) for name, s in TEMPORAL.items()]
+
+
+def temporal_features_at(tx: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``tx`` with the temporal record of the sender at the transfer's own time, later transfers left out.
+
+    The history is ``tx`` itself unless another table is given. Transfers travel through the
+    windows as payload; they are not joined back.
+    """
+    instants = tx.select(F.col("sender_account").alias("account"), micros("ts").alias("reference_us"), F.struct(*tx.columns).alias("transfer"))
+    found = temporal_asof(tx if history is None else history, instants).select("transfer.*", *_temporal_columns())
+    return found.fillna(0.0, list(TEMPORAL))
+
+
 def join_temporal(tx: DataFrame, temporal: DataFrame) -> DataFrame:
-    """Temporal record of the sender. A burst counts as soon as there is any event."""
-    made = []
-    for name, source in TEMPORAL.items():
-        c = (F.col("burst_detected") | (F.col("burst_count") > 0)) if source is None else F.col(source)
-        made.append(c.cast("double").alias(name))
+    """A given record of the sender (for scoring at one reference time; ``temporal_features_at`` for training rows)."""
+    made = _temporal_columns()
     joined = lookup(tx, cut(temporal.select(F.col("account").alias("sender_account"), *made)), "sender_account")
     return joined.fillna(0.0, list(TEMPORAL))
 
@@ -82,9 +97,13 @@ def join_graph(tx: DataFrame, graph: DataFrame, absent: tuple[str, ...] = ()) ->
     return joined.fillna(0.0, list(GRAPH))
 
 
-def build_features(tx: DataFrame, temporal: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
+def build_features(tx: DataFrame, temporal: DataFrame | None = None, graph: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
+    """All 57 features. ``history`` gives each transfer the record of its own time, ``temporal`` one record an account; without both they are 0."""
     df = telemetry_features(native_features(tx))
-    df = join_temporal(df, temporal) if temporal is not None else df.withColumns({c: F.lit(0.0) for c in TEMPORAL})
+    if history is not None:
+        df = temporal_features_at(df, history)
+    else:
+        df = join_temporal(df, temporal) if temporal is not None else df.withColumns({c: F.lit(0.0) for c in TEMPORAL})
     df = join_graph(df, graph) if graph is not None else df.withColumns({c: F.lit(0.0) for c in GRAPH})
     # Native and telemetry columns are finite already.
     return df.withColumns({c: finite(c) for c in [*TEMPORAL, *GRAPH]})

@@ -82,8 +82,8 @@ class Egos:
 
 def ego(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2) -> Egos:
     """Nodes within ``hops`` of each focal account of the graph over all edge types, ignoring direction."""
-    ends = edges.select("src", "dst").distinct()
-    steps = ends.select(F.col("src").alias("from"), F.col("dst").alias("to")).union(ends.select("dst", "src")).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("from"), F.col(b).alias("to"))
+    steps = edges.select(F.inline(F.array(way("src", "dst"), way("dst", "src")))).distinct()
     known = focal.select("account").distinct().withColumn("node", node_id("account", "account")).join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
     accounts = W.numbered(known)
     start = accounts.select(node_id("account", "account").alias("node"), "word", W.own_bit())
@@ -618,12 +618,13 @@ def cycle_record(edges: DataFrame, max_depth: int = 5, focal: DataFrame | None =
     return out.withColumn("cycle_nodes", F.lit(None).cast("array<string>"))
 
 
-def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5, list_depth: int | None = None) -> DataFrame:
+def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: int = 2, max_depth: int = 5, list_depth: int | None = None, lists: bool = True) -> DataFrame:
     """The graph record of each focal account; an account the graph does not know gets zeros.
 
     Paths go to ``max_depth`` hops, cycles to ``max_depth``, five at most. ``cycle_nodes`` needs the
     cycles listed, whose number can grow exponentially; ``list_depth`` gives that column a depth
-    of its own (0: empty). Flags and counts do not depend on it.
+    of its own (0: empty). Flags and counts do not depend on it. Without ``lists`` the columns of
+    names (``cycle_nodes``, ``downstream``, devices, IPs) stay empty, for models that read numbers only.
 
     Degrees come from the whole graph: every edge at the account is inside its ego
     network once ``hops`` is at least one. With ``hops = 0`` only self-transfers remain.
@@ -636,15 +637,17 @@ def graph_features(nodes: DataFrame, edges: DataFrame, focal: DataFrame, hops: i
     shared = shared_entities(edges, focal)
     known = egos.accounts.select("account", F.lit(True).alias("in_graph"))
     depth = min(max_depth, 5)
-    parts = [known, base, neighbour_counts(egos), density(egos, edges), reach_summary(egos, walked), first_downstream(egos, walked),
-             cycle_record(edges, depth, focal, depth if list_depth is None else list_depth), shared_counts(shared)]
+    parts = [known, base, neighbour_counts(egos), density(egos, edges), reach_summary(egos, walked),
+             cycle_record(edges, depth, focal, 0 if not lists else depth if list_depth is None else list_depth), shared_counts(shared)]
+    if lists:
+        parts.append(first_downstream(egos, walked))
     out = focal
     for part in parts:
         out = out.join(part, "account", "left")
     out = out.fillna(ZEROS).withColumn("in_graph", F.coalesce("in_graph", F.lit(False)))
     none = F.array().cast("array<string>")
     for c in ("cycle_nodes", "downstream", "associated_devices", "associated_ips"):
-        out = out.withColumn(c, F.coalesce(c, none))
+        out = out.withColumn(c, F.coalesce(c, none) if lists else none)
     missing = F.concat(F.lit("Account "), "account", F.lit(" not found in graph topology."))
     out = out.withColumn("path_summary", F.when(F.col("in_graph"), F.coalesce("path_summary", path_summary())).otherwise(missing))
     return out.join(graph_signals(out, shared), "account", "left").withColumn("evidence_signals", F.coalesce("evidence_signals", none))

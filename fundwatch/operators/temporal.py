@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import micros
-from ..functions.timeline import MONEY_SCALE, find_hot, money_units, neighbours, next_match, trailing
+from ..functions.timeline import MONEY_SCALE, find_hot, money_units, neighbours, next_match, running, trailing
 from ..schema import WINDOWS
 
 BURST_SECONDS = 300
@@ -276,6 +276,68 @@ def temporal_features(
     return out.fillna(FEATURE_ZEROS)
 
 
+def temporal_asof(
+    tx: DataFrame, instants: DataFrame, *, max_delay: int = PASS_THROUGH_SECONDS, threshold: int = BURST_THRESHOLD,
+) -> DataFrame:
+    """The full temporal record of an account at a reference time, for every row of ``instants`` (account, reference_us, ...).
+
+    Only events at or before the reference count: windows end there, and gaps, the burst peak,
+    duration and pass-through pairs are those known by then. The instants travel as rows among the
+    events of their account, through one sort for the windows and one for the running figures,
+    and keep their other columns; an instant without earlier events has zeros. Accounts
+    without an instant are left out. A null account or reference has an empty history.
+    """
+    given = instants.select(F.struct(*instants.columns).alias("_key"), F.col("account"), F.col("reference_us").cast("long").alias("us"))
+    known = given.filter(F.col("account").isNotNull() & F.col("us").isNotNull())
+    focal = known.select("account").distinct()
+    leg, key = legs(tx, focal), instants.schema
+    none = F.lit(None).cast(key)
+    events = leg.select("account", "us", "transaction_id", F.lit(1).alias("_n"), money_units("amount").alias("_units"), F.lit(True).alias("_event"), none.alias("_key"))
+    probes = known.select("account", "us", F.lit(None).cast("string").alias("transaction_id"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_units"), F.lit(False).alias("_event"), "_key")
+    rows = events.unionByName(probes)
+    hot = find_hot(rows, ["account"], "us")
+    w = trailing(rows, ["account"], "us", {"n": F.col("_n"), "units": F.col("_units")}, {**WINDOWS, "2h": 7200},
+                 order="transaction_id", counted="_event", open_windows={"open": 3600}, hot=hot)
+    gap = F.when(F.col("_event"), F.col("us") - F.col("prev_t"))
+    named = [f"{m}_{k}" for k in WINDOWS for m in ("n", "units")] + ["n_2h", "n_open"]
+    w = w.select("account", "us", "_event", "_key", *named, gap.alias("_gap"))
+    paired = _pairs_by_time(tx, focal, max_delay)
+    both = w.unionByName(paired.withColumn("_event", F.lit(False)), allowMissingColumns=True)
+    at = F.when(F.col("_event"), F.col("us"))
+    run = running(both, ["account"], "us", {
+        "total_events": ("sum", F.col("_event").cast("long")), "_first": ("min", at), "_last": ("max", at), "_least": ("min", F.col("_gap")), "_most": ("max", F.col("_gap")),
+        "_p": ("max", F.when(F.col("_event"), F.struct(F.col("n_5m").alias("n"), (-F.col("us")).alias("neg")))),
+        "pass_through_pairs": ("sum", F.col("_pairs")), "_pair": ("min", F.col("_first_pair"))}, hot=hot)
+    n, last = F.coalesce("total_events", F.lit(0)), F.col("_last") - F.col("_first")
+    out = run.filter(F.col("_key").isNotNull()).select(
+        "_key", n.alias("total_events"), *[f"n_{k}" for k in WINDOWS], *[(F.col(f"units_{k}") / MONEY_SCALE).alias(f"amount_{k}") for k in WINDOWS],
+        F.when(n > 1, last / 1e6 / (n - 1)).alias("average_interval"), (F.col("_least") / 1e6).alias("minimum_interval"), (F.col("_most") / 1e6).alias("maximum_interval"),
+        *_burst_columns(F.col("_p"), n, threshold), (last / 1e6).alias("sequence_duration"), F.col("n_1h").alias("current_count"), (F.col("n_2h") - F.col("n_open")).alias("previous_count"),
+        F.coalesce("pass_through_pairs", F.lit(0)).alias("pass_through_pairs"), F.col("_pair").isNotNull().alias("rapid_in_out_detected"),
+        F.col("_pair.delay").alias("rapid_in_out_delay"), F.col("_pair.ratio").alias("rapid_in_out_ratio"),
+        F.col("_pair.incoming_id").alias("first_incoming_id"), F.col("_pair.outgoing_id").alias("first_outgoing_id"))
+    out = out.withColumn("activity_change_ratio", _change_ratio(F.col("current_count"), F.col("previous_count")))
+    empty = given.filter(F.col("account").isNull() | F.col("us").isNull()).select("_key")
+    out = out.unionByName(empty, allowMissingColumns=True).fillna(FEATURE_ZEROS)
+    return out.select("_key.*", *[c for c in out.columns if c != "_key"])
+
+
+def _pairs_by_time(tx: DataFrame, focal: DataFrame, max_delay: int) -> DataFrame:
+    """account, us, _pairs, _first_pair: pass-through pairs at the time of their outflow, counted, and of each inflow the first."""
+    f = flows(tx, focal)
+    hot, span = find_hot(f, ["account"], "us"), max_delay * 1_000_000
+    counted = trailing(f, ["account"], "us", {"inflows": (F.col("side") == "in").cast("long")}, {"w": max_delay}, hot=hot)
+    out = F.when(F.col("side") == "out", F.struct("us", "transaction_id", "amount"))
+    matched = next_match(counted, ["account"], "us", "transaction_id", F.lit(True), out, hot=hot)
+    hit = (F.col("side") == "in") & (F.col("_match.us") - F.col("us") <= span)
+    pair = F.struct(
+        F.col("us").alias("incoming_us"), F.col("transaction_id").alias("incoming_id"), F.col("_match.transaction_id").alias("outgoing_id"),
+        ((F.col("_match.us") - F.col("us")) / 1e6).alias("delay"), F.when(F.col("amount") > 0, F.col("_match.amount") / F.col("amount")).otherwise(F.lit(0.0)).alias("ratio"))
+    leaving = F.col("side") == "out"
+    return matched.filter(hit | (leaving & (F.col("inflows_w") > 0))).select(
+        "account", F.when(leaving, F.col("us")).otherwise(F.col("_match.us")).alias("us"), F.when(leaving, F.col("inflows_w")).alias("_pairs"), F.when(hit, pair).alias("_first_pair"))
+
+
 def nest_temporal(features: DataFrame) -> DataFrame:
     """The same record with the windows as a map of structs."""
     window = lambda w, s: F.struct(

@@ -17,12 +17,12 @@ BITS = 64
 
 
 def numbered(accounts: DataFrame) -> DataFrame:
-    """account, word, bit: dense places of the distinct accounts, in order of their names.
+    """account, word, bit: dense places of the distinct accounts.
 
-    Rows are range-partitioned and written with their partition; a row's number is its place there
-    plus the rows of the partitions before (a small table of counts).
+    Rows are written with their partition; a row's number is its place there plus the rows of
+    the partitions before (a small table of counts).
     """
-    placed = cut(accounts.select("account").distinct().repartitionByRange("account").select("account", F.spark_partition_id().alias("part")))
+    placed = cut(accounts.select("account").distinct().select("account", F.spark_partition_id().alias("part")))
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("account")) - 1

@@ -138,6 +138,12 @@ def transfer_edges(tx: DataFrame) -> DataFrame:
     )
 
 
+def account_pairs(tx: DataFrame) -> DataFrame:
+    """One edge per (sender, receiver): all that cycle flags need of the graph."""
+    src, dst = node_id("sender_account", "account").alias("src"), node_id("receiver_account", "account").alias("dst")
+    return tx.groupBy(src, dst).agg(F.sum("amount").alias("amount")).withColumn("relationship", F.lit("TRANSFERRED_FUNDS"))
+
+
 def build_graph(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the transfer, device and IP multigraph."""
     side = lambda who, default: tx.select(

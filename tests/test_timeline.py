@@ -75,3 +75,20 @@ def test_next_match(spark):
     for r in both(spark, flat):
         later = sorted((t, i) for k, t, i, a, _ in ROWS if k == r["key"] and a % 3 == 0 and t >= r["us"])
         assert r["match"] == (later[0][1] if later else None)
+
+
+def test_running(spark):
+    measures = {"n": ("sum", F.lit(1)), "least": ("min", F.when(F.col("amount") > 20, F.col("amount"))), "top": ("max", F.struct("amount", "id"))}
+    got = both(spark, lambda d, h: L.running(d, ["key"], "us", measures, hot=h))
+    assert len(got) == len(ROWS)
+    for r in got:
+        mine = [(a, i) for k, t, i, a, _ in ROWS if k == r["key"] and t <= r["us"]]
+        assert (r["n"], r["least"], tuple(r["top"])) == (len(mine), min((a for a, _ in mine if a > 20), default=None), max(mine))
+
+
+def test_previous_rows_that_count(spark):
+    """Rows that do not count as earlier ones still get a previous time of their own."""
+    got = both(spark, lambda d, h: L.trailing(d.withColumn("real", F.col("amount") > 25), ["key"], "us", {"n": F.lit(1)}, {"a": 10}, order="id", counted="real", hot=h))
+    for r in got:
+        earlier = [t for k, t, i, a, _ in ROWS if k == r["key"] and a > 25 and (t, i) < (r["us"], r["id"])]
+        assert r["prev_t"] == (max(earlier) if earlier else None)
