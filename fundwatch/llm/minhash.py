@@ -1,10 +1,12 @@
 """Links between texts whose distinct word shingles have at least a given Jaccard similarity.
 
-Candidates come from MinHash bands; every link is verified on the texts' own shingles, so none is
-wrong. Texts with equal shingle sets are one entry. A band's bucket is first walked as a chain
-(each entry against the next); buckets that still hold several components are then compared
-pair by pair inside the task, by sizes and signatures, and what they cannot exclude is verified
-as well. No pair is listed within a component, and no entry is dropped.
+Candidates come from MinHash bands; every link is verified on the texts' own distinct shingles.
+Texts with equal shingle sets are one entry. A band's bucket is first walked as a chain (each
+entry against the next, on the texts). In buckets that still hold several components, sizes and
+signatures name the entries that may link to another component; these meet again with the 64-bit
+hashes of their shingles, and the task that holds them counts exact similarities and hands on
+only the links that join two components. What leaves a task is never more than what enters it:
+no pairs are listed, however many there are, and no entry is dropped.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .scratch import written
 
-#: Functions a band, chance that a pair at the threshold shares no band, and entries of a bucket compared in one task.
-ROWS, MISS, BUCKET, SEED = 6, 1e-5, 20_000, 42
+#: Functions a band, chance that a pair at the threshold shares no band, entries of a bucket and shingles of suspects compared in one task.
+ROWS, MISS, BUCKET, TOGETHER, SEED = 6, 1e-5, 20_000, 8_000_000, 42
 #: Shingles whose sets a worker keeps while it verifies.
 HELD = 400_000
 
@@ -71,7 +73,7 @@ def _signed(words_per_shingle: int, n: int):
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """value, rep: each entry under a hash of every band."""
+    """value, rep, band: each entry under a hash of every band."""
     for batch in batches:
         if batch.num_rows:
             least = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(batch.num_rows, -1, ROWS).astype(np.uint64)
@@ -79,7 +81,8 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 value = mixed(value ^ least[:, :, i])
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(value.ravel().view(np.int64)), pa.array(np.repeat(rep, least.shape[1]))], names=["value", "rep"])
+            band = np.tile(np.arange(least.shape[1], dtype=np.int32), len(rep))
+            yield pa.RecordBatch.from_arrays([pa.array(value.ravel().view(np.int64)), pa.array(np.repeat(rep, least.shape[1])), pa.array(band)], names=["value", "rep", "band"])
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,40 +98,104 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[at + 1])], names=["a", "b"])
 
 
-def _near(similarity: float):
-    """a, b: pairs of a bucket, of different components, that sizes and signatures do not exclude."""
-
-    def pairs(rows: list[np.ndarray], sign: np.ndarray) -> pa.RecordBatch:
-        _, rep, label, size, _ = rows
-        n = sign.shape[1]
-        least = n * similarity - 5 * (n * similarity * (1 - similarity)) ** 0.5
-        a, b = [rep[:0]], [rep[:0]]
-        for i in range(len(rep) - 1):
-            at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9))
-            at = at[(sign[at] == sign[i]).sum(axis=1) >= least]
-            a.append(np.minimum(rep[at], rep[i]))
-            b.append(np.maximum(rep[at], rep[i]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[np.ndarray], np.ndarray]] = []
-
-        def joined():
-            return [np.concatenate(c) for c in zip(*(h for h, _ in held))], np.concatenate([s for _, s in held])
+def _grouped(keys: int):
+    """The rows of each run of equal first ``keys`` columns, as a table, from batches sorted by them."""
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            sign = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-            edges = [0, *(np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[4][1:] != rows[4][:-1])) + 1).tolist(), batch.num_rows]
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             for x, y in zip(edges, edges[1:]):
-                if held and (held[-1][0][0][0], held[-1][0][4][0]) != (rows[0][x], rows[4][x]):
-                    yield pairs(*joined())
+                if held and not np.array_equal(key[x], last):
+                    yield pa.Table.from_batches(held).combine_chunks()
                     held = []
-                held.append(([c[x:y] for c in rows], sign[x:y]))
+                last = key[x]
+                held.append(batch.slice(x, y - x))
         if held:
-            yield pairs(*joined())
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    return runs
+
+
+def _suspects(similarity: float):
+    """value, piece, rep, label, size: entries that sizes and signatures do not exclude from a link to another component.
+
+    A pair counts in the first band it shares only, so it asks for its shingles in one bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(2)(batches):
+            label, size, band = (table.column(n).to_numpy() for n in ("label", "size", "band"))
+            if (label == label[0]).all():
+                continue
+            sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), "<u4").reshape(len(label), -1)
+            n = sign.shape[1]
+            least = n * similarity - 5 * (n * similarity * (1 - similarity)) ** 0.5
+            met = np.zeros(len(label), bool)
+            for i in range(len(label) - 1):
+                at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9))
+                same = sign[at] == sign[i]
+                at, same = at[same.sum(axis=1) >= least], same[same.sum(axis=1) >= least]
+                at = at[same.reshape(len(at), n // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[0]]
+                met[at] = True
+                met[i] |= len(at) > 0
+            yield from table.select(["value", "piece", "rep", "label", "size"]).filter(pa.array(met)).to_batches()
+
+    return run
+
+
+def _hashes(words_per_shingle: int):
+    """node, hashes: the sorted 64-bit hashes of a text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, words_per_shingle)), np.uint64)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def spanning(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join the components ``label`` of ``sets`` at a Jaccard similarity, each joining two that were apart.
+
+    Every set is counted against all others at once through the lists of the sets that hold its
+    members; nothing is kept of a pair that links nothing new.
+    """
+    size = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    holders = row[np.argsort(ids, kind="stable")]
+    held = np.bincount(ids)
+    starts = np.cumsum(held) - held
+    ends = np.cumsum(size)
+    label, links = np.unique(label, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        if (label == label[0]).all():
+            break
+        own = ids[ends[i] - size[i] : ends[i]]
+        n = held[own]
+        place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[place], minlength=len(sets))
+        for j in np.flatnonzero((both >= similarity * (size + size[i] - both) - 1e-9) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _joined(similarity: float):
+    """a, b: links between entries of a bucket that join two components; fewer than its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(3)(batches):
+            rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+            links = spanning([np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()], label, similarity)
+            ends = [sorted((int(rep[i]), int(rep[j]))) for i, j in links]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -163,6 +230,15 @@ def _verified(words_per_shingle: int, similarity: float):
     return run
 
 
+def _pieces(rows: DataFrame, parts: Column, name: str) -> DataFrame:
+    """``rows`` with a piece number: where ``parts`` is above 2, a row goes to the pairs of its piece with every piece."""
+    own = F.pmod(F.xxhash64(F.lit(name), "rep"), "_parts").cast("int")
+    other = F.explode(F.when(F.col("_parts") > 2, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.lit(-1))))
+    piece = F.when(F.col("_other") < 0, 0).otherwise(F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other") + 1)
+    dealt = rows.withColumn("_parts", F.greatest(F.lit(1), parts.cast("int"))).withColumn("_own", own).withColumn("_other", other)
+    return dealt.withColumn(name, piece.cast("int")).drop("_parts", "_own", "_other")
+
+
 def similar_components(docs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
     """doc_id, component_id of every row of ``docs`` (doc_id, text).
 
@@ -175,7 +251,7 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     rows = written(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed(words_per_shingle, n), "doc_id bigint, key binary, size bigint, sign binary"), "signed")
     entries = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sign").alias("sign")), "entries")
     known = entries.filter("rep is not null and size > 0")
-    filed = written(known.select("rep", "sign").mapInArrow(_filed, "value bigint, rep bigint"), "filed")
+    filed = written(known.select("rep", "sign").mapInArrow(_filed, "value bigint, rep bigint, band int"), "filed")
     buckets = written(filed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     shared = written(filed.join(buckets, "value"), "shared")
     nodes = written(shared.select(F.col("rep").alias("node")).distinct(), "nodes")
@@ -191,20 +267,21 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     tested = written(chain.mapInArrow(_chained, "a bigint, b bigint").distinct(), "chained")
     links = verified(tested)
     label = F.coalesce("component", "rep").alias("label")
-    labelled = written(shared.filter("n > 2").join(components(links), F.col("rep") == F.col("node"), "left").select("value", "rep", "n", label), "labelled")
+    labelled = written(shared.filter("n > 2").join(components(links), F.col("rep") == F.col("node"), "left").select("value", "rep", "band", "n", label), "labelled")
     mixed_up = written(labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("value"), "open")
     if mixed_up.take(1):
-        # Above BUCKET, a row goes to the pairs of its piece with every piece.
-        parts = F.ceil(2 * F.col("n") / BUCKET).cast("int")
-        own = F.pmod(F.xxhash64("rep"), "parts").cast("int")
-        other = F.explode(F.when(F.col("n") > BUCKET, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1))))
-        rest = labelled.join(mixed_up, "value").withColumn("parts", parts).withColumn("own", own).withColumn("other", other)
-        piece = F.when(F.col("other") < 0, 0).otherwise(F.least("own", "other") * F.col("parts") + F.greatest("own", "other") + 1)
-        rest = written(rest.select("value", "rep", "label", piece.cast("int").alias("piece")), "rest")
-        full = rest.join(known.select("rep", "size", "sign"), "rep").select("value", "rep", "label", "size", "piece", "sign")
+        rest = _pieces(labelled.join(mixed_up, "value"), F.ceil(2 * F.col("n") / BUCKET), "piece")
+        rest = written(rest.select("value", "piece", "rep", "label", "band"), "rest")
+        full = rest.join(known.select("rep", "size", "sign"), "rep").select("value", "piece", "rep", "label", "band", "size", "sign")
         ordered = full.repartition("value", "piece").sortWithinPartitions("value", "piece")
-        more = written(ordered.mapInArrow(_near(similarity), "a bigint, b bigint").distinct(), "more")
-        links = links.unionByName(verified(more.join(tested, ["a", "b"], "left_anti")))
+        suspects = written(ordered.mapInArrow(_suspects(similarity), "value bigint, piece int, rep bigint, label bigint, size bigint"), "suspects")
+        asked = suspects.select(F.col("rep").alias("node")).distinct()
+        hashed = written(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(_hashes(words_per_shingle), "node bigint, hashes binary"), "hashes")
+        weights = written(suspects.groupBy("value", "piece").agg(F.sum("size").alias("total")), "weights")
+        parted = _pieces(suspects.join(weights, ["value", "piece"]), F.ceil(2 * F.col("total") / TOGETHER), "part")
+        met = parted.join(hashed, F.col("rep") == F.col("node")).select("value", "piece", "part", "rep", "label", "hashes")
+        met = met.repartition("value", "piece", "part").sortWithinPartitions("value", "piece", "part")
+        links = links.unionByName(written(met.mapInArrow(_joined(similarity), "a bigint, b bigint").distinct(), "joined"))
     groups = components(links)
     named = written(entries.join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "members")
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

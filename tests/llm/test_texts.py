@@ -121,10 +121,11 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [20_000, 4])
-def test_near_copies_are_verified(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,together", [(20_000, 8_000_000), (4, 8_000_000), (6, 600)])
+def test_near_copies_are_verified(spark, monkeypatch, bucket, together):
     """Planted pairs at 0.6 to 0.95, a dense group and a repeated line, against brute force on distinct shingles."""
     monkeypatch.setattr(minhash, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "TOGETHER", together)
     r = random.Random(5)
     rows = []
     for i in range(60):
@@ -150,6 +151,32 @@ def test_near_copies_are_verified(spark, monkeypatch, bucket):
     assert kept == {i for i, c in plain_components(sets, alike).items() if i == c}
 
 
+def test_rows_handed_on_grow_with_a_group_around_the_threshold():
+    """Texts at a similarity of about 0.75 or 0.8: suspects and links are never more than the entries, at any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    for changed in (5, 4):
+        for n in (125, 250, 500):
+            r = random.Random(n)
+            words, sets = prose(7, 204).split(), []
+            for i in range(n):
+                some = list(words)
+                for at in r.sample(range(204), changed):
+                    some[at] = f"new{i}x{at}"
+                sets.append(minhash.shingles(" ".join(some), 5))
+            signs = [minhash.signature(s, 228) for s in sets]
+            rep = pa.array(range(n), pa.int64())
+            zero = pa.array([0] * n, pa.int64())
+            batch = pa.RecordBatch.from_arrays([zero, zero.cast(pa.int32()), rep, rep, pa.array([0] * n, pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in signs], pa.binary())], names=["value", "piece", "rep", "label", "band", "size", "sign"])
+            assert sum(b.num_rows for b in minhash._suspects(0.8)(iter([batch.slice(0, 50), batch.slice(50)]))) <= n
+            hashed = [np.unique(np.array([hash(x) & (2**64 - 1) for x in s], np.uint64)) for s in sets]
+            links = minhash.spanning(hashed, np.arange(n), 0.8)
+            assert len(links) < n
+            alike = [(a, b) for a, b in combinations(range(n), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            assert plain_components(range(n), links) == plain_components(range(n), alike)
+
+
 # decontamination
 
 def plain_containment(docs, items, k=5, threshold=0.8):
@@ -281,6 +308,33 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none.withColumn("path", F.lit("a"))).count() == 0
 
 
+def test_licenses_of_shuffled_files(spark):
+    """Rows that come out of a shuffle, read by several jobs that may partition it differently."""
+    mit = "Released under the MIT License."
+    files = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("d/"), "id", F.lit(".txt")).alias("path"), F.when(F.expr("id % 3 = 0"), F.concat(F.lit("words of file "), "id", F.lit(f"\n{mit}"))).otherwise(F.concat(F.lit("other words "), "id")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        got = licenses.scan(files.repartition(40).dropDuplicates(["doc_id", "path", "text"])).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert {r.doc_id: r.license for r in got} == {i: "MIT" if i % 3 == 0 else None for i in range(3000)} and all(r.path == f"d/{r.doc_id}.txt" for r in got)
+
+
+def test_whole_licence_texts(spark):
+    """Licence files with a copyright line and line breaks, the same texts as comment blocks, and texts that only look alike."""
+    of = dict(reversed(licenses.TEXTS))
+    wrapped = lambda text, lead: "\n".join(lead + " ".join(text.split()[i : i + 12]) for i in range(0, len(text.split()), 12))
+    files = [(k, f"p{k}/LICENSE", f"{name} licence\n\nCopyright (c) 2024 Some Body\n\n{wrapped(text, '')}\n") for k, (name, text) in enumerate(of.items())]
+    files += [(100 + k, f"q{k}/x.c", f"/*\n{wrapped(text, ' * ')}\n */\n\nint main() {{ return 0; }}") for k, (_, text) in enumerate(of.items())]
+    files += [(200 + k, f"p{k}/sub/y.c", "int main;") for k in range(len(of))]
+    files += [(300, "z/LICENSE", "This software is a product of some authors; redistribution is a matter of the conditions and the warranty."), (301, "z/a.c", "software as is, and any express or implied things")]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()}
+    for k, name in enumerate(of):
+        assert (got[k], got[100 + k], got[200 + k]) == ((name, "file"), (name, "header"), (name, "inherited"))
+    assert got[300] == got[301] == (None, "none")
+
+
 def test_root_license_reaches_every_directory(spark):
     files = [(1, "LICENSE", "Released under the MIT License."), (2, "a/b/c", "x"), (3, "d", "y")]
     got = licenses.scan(spark.createDataFrame(files, "doc_id bigint, path string, text string")).collect()
