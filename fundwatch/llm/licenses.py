@@ -4,8 +4,8 @@ Units are the lines of every whole text, its paragraphs of several lines, and, f
 like a licence file, the text itself. A unit's vector has the tokens of the templates, weighted
 by count times idf (document frequencies over all documents), and one dimension of weight 1
 for each other token. Only units that can reach the threshold are compared: for each template
-the heaviest tokens are taken until the rest of its vector is too short for the cosine, so a
-unit without any of them cannot match (nothing that could match is left out).
+the tokens in fewest documents are taken until the rest of its vector is too short for the cosine,
+so a unit without any of them cannot match (nothing that could match is left out).
 
 A file without a licence of its own takes that of the nearest directory above that has a
 licence file. Directories, not files, are joined with their ancestors; files then look up
@@ -46,6 +46,43 @@ STATEMENTS = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# The operative texts of short licences, and the notices that longer ones ask for in files.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "{2}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = [
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+     "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
+     "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD.format("", "") + _BSD_END),
+    ("BSD-3-Clause", _BSD.format("", "") + _BSD_NAMES.format("", "", "") + _BSD_END),
+    ("BSD-2-Clause", _BSD.format("1. ", "2. ") + _BSD_END),
+    ("BSD-3-Clause", _BSD.format("1. ", "2. ") + _BSD_NAMES.format("", "", "3. ") + _BSD_END),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+     "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+     "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+]
+STATEMENTS += TEXTS
 TEMPLATES = STATEMENTS + [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in STATEMENTS)]
 
 
@@ -69,7 +106,7 @@ class Vocabulary:
             norm = sum(w * w for w in weight.values()) ** 0.5
             self.rows += [(t, number, name, w / norm) for t, w in sorted(weight.items())]
             rest = norm**2
-            for t in sorted(weight, key=lambda t: (-weight[t], t)):
+            for t in sorted(weight, key=lambda t: (df.get(t, 0), -weight[t], t)):
                 if (max(0.0, rest) ** 0.5) / norm < threshold - 1e-9:
                     break
                 needed.add(t)
@@ -81,17 +118,20 @@ class Vocabulary:
         return F.broadcast(terms), F.broadcast(spark.createDataFrame(self.rows, "term string, template int, license string, w double"))
 
 
-def matches(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """row, unit, license, score: the best template of each unit of ``files`` (row, path, text) at or above the threshold."""
-    vocabulary = Vocabulary(files, templates, threshold)
-    terms, weights = vocabulary.frames(files.sparkSession)
+def units(files: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``files`` with ``units`` in place of the text: the lines, paragraphs and whole licence files that may reach the threshold."""
     near = lambda c: F.lower(c).rlike(vocabulary.needed)
     lines = F.split("text", "\n")
     paragraphs = F.filter(F.split("text", r"\n[^\S\n]*\n"), lambda p: p.contains("\n"))
     whole = F.when(named_license(F.col("path")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = files.filter(near(F.col("text"))).select("row", F.filter(F.concat(lines, paragraphs, whole), near).alias("units"))
-    units = written(units.select("row", F.posexplode("units").alias("unit", "text")), "license-units")
-    counted = units.select("row", "unit", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return files.withColumn("units", F.when(near(F.col("text")), F.filter(F.concat(lines, paragraphs, whole), near))).drop("text")
+
+
+def matches(rows: DataFrame, vocabulary: Vocabulary, threshold: float = THRESHOLD) -> DataFrame:
+    """row, unit, license, score: the best template of each unit of ``rows`` (row, units) at or above the threshold."""
+    terms, weights = vocabulary.frames(rows.sparkSession)
+    each = rows.select("row", F.posexplode("units").alias("unit", "text"))
+    counted = each.select("row", "unit", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     valued = written(counted.join(terms, "term", "left").select("row", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("v")), "license-terms")
     norms = valued.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     dots = valued.join(weights, "term").groupBy("row", "unit", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
@@ -120,11 +160,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     (then licensed_by is the directory whose licence files give it, else null) or ``none``
     (license and score null). Of several statements the highest score counts, ties go to the
     first name; several licence files of a directory are treated alike. Null and empty texts
-    hold no statement; a null path has no directory and inherits nothing. Rows are told apart
-    by their place, so repeated and null doc_ids keep their rows; other columns are ignored.
+    hold no statement; a null path has no directory and inherits nothing. Rows are told apart by
+    a number that is written with them once, so repeated and null doc_ids keep their rows,
+    whatever the files come out of; other columns are ignored.
     """
-    rows = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), "path", "text", F.monotonically_increasing_id().alias("row"))
-    own = written(matches(rows, templates, threshold).groupBy("row").agg(*best("license", F.col("score"))), "licenses")
+    files = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), "path", "text")
+    vocabulary = Vocabulary(files, templates, threshold)
+    rows = written(units(files.withColumn("row", F.monotonically_increasing_id()), vocabulary), "license-units")
+    own = written(matches(rows, vocabulary, threshold).groupBy("row").agg(*best("license", F.col("score"))), "licenses")
     named = F.coalesce(named_license(F.col("path")), F.lit(False))
     known = written(rows.select("doc_id", "path", "row", named.alias("named"), directory(F.col("path")).alias("dir")).join(own, "row", "left"), "files")
     given = written(known.filter("named AND license IS NOT NULL AND dir IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(*best("license", F.col("score"))), "licensed-directories")
