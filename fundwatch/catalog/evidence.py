@@ -16,7 +16,7 @@ from .fusion import RAW, S_GRAPH, S_RULES, S_TEMPORAL, TEMPORAL, TIER
 from .graph import COLUMNS, FEATURE_CTES, FOCAL, features
 from .rules import CONTEXT, FIXED, context, evaluated_sql
 
-LARGE = CASE_MIN = 200_000.0
+LARGE, CASE_MIN = 200_000.0, 0.0
 
 
 def eid(source: str, ref: str, category: str, accounts: str, txs: str) -> str:

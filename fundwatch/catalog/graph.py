@@ -156,24 +156,24 @@ def g09(spark, sf):
 CORE = "core AS MATERIALIZED (SELECT s, d FROM pr WHERE s <> d AND s IN (SELECT d FROM pr) AND d IN (SELECT s FROM pr))"
 # Cycles of each account by length: closed walks without those that visit an account twice (the tests compare with a plain search).
 RINGS5 = CORE + """,
-w AS MATERIALIZED (SELECT a.s AS a, b.d AS b, count(*) AS w FROM core a JOIN core b ON b.s = a.d GROUP BY 1, 2),
-w3 AS MATERIALIZED (SELECT a, d AS b, sum(w)::BIGINT AS w FROM w JOIN core ON s = b GROUP BY 1, 2),
-m AS MATERIALIZED (SELECT x.s AS a, x.d AS b FROM core x JOIN core y ON y.s = x.d AND y.d = x.s),
-r AS MATERIALIZED (SELECT a, w AS r FROM w WHERE a = b), t AS MATERIALIZED (SELECT a, w AS t FROM w3 WHERE a = b),
-mm AS MATERIALIZED (SELECT x.a, y.b, count(*) AS k FROM m x JOIN m y ON y.a = x.b GROUP BY 1, 2),
-bent AS MATERIALIZED (SELECT m.a AS b, core.d AS a, count(*) AS k FROM m JOIN core ON core.s = m.b GROUP BY 1, 2),
-four AS (SELECT w.a, sum(w.w * v.w - coalesce(k, 0)) AS n FROM w JOIN w v ON v.a = w.b AND v.b = w.a LEFT JOIN mm ON mm.a = w.a AND mm.b = w.b WHERE w.a <> w.b GROUP BY 1),
-five AS (SELECT a, sum(n) AS n FROM (
-  SELECT w3.a, w3.w * w.w AS n FROM w3 JOIN w ON w.a = w3.b AND w.b = w3.a
-  UNION ALL SELECT a, -2 * r * t FROM r JOIN t USING (a)
-  UNION ALL SELECT core.s, -r * w FROM core JOIN r ON r.a = core.d JOIN w ON w.a = core.d AND w.b = core.s
-  UNION ALL SELECT m.a, -t FROM m JOIN t ON t.a = m.b
-  UNION ALL SELECT w.a, -r * w FROM w JOIN core ON core.s = w.b AND core.d = w.a JOIN r ON r.a = w.b
-  UNION ALL SELECT m.a, 2 * w FROM m JOIN w ON w.a = m.b AND w.b = m.a
-  UNION ALL SELECT m.a, 2 * w FROM m JOIN w ON w.a = m.a AND w.b = m.b
-  UNION ALL SELECT core.s, k FROM core JOIN bent ON bent.b = core.d AND bent.a = core.s) GROUP BY 1),
-rings AS MATERIALIZED (SELECT account, length, n::BIGINT AS n FROM (SELECT s AS account, 1 AS length, 1 AS n FROM pr WHERE s = d UNION ALL SELECT a, 2, r FROM r UNION ALL SELECT a, 3, t FROM t
-  UNION ALL SELECT a, 4, n FROM four UNION ALL SELECT a, 5, n FROM five) WHERE n > 0)"""
+cw AS MATERIALIZED (SELECT a.s AS a, b.d AS b, count(*) AS w FROM core a JOIN core b ON b.s = a.d GROUP BY 1, 2),
+cw3 AS MATERIALIZED (SELECT a, d AS b, sum(w)::BIGINT AS w FROM cw JOIN core ON s = b GROUP BY 1, 2),
+cmut AS MATERIALIZED (SELECT x.s AS a, x.d AS b FROM core x JOIN core y ON y.s = x.d AND y.d = x.s),
+cr AS MATERIALIZED (SELECT a, w AS r FROM cw WHERE a = b), ct AS MATERIALIZED (SELECT a, w AS t FROM cw3 WHERE a = b),
+cmm AS MATERIALIZED (SELECT x.a, y.b, count(*) AS k FROM cmut x JOIN cmut y ON y.a = x.b GROUP BY 1, 2),
+cbent AS MATERIALIZED (SELECT cmut.a AS b, core.d AS a, count(*) AS k FROM cmut JOIN core ON core.s = cmut.b GROUP BY 1, 2),
+cfour AS (SELECT x.a, sum(x.w * y.w - coalesce(k, 0)) AS n FROM cw x JOIN cw y ON y.a = x.b AND y.b = x.a LEFT JOIN cmm ON cmm.a = x.a AND cmm.b = x.b WHERE x.a <> x.b GROUP BY 1),
+cfive AS (SELECT a, sum(n) AS n FROM (
+  SELECT cw3.a, cw3.w * cw.w AS n FROM cw3 JOIN cw ON cw.a = cw3.b AND cw.b = cw3.a
+  UNION ALL SELECT a, -2 * r * t FROM cr JOIN ct USING (a)
+  UNION ALL SELECT core.s, -r * w FROM core JOIN cr ON cr.a = core.d JOIN cw ON cw.a = core.d AND cw.b = core.s
+  UNION ALL SELECT cmut.a, -t FROM cmut JOIN ct ON ct.a = cmut.b
+  UNION ALL SELECT cw.a, -r * w FROM cw JOIN core ON core.s = cw.b AND core.d = cw.a JOIN cr ON cr.a = cw.b
+  UNION ALL SELECT cmut.a, 2 * w FROM cmut JOIN cw ON cw.a = cmut.b AND cw.b = cmut.a
+  UNION ALL SELECT cmut.a, 2 * w FROM cmut JOIN cw ON cw.a = cmut.a AND cw.b = cmut.b
+  UNION ALL SELECT core.s, k FROM core JOIN cbent ON cbent.b = core.d AND cbent.a = core.s) GROUP BY 1),
+rings AS MATERIALIZED (SELECT account, length, n::BIGINT AS n FROM (SELECT s AS account, 1 AS length, 1 AS n FROM pr WHERE s = d UNION ALL SELECT a, 2, r FROM cr UNION ALL SELECT a, 3, t FROM ct
+  UNION ALL SELECT a, 4, n FROM cfour UNION ALL SELECT a, 5, n FROM cfive) WHERE n > 0)"""
 # Every cycle from its first account, by joining pairs.
 FIRSTS4 = CORE + """,
 up AS MATERIALIZED (SELECT * FROM core WHERE d > s),

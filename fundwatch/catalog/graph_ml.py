@@ -121,13 +121,13 @@ def n11(spark, sf):
     return _embedded(spark, sf).select("node", F.size("h").alias("size"), F.array_join("h", ",").alias("h"))
 
 
-@query("n12_event_subgraph", with_(TX, NF, """ev AS MATERIALIZED (SELECT transaction_id AS event_id, 'account:' || sender_account AS s0, 'account:' || receiver_account AS d0 FROM tx WHERE amount >= 200000),
-pt AS (SELECT event_id, s0 AS node FROM ev UNION SELECT event_id, d0 FROM ev), nb AS (SELECT s AS a, d AS b FROM ed UNION SELECT d, s FROM ed),
+@query("n12_event_subgraph", with_(TX, NF, """ev AS MATERIALIZED (SELECT transaction_id AS event_id, 'account:' || sender_account AS s0, 'account:' || receiver_account AS d0 FROM tx),
+pr2 AS MATERIALIZED (SELECT DISTINCT s0 || '>' || d0 AS event_id, s0, d0 FROM ev), pt AS (SELECT event_id, s0 AS node FROM pr2 UNION SELECT event_id, d0 FROM pr2), nb AS (SELECT s AS a, d AS b FROM ed UNION SELECT d, s FROM ed),
 ins AS MATERIALIZED (SELECT event_id, node FROM pt UNION SELECT event_id, b FROM pt JOIN nb ON a = node)""",
-  "SELECT x.event_id, count(*) AS edges FROM ed JOIN ins x ON x.node = s JOIN ins y ON y.node = d AND y.event_id = x.event_id GROUP BY 1"))
+  """pairs AS (SELECT s, d, count(*) AS n FROM ed GROUP BY 1, 2), sizes AS (SELECT x.event_id AS pair, sum(n)::BIGINT AS edges FROM pairs JOIN ins x ON x.node = s JOIN ins y ON y.node = d AND y.event_id = x.event_id GROUP BY 1)""",
+  "SELECT event_id, edges FROM ev JOIN sizes ON pair = s0 || '>' || d0"))
 def n12(spark, sf):
-    large = transfers(spark, sf).filter(F.col("amount") >= 200_000)
-    return N.event_subgraph(_edges(spark, sf), large).groupBy("event_id").agg(F.count(F.lit(1)).alias("edges"))
+    return N.event_subgraph_counts(_edges(spark, sf), transfers(spark, sf))
 
 
 @query("n13_fit_head")

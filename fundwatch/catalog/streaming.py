@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpoint_folder
-from ..operators.rules import RULES
+from ..functions.session import checkpoint_folder, cut
 from ..sources import driver_tables as D
 from ..streaming import jobs as K
 from .base import TX, query, ts, with_
 from .crossbank import REPORTS, as_reports
+from .rules import CONTEXT, FIXED, context, evaluated_sql
 from .temporal import PAIRS
 
 
@@ -28,19 +28,26 @@ def _run(spark, df, mode="append"):
     return spark.read.schema(schema).parquet(f"{out}/data/*")
 
 
-@query("k01_score_stream", with_(TX, """p AS MATERIALIZED (SELECT sender_account AS a, count(DISTINCT receiver_account) AS fan_out FROM tx GROUP BY 1)""", f"""SELECT transaction_id, (CASE WHEN fan_out >= 10 THEN {RULES['R003'][3]} ELSE 0 END
-  + CASE WHEN amount BETWEEN 48000 AND 49999 THEN {RULES['R005'][3]} ELSE 0 END + CASE WHEN hour(ts) < 5 AND amount >= 50000 THEN {RULES['R012'][3]} ELSE 0 END)::INT AS rule_score FROM tx JOIN p ON a = sender_account"""))
+# Rule inputs of the profile: what the batch job knew of an account at its last transfer.
+INPUTS = ["history_1h", "history_n", "recent_sum", "inbound_sum", "channels_1h", "dormant_days", "account_age", "linked_devices", "linked_ips", "linked_beneficiaries", "fan_in", "fan_out", "travel_speed_kmh", "in_cycle"]
+PROFILE = "latest AS MATERIALIZED (SELECT sender_account, " + ", ".join(f"{c}" for c in INPUTS) + """ FROM ctx QUALIFY row_number() OVER (PARTITION BY sender_account ORDER BY ts DESC, transaction_id DESC) = 1),
+live AS MATERIALIZED (SELECT transaction_id, ts, receiver_account, amount, channel, latest.* FROM tx JOIN latest USING (sender_account))"""
+
+
+@query("k01_score_stream", with_(*CONTEXT, PROFILE, evaluated_sql(FIXED).replace("FROM ctx)", "FROM live)"), "SELECT transaction_id, rule_score, highest_severity, codes FROM evaluated"))
 def k01(spark, sf):
-    tx = D.transfers(spark, sf)
-    profile = tx.groupBy("sender_account").agg(F.count_distinct("receiver_account").alias("fan_out"))
+    """All fourteen rules on arriving transfers, against the written profile of their sender."""
+    latest = context(spark, sf).groupBy("sender_account").agg(F.max_by(F.struct(*INPUTS), F.struct("ts", "transaction_id")).alias("_p"))
+    profile = cut(latest.select("sender_account", "_p.*"))
     out = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    codes = F.array_join(F.transform("matches", lambda m: m["rule_code"]), ",").alias("codes")
 
     def sink(batch, batch_id):
-        batch.select("transaction_id", "rule_score", "composite_risk_score", "risk_level").write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
+        batch.select("transaction_id", "rule_score", "highest_severity", codes).write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
 
-    started = K.score_stream(stream_transfers(spark, sf), profile, sink, f"{out}/checkpoint", active=["R003", "R005", "R012"])
+    started = K.score_stream(stream_transfers(spark, sf), profile, sink, f"{out}/checkpoint")
     started.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/data/*").select("transaction_id", "rule_score")
+    return spark.read.parquet(f"{out}/data/*").select("transaction_id", "rule_score", "highest_severity", "codes")
 
 
 @query("k02_pass_through_stream", with_(TX, PAIRS, "SELECT account, incoming_id, outgoing_id, delay_seconds, round(ratio, 6) AS pass_through_ratio FROM pairs"))
