@@ -118,3 +118,16 @@ def test_cross_bank_severity_and_pattern(spark):
     rows = [("h", "B1", 1, "r1", 80.0, "first"), ("h", "B1", 2, "r2", 10.0, "again"), ("h", "B2", 3, "r3", 90.0, "second"), ("x", "B1", 1, "r4", 99.0, "alone")]
     a = X.cross_bank_alerts(spark.createDataFrame(rows, "account_hash string, bank_id string, ts long, report_id string, risk_score double, pattern_type string")).collect()
     assert len(a) == 1 and (a[0]["contributing_banks"], a[0]["aggregate_risk"], a[0]["severity"], a[0]["pattern_type"]) == (2, 85.0, "HIGH", "second")
+
+
+def test_event_subgraphs_are_counted_as_listed(spark, make):
+    import random
+
+    from fundwatch.operators import graph_ml as N
+    from fundwatch.sources.ingest import build_graph
+
+    rng = random.Random(6)
+    tx = make([(f"T{i:02d}", i, f"A{rng.randrange(14)}", f"A{rng.randrange(14)}", 10, {"device_id": f"D{rng.randrange(9)}", "ip_address": f"P{rng.randrange(9)}"}) for i in range(40)])
+    _, edges = build_graph(tx)
+    listed = {r["event_id"]: r["count"] for r in N.event_subgraph(edges, tx).groupBy("event_id").count().collect()}
+    assert {r["event_id"]: r["edges"] for r in N.event_subgraph_counts(edges, tx).collect()} == listed and len(listed) == 40
