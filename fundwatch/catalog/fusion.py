@@ -38,7 +38,7 @@ def account_graph(spark, sf):
     nodes, edges = build_graph(transfers(spark, sf))
     edges = cut(edges)
     everyone = G.accounts_in_large_transfers(transfers(spark, sf), 0.0)
-    g = G.fan_metrics(edges).join(G.density(G.ego_nodes(nodes, edges, everyone, 1), edges), "account")
+    g = G.fan_metrics(edges).join(G.density(G.ego(nodes, edges, everyone, 1), edges), "account")
     flags = G.circular_flags(edges).select("account", F.col("in_cycle").alias("has_cycle"))
     g = g.join(flags, "account", "left").join(G.shared_counts(G.shared_entities(edges)), "account", "left")
     return g.fillna({"has_cycle": False, "shared_device_count": 0, "shared_ip_count": 0})
