@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.session import checkpoint_folder, cut
 from ..sources import driver_tables as D
 from ..streaming import jobs as K
-from .base import TX, query, ts, with_
+from .base import LEGS, TX, query, ts, with_
 from .crossbank import REPORTS, as_reports
 from .rules import CONTEXT, FIXED, context, evaluated_sql
-from .temporal import PAIRS
+from .temporal import PAIRS, ROLLING
 
 
 def stream_transfers(spark, sf):
@@ -62,6 +62,16 @@ def k03(spark, sf):
     return v.select("sender_account", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "transfers", F.round("amount", 2).alias("amount"))
 
 
+@query("k03_trailing_stream", with_(TX, LEGS, ROLLING, "SELECT account, transaction_id, n_1h AS n, round(amount_1h, 2) AS amount FROM roll"))
+def k03_trailing(spark, sf):
+    """Exact trailing windows from keyed state; equal to the batch figures, open windows included."""
+    out = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = K.trailing_stream(stream_transfers(spark, sf), bucket_seconds=86_400)
+    K.run_available(stream, f"{out}/data", f"{out}/checkpoint", "update")
+    got = K.current(spark, f"{out}/data", stream.schema, ["account", "transaction_id"])
+    return got.select("account", "transaction_id", "n", F.round("amount", 2).alias("amount"))
+
+
 @query("k04_cross_bank_stream", with_(TX, REPORTS, "SELECT account_hash, banks::INT AS contributing_banks, round(risk, 4) AS aggregate_risk, pattern_type FROM alerts"))
 def k04(spark, sf):
     alerts = _run(spark, K.cross_bank_stream(as_reports(stream_transfers(spark, sf))), mode="update")

@@ -6,13 +6,17 @@ is bounded by watermarks, or by the number of banks per account.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import micros
+from ..functions.timeline import MONEY_SCALE, money_units
 from ..operators.fusion import fuse, signals
 from ..operators.rules import evaluate_rules
 
@@ -41,12 +45,26 @@ def score_stream(
     return unique.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
 
 
+def _bucket(ts: str, span: int):
+    """Number of the time bucket of ``span`` microseconds."""
+    us = micros(ts)
+    return ((us - F.pmod(us, F.lit(span))) / span).cast("long")
+
+
 def pass_through_stream(transfers: DataFrame, max_delay: int = 900, delay: str = "1 hour") -> DataFrame:
-    """Inflow and outflow pairs as a stream-stream interval join; both sides forget rows older than the watermark."""
+    """Inflow and outflow pairs as a stream-stream interval join; both sides forget rows older than the watermark.
+
+    As in the batch job a time bucket of the length of the delay is part of the key, and an
+    inflow also waits in the next bucket, so the state of a hot account is spread over as many
+    keys as it has buckets. A pair meets in the bucket of its outflow only.
+    """
+    span = int(max_delay) * 1_000_000
     into = transfers.select(F.col("receiver_account").alias("account"), F.col("transaction_id").alias("incoming_id"), F.col("ts").alias("in_ts"), F.col("amount").alias("in_amount"))
     out = transfers.select(F.col("sender_account").alias("out_account"), F.col("transaction_id").alias("outgoing_id"), F.col("ts").alias("out_ts"), F.col("amount").alias("out_amount"))
-    within = F.expr(f"account = out_account AND out_ts >= in_ts AND out_ts <= in_ts + interval {int(max_delay)} seconds")
-    pairs = into.withWatermark("in_ts", delay).join(out.withWatermark("out_ts", delay), within)
+    into = into.withWatermark("in_ts", delay).withColumn("bucket", F.explode(F.array(_bucket("in_ts", span), _bucket("in_ts", span) + 1)))
+    out = out.withWatermark("out_ts", delay).withColumn("out_bucket", _bucket("out_ts", span))
+    within = F.expr(f"account = out_account AND bucket = out_bucket AND out_ts >= in_ts AND out_ts <= in_ts + interval {int(max_delay)} seconds")
+    pairs = into.join(out, within)
     seconds = (micros("out_ts") - micros("in_ts")) / 1e6
     return pairs.select("account", "incoming_id", "outgoing_id", seconds.alias("delay_seconds"), (F.col("out_amount") / F.col("in_amount")).alias("pass_through_ratio"))
 
@@ -62,6 +80,92 @@ def velocity_stream(transfers: DataFrame, window: str = "1 hour", slide: str = "
     return agg.select("sender_account", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "transfers", "amount")
 
 
+TRAILING = "account string, transaction_id string, us bigint, n bigint, amount double"
+LEG = "transaction_id string, us bigint, units bigint, own boolean"
+
+
+class TrailingCounts(StatefulProcessor):
+    """The legs of one account in one time bucket and the one before it, as list state.
+
+    Figures of a leg are given when it arrives, and again whenever a late leg enters its
+    window. A timer at the end of the bucket clears the state: once the watermark is there, no
+    leg can arrive that the bucket would count.
+    """
+
+    def __init__(self, span: int, width: int):
+        self.span, self.width = span, width
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.legs = handle.getListState("legs", LEG)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        legs = list(self.legs.get())
+        known, came = {leg[0] for leg in legs}, []
+        for chunk in rows:
+            for leg in zip(chunk["transaction_id"].tolist(), chunk["us"].tolist(), chunk["units"].tolist(), chunk["own"].tolist()):
+                if leg[0] not in known:
+                    known.add(leg[0])
+                    came.append(leg)
+        if not came:
+            return
+        if not legs:
+            self.handle.registerTimer((key[1] + 1) * self.width // 1000)
+        self.legs.appendList(came)
+        legs = sorted(legs + came, key=lambda leg: leg[1])
+        new = np.sort(np.array([leg[1] for leg in came], np.int64))
+        us = np.array([leg[1] for leg in legs], np.int64)
+        sums = np.concatenate([[0], np.cumsum(np.array([leg[2] for leg in legs], np.int64))])
+        low, high = np.searchsorted(us, us - self.span, "left"), np.searchsorted(us, us, "right")
+        changed = np.searchsorted(new, us, "right") > np.searchsorted(new, us - self.span, "left")
+        give = np.flatnonzero(changed & np.array([bool(leg[3]) for leg in legs]))
+        if len(give):
+            low, high = low[give], high[give]
+            yield pd.DataFrame({"account": key[0], "transaction_id": [legs[i][0] for i in give], "us": us[give], "n": high - low, "amount": (sums[high] - sums[low]) / MONEY_SCALE})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.legs.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_stream(transfers: DataFrame, seconds: int = 3600, bucket_seconds: int | None = None, delay: str = "1 hour") -> DataFrame:
+    """Exact count and sum of the closed trailing window ending at each transfer, for both its accounts, in update mode.
+
+    ``account, transaction_id, us, n, amount`` as in the batch job's ``rolling``; the last row
+    of an (account, transaction_id) is its current one (``current``), also for windows that are
+    still open when the stream stops. A key is an account and a time bucket (``bucket_seconds``,
+    at least the window, by default six windows); a leg goes to its own bucket, where it is judged,
+    and in the last window of a bucket also to the next, where it only counts. A hot account is
+    thus as many states as it has buckets; quiet ones cost a call of the state store per bucket
+    and micro-batch, so wider buckets suit them. Repeated transaction
+    ids count once; rows later than ``delay`` are dropped; a self-transfer is one leg; rows without
+    account, id or time are left out, and one without an amount adds nothing to the sum.
+    The query needs the RocksDB state store (``run_available`` sets it).
+    """
+    span = int(seconds) * 1_000_000
+    width = 6 * span if bucket_seconds is None else max(span, int(bucket_seconds) * 1_000_000)
+    sides = F.when(F.col("sender_account") == F.col("receiver_account"), F.array("sender_account")).otherwise(F.array("sender_account", "receiver_account"))
+    legs = transfers.filter(F.col("transaction_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        "transaction_id", "ts", micros("ts").alias("us"), F.coalesce(money_units("amount"), F.lit(0)).cast("long").alias("units"),
+        _bucket("ts", width).alias("_b"), F.explode(sides).alias("account")).filter(F.col("account").isNotNull())
+    copy = lambda b, own: F.struct(b.alias("bucket"), F.lit(own).alias("own"))
+    here, following = copy(F.col("_b"), True), copy(F.col("_b") + 1, False)
+    copies = F.when(F.pmod(F.col("us"), F.lit(width)) >= width - span, F.array(here, following)).otherwise(F.array(here))
+    return legs.select("account", "transaction_id", "ts", "us", "units", F.inline(copies)).groupBy("account", "bucket").transformWithStateInPandas(
+        TrailingCounts(span, width), TRAILING, "Update", "EventTime")
+
+
+def current(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last row of each key among the micro-batches that ``run_available`` wrote under ``path``."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+    others = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    numbered = rows if "batch_id" in rows.columns else rows.withColumn("batch_id", F.regexp_extract(F.col("_metadata.file_path"), r"batch_id=(\d+)", 1).cast("long"))
+    return numbered.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_r")).select(*keys, "_r.*")
+
+
 ALERT = "account_hash string, contributing_banks int, aggregate_risk double, pattern_type string"
 STATE = "banks array<string>, risks array<double>, pattern string"
 
@@ -95,9 +199,26 @@ def cross_bank_stream(reports: DataFrame) -> DataFrame:
     return reports.groupBy("account_hash").applyInPandasWithState(_merge_reports, ALERT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """List state and timers need RocksDB; a query keeps the provider it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now and write it under ``path``; each micro-batch owns one folder, so a replay overwrites itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with _rocksdb(df.sparkSession):
+        started = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.awaitTermination()

@@ -27,6 +27,28 @@ def test_pass_through_over_micro_batches(spark, make, tmp_path):
     assert got == {(r["incoming_id"], r["outgoing_id"]) for r in P.pass_through(once).collect()}
 
 
+def test_trailing_windows_equal_the_batch_job(spark, make, tmp_path):
+    """Three files whose times interleave: later files bring legs that earlier windows must count."""
+    once, stream = source(spark, make, tmp_path)
+    out = K.trailing_stream(stream, seconds=600, bucket_seconds=1000, delay="3 hours")
+    K.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    got = K.current(spark, str(tmp_path / "out"), out.schema, ["account", "transaction_id"]).collect()
+    want = P.rolling(P.legs(once), {"w": 600}).collect()
+    assert {(r["account"], r["transaction_id"], r["n"], r["amount"]) for r in got} == {(r["account"], r["transaction_id"], r["n_w"], r["amount_w"]) for r in want}
+    assert spark.read.parquet(str(tmp_path / "out/*")).count() > len(got)  # some were given again
+
+
+def test_trailing_state_expires(spark, make, tmp_path):
+    """A leg later than the watermark changes nothing; nulls and self-transfers have a defined result."""
+    for i, rows in enumerate(([("A", 0, "S", "R", 5), ("B", 0, "S", "S", 7), ("N", 1, "S", None, 2)], [("C", 40_000, "S", "R", 1)], [("D", 80_000, "S", "R", 1)], [("L", 2, "S", "R", 9)])):
+        make(rows).drop("metadata").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    stream = K.read_stream(spark, str(tmp_path / "in/*"), make([]).drop("metadata").schema, files_per_batch=1)
+    out = K.trailing_stream(stream, seconds=600, delay="10 minutes")
+    K.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    got = {(r["account"], r["transaction_id"]): (r["n"], r["amount"]) for r in K.current(spark, str(tmp_path / "out"), out.schema, ["account", "transaction_id"]).collect()}
+    assert got == {("S", "A"): (2, 12.0), ("R", "A"): (1, 5.0), ("S", "B"): (2, 12.0), ("S", "N"): (3, 14.0), ("S", "C"): (1, 1.0), ("R", "C"): (1, 1.0), ("S", "D"): (1, 1.0), ("R", "D"): (1, 1.0)}
+
+
 def test_scoring_drops_repeats(spark, make, tmp_path):
     once, stream = source(spark, make, tmp_path)
     profile = once.groupBy("sender_account").agg(F.lit(12).alias("fan_out"))
