@@ -100,9 +100,17 @@ def m07(spark, sf):
     return T.split_chronological(transfers(spark, sf)).select("transaction_id", "split")
 
 
-@query("m08_split_random")
+HASHED = "hashed AS MATERIALIZED (SELECT transaction_id, is_fraud, ('0x' || md5('42:' || transaction_id)[:15])::BIGINT AS h FROM tx)"
+
+
+@query("m08_split_random", with_(TX, HASHED, """SELECT transaction_id, is_fraud, CASE WHEN rank() OVER (PARTITION BY is_fraud ORDER BY h) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY is_fraud) + 1e-9) THEN 'train' ELSE 'test' END AS split FROM hashed"""))
 def m08(spark, sf):
-    return T.split_random(transfers(spark, sf), strata="is_fraud").groupBy("is_fraud", "split").agg(F.count(F.lit(1)).alias("rows"))
+    return T.split_random(transfers(spark, sf), strata="is_fraud").select("transaction_id", "is_fraud", "split")
+
+
+@query("m08_split_unstratified", with_(TX, HASHED, "SELECT transaction_id, CASE WHEN h / 1152921504606846976.0::DOUBLE < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS split FROM hashed"))
+def m08_unstratified(spark, sf):
+    return T.split_random(transfers(spark, sf)).select("transaction_id", "split")
 
 
 @query("m09_preprocess")

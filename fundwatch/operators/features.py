@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import filled, finite, micros, sanitize
 from ..functions.session import cut, lookup
+from .selection import kth_smallest
 from .temporal import temporal_asof
 
 # Feature names, in order.
@@ -178,18 +179,20 @@ def cut_points(counts: DataFrame, key: str, n: str, shares: list[float]) -> list
 
 
 def split_random(df: DataFrame, train: float = 0.8, seed: int = 42, strata: str | None = None, key: str = "transaction_id") -> DataFrame:
-    """Add ``split``. A hash of the key decides, so the split does not change with the partitioning.
+    """Add ``split``. A hash of the key (60 bits of md5) decides, so the split does not change with the partitioning.
 
-    With ``strata`` each stratum is cut at its own approximate quantile of the hash.
+    Without ``strata`` each key is drawn with the probability ``train``. With it, the
+    ``floor(train * n)`` smallest hashes of a stratum of ``n`` rows are for training, exactly; rows of one
+    key stay together, so copies of the last key go with it. A null stratum is one of its own,
+    rows without a key are for testing.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**31)) / float(2**31)).alias("_u")
-    df = df.select("*", u)
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     if strata is None:
-        limit = F.lit(train)
-    else:
-        limits = df.groupBy(strata).agg(F.percentile_approx("_u", train, 10000).alias("_limit"))
-        df, limit = df.join(limits, strata, "left"), F.col("_limit")
-    return df.withColumn("split", F.when(F.col("_u") <= limit, "train").otherwise("test")).drop("_u", "_limit")
+        return df.withColumn("split", F.when(hashed / float(2**60) < train, "train").otherwise("test"))
+    limits = kth_smallest(df, [strata], hashed, {"_limit": F.floor(F.col("n") * train + 1e-9)})
+    limits = limits.select(F.struct(strata).alias("_g"), "_limit")
+    joined = df.withColumn("_g", F.struct(strata)).join(limits, "_g", "left")
+    return joined.withColumn("split", F.when(hashed <= F.col("_limit"), "train").otherwise("test")).drop("_g", "_limit")
 
 
 def preprocess_stages(categorical: list[str], numeric: list[str]) -> list:

@@ -10,7 +10,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import clamp
+from ..functions.timeline import MONEY_SCALE, money_units
 from .features import FEATURES, feature_vector
+from .selection import kth_smallest
 
 # Features, weights and bias of the linear risk score.
 LINEAR_WEIGHTS = [25.0, 30.0, 20.0, 15.0, 10.0, 10.0, 12.0, 8.0]
@@ -128,13 +130,22 @@ def predict(model, df: DataFrame, version: str, columns: list[str] = FEATURES, t
 
 
 def amount_anomaly(tx: DataFrame, contamination: float = 0.05) -> DataFrame:
-    """Flag the top ``contamination`` of amounts per channel, with a robust z-score (median and MAD)."""
-    q = lambda c, p: F.percentile_approx(c, p, 10000)
-    cuts = tx.groupBy("channel").agg(q("amount", 1 - contamination).alias("_cut"), q("amount", 0.5).alias("_median"))
-    spread = tx.join(cuts, "channel").groupBy("channel").agg(q(F.abs(F.col("amount") - F.col("_median")), 0.5).alias("_mad"))
-    limits = cuts.join(spread, "channel")
-    z = F.coalesce((F.col("amount") - F.col("_median")) / F.nullif(1.4826 * F.col("_mad"), F.lit(0.0)), F.lit(0.0))
-    return tx.join(limits, "channel").withColumns({"robust_z": z, "is_anomaly": F.col("amount") > F.col("_cut")}).drop("_cut", "_median", "_mad")
+    """Flag the top ``contamination`` of amounts per channel, with a robust z-score (median and MAD).
+
+    Cut, median and MAD are exact order statistics of money units; a place between two rows
+    takes the lower. Transfers without a channel are a group of their own, those without an
+    amount have a null score and flag.
+    """
+    place = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p - 1e-9))
+    same = lambda limits: limits.select(F.struct("channel").alias("_g"), *[c for c in limits.columns if c != "channel"])
+    units = money_units("amount")
+    cuts = same(kth_smallest(tx, ["channel"], units, {"_cut": place(1 - contamination), "_median": place(0.5)}))
+    grouped = tx.withColumn("_g", F.struct("channel")).join(cuts, "_g", "left")
+    spread = same(kth_smallest(grouped, ["channel"], F.abs(units - F.col("_median")), {"_mad": place(0.5)}))
+    scale = float(MONEY_SCALE)
+    z = (F.col("amount") - F.col("_median") / scale) / F.nullif(1.4826 * F.col("_mad") / scale, F.lit(0.0))
+    z = F.when(F.col("amount").isNotNull(), F.coalesce(z, F.lit(0.0)))
+    return grouped.join(spread, "_g", "left").withColumns({"robust_z": z, "is_anomaly": units > F.col("_cut")}).drop("_g", "_cut", "_median", "_mad")
 
 
 def importances(spark, model, columns: list[str] = FEATURES, k: int = 20) -> DataFrame:

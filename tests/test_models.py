@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from fundwatch.operators import crossbank as X
 from fundwatch.operators import features as T
 from fundwatch.operators import graph_ml as N
 from fundwatch.operators import ml as M
+from fundwatch.operators.selection import kth_smallest
 from fundwatch.sources.ingest import build_graph
 
 
@@ -42,6 +45,38 @@ def test_random_split_is_stable(make):
     assert a == {r["transaction_id"] for r in T.split_random(tx.repartition(7)).filter("split = 'train'").collect()} and 200 < len(a) < 280
 
 
+def test_kth_smallest_equals_sorting(spark):
+    """Hot and tiny groups, negative and wide keys, repeats, a null group, null keys and places outside the group."""
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([rng.randint(-(2**40), 2**40), rng.randint(0, 9)])) for _ in range(3000)]
+    rows += [("same", 7)] * 500 + [(None, i) for i in range(10)] + [("one", -3), ("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    n = F.col("n")
+    got = {r["g"]: tuple(r)[1:] for r in kth_smallest(df, ["g"], F.col("k"), {"first": F.lit(1), "median": F.ceil(n / 2), "last": n, "beyond": n + 1, "none": F.lit(0)}).collect()}
+    want = {}
+    for g in {g for g, k in rows if k is not None}:
+        ks = sorted(k for h, k in rows if h == g and k is not None)
+        want[g] = (ks[0], ks[-(-len(ks) // 2) - 1], ks[-1], None, None)
+    assert got == want
+    assert kth_smallest(df.filter("false"), ["g"], F.col("k"), {"first": F.lit(1)}).collect() == []
+
+
+def test_stratified_split_has_exact_sizes(spark):
+    rows = [(f"T{i}", "a" if i % 3 else None) for i in range(300)] + [("X", "tiny")] + [("T1", "a")] * 3
+    out = T.split_random(spark.createDataFrame(rows, "transaction_id string, s string"), strata="s")
+    sizes = {(r["s"], r["split"]): r["count"] for r in out.groupBy("s", "split").count().collect()}
+    assert sizes[(None, "train")] == 80 and sizes[("tiny", "test")] == 1
+    assert 162 <= sizes[("a", "train")] <= 165 and sum(sizes.values()) == len(rows)  # floor(0.8 * 203), and copies of the last key
+    assert out.filter("transaction_id = 'T1'").select("split").distinct().count() == 1
+
+
+def test_amount_anomaly_is_exact(spark):
+    rows = [(f"T{i}", "UPI" if i % 2 else None, float(i)) for i in range(1, 201)] + [("N", "UPI", None)]
+    got = {r["transaction_id"]: r for r in M.amount_anomaly(spark.createDataFrame(rows, "transaction_id string, channel string, amount double")).collect()}
+    assert sorted(t for t, r in got.items() if r["is_anomaly"]) == sorted(f"T{i}" for i in range(191, 201))
+    assert len(got) == 201 and got["N"]["robust_z"] is None and got["T99"]["robust_z"] == 0.0
+
+
 def test_metrics_zero_division(spark):
     df = spark.createDataFrame([(0.0, 0.0), (0.0, 0.0)], "label double, prediction double")
     r = M.classification_metrics(df).first()
