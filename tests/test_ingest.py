@@ -1,12 +1,13 @@
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from fundwatch.functions import columns as C
 from fundwatch.operators import search as S
 from fundwatch.sources import ingest as I
-from fundwatch.sources.readers import read_scored, read_table, read_transfers_csv, write_scored
+from fundwatch.sources.readers import append_batch, committed_batches, read_scored, read_table, read_transfers_csv, write_scored
 
 
 def test_canonicalize_aliases_defaults_metadata(spark):
@@ -68,6 +69,25 @@ def test_round_trips(spark, make, tmp_path):
     assert read_table(spark, str(tmp_path), "rules").select("rule_code").first()[0] == "R004"
 
 
+def test_batches_are_appended_once(spark, make, tmp_path):
+    path, schema = str(tmp_path / "scored"), "transaction_id string, ts timestamp, amount double, dt date, batch string"
+    tx = make([("T1", 0, "A", "B", 10), ("T2", 90000, "A", "B", 20)]).select("transaction_id", "ts", "amount")
+    assert append_batch(tx, path, "run-0") and not append_batch(tx, path, "run-0")
+    # A driver that dies before the commit: all of its rows are there, the marker is not.
+    assert append_batch(tx, path, "run-1")
+    (tmp_path / "scored" / "batch=run-1" / "_SUCCESS").unlink()
+    assert committed_batches(spark, path) == ["run-0"]
+    assert read_scored(spark, path).count() == 2
+    # The repeat has one day less; the day of the first attempt does not come back.
+    assert append_batch(tx.filter("transaction_id = 'T1'"), path, "run-1")
+    assert sorted((r["batch"], r["transaction_id"]) for r in read_scored(spark, path).collect()) == [("run-0", "T1"), ("run-0", "T2"), ("run-1", "T1")]
+    # An empty batch is committed and adds nothing.
+    assert append_batch(tx.filter("false"), path, "run-2") and read_scored(spark, path, schema).count() == 3
+    assert committed_batches(spark, path) == ["run-0", "run-1", "run-2"]
+    with pytest.raises(ValueError):
+        append_batch(tx, path, "a/b")
+
+
 def test_complaints_tolerate_bad_json(spark):
     df = spark.createDataFrame([("VICTIM_COMPLAINT", '{"victim_email": "a@b.c", "amount_lost": 5.5}'), ("VICTIM_COMPLAINT", "{oops"), ("OTHER", "{}")], "report_type string, summary_text string")
     got = S.expand_complaints(df).select("victim_email", "amount_lost").collect()
