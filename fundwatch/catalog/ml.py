@@ -113,11 +113,24 @@ def m08_unstratified(spark, sf):
     return T.split_random(transfers(spark, sf)).select("transaction_id", "split")
 
 
-@query("m09_preprocess")
+# Categories by falling frequency, equal ones by name; behind them one slot for those unseen.
+PREPARED = """channels AS (SELECT channel, row_number() OVER (ORDER BY count(*) DESC, channel) - 1 AS i, count(*) OVER () AS kinds FROM tx GROUP BY 1),
+banks AS (SELECT sender_bank, row_number() OVER (ORDER BY count(*) DESC, sender_bank) - 1 AS j, count(*) OVER () AS m FROM tx GROUP BY 1),
+moments AS (SELECT avg(amount) AS ma, stddev_samp(amount) AS sa, avg(risk_score) AS mr, stddev_samp(risk_score) AS sr FROM tx)"""
+
+
+@query("m09_preprocess", with_(TX, PREPARED, f"""SELECT transaction_id, {to_places('(amount - ma) / sa', 6)} AS amount, {to_places('(risk_score - mr) / sr', 6)} AS risk_score,
+  i::INT AS channel_slot, j::INT AS bank_slot, (2 + kinds + 1 + m + 1)::INT AS width FROM tx JOIN channels USING (channel) JOIN banks USING (sender_bank), moments"""))
 def m09(spark, sf):
+    """The scaled numbers, the places of the two hot entries, and the width of the vector."""
     tx = transfers(spark, sf)
-    out = Pipeline(stages=T.preprocess_stages(["channel", "sender_bank"], ["amount", "risk_score"])).fit(tx).transform(tx)
-    return out.select("transaction_id", F.size(vector_to_array("features")).alias("width"))
+    fitted = Pipeline(stages=T.preprocess_stages(["channel", "sender_bank"], ["amount", "risk_score"])).fit(tx)
+    v = vector_to_array("features")
+    channels = next(len(st.labelsArray[0]) for st in fitted.stages if hasattr(st, "labelsArray"))
+    out = fitted.transform(tx).select("transaction_id", v[0].alias("amount"), v[1].alias("risk_score"), v.alias("_v"))
+    hot = lambda first, width: (F.array_position(F.slice("_v", first, width), 1.0) - 1).cast("int")
+    return out.select("transaction_id", round_up("amount", 6).alias("amount"), round_up("risk_score", 6).alias("risk_score"),
+                      hot(3, F.lit(channels + 1)).alias("channel_slot"), hot(4 + channels, F.size("_v") - 3 - channels).alias("bank_slot"), F.size("_v").alias("width"))
 
 
 @query("m10_drop_leakage", with_(TX, "SELECT amount, channel AS trans_type, count(*) AS rows FROM tx GROUP BY 1, 2"))

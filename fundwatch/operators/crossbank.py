@@ -106,8 +106,9 @@ def noise_scale(epsilon: float, delta: float, c: float = 1.0) -> float:
 
 
 def add_noise(weights: DataFrame, epsilon: float, delta: float, c: float = 1.0, seed: int = 0) -> DataFrame:
-    """Clip, then add Gaussian noise. The noise follows from cell and seed, so a retried task draws the same value."""
-    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "round_id", "bank_id", *CELL), F.lit(2**52)) + 0.5) / float(2**52)
+    """Clip, then add Gaussian noise. The noise follows from cell and seed (52 bits of md5), so a retried task draws the same value."""
+    cell = lambda salt: F.concat_ws(":", F.lit(f"{seed}:{salt}"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("round_id", "bank_id", *CELL)])
+    uniform = lambda salt: (F.conv(F.substring(F.md5(cell(salt)), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     normal = F.sqrt(-2.0 * F.log(uniform("r"))) * F.cos(2 * math.pi * uniform("a"))
     return clip(weights, c).withColumn("value", F.col("value") + normal * noise_scale(epsilon, delta, c))
 
