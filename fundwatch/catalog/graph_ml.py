@@ -10,6 +10,7 @@ from ..operators import graph_ml as N
 from ..sources.driver_tables import transfers
 from ..sources.ingest import build_graph
 from .base import TX, query, with_
+from .temporal import round_up, to_places
 
 CUTOFF = "2024-01-20 00:00:00"
 
@@ -86,11 +87,34 @@ def n08_means(spark, sf):
     return m.select("node", F.round(F.get("mean", F.lit(0)), 4).alias("m0"), F.round(F.get("mean", F.lit(3)), 4).alias("m3"))
 
 
-@query("n08_sage_layer")
+# The sixteen features of a node as rows (node, i, v).
+NX = """x0 AS MATERIALIZED (SELECT node, unnest(range(16)) AS i, unnest(CASE
+    WHEN node LIKE 'account:%' THEN [d_in, d_out, d_in + d_out, u_in, u_out, CASE WHEN v_in > 0 THEN round(log10(v_in + 1), 4) ELSE 0 END, CASE WHEN v_out > 0 THEN round(log10(v_out + 1), 4) ELSE 0 END,
+      round(u_in / greatest(1, d_in), 4), round(u_out / greatest(1, d_out), 4), 180, 1, 0, 0, devs, ips, 0]::DOUBLE[]
+    ELSE [d_in, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, (node LIKE 'device:%')::INT, (node LIKE 'ip:%')::INT, 0]::DOUBLE[] END) AS v FROM nf)"""
+
+
+def layer_sql(name: str, x: str, edges: str, inputs: int, outputs: int, salt: int, unit: bool = True) -> str:
+    """One layer over rows (node, i, v): own values and means of the sources, the weights of ``fixed_layer``, ReLU, unit length."""
+    length = "greatest(sqrt(sum(v * v) OVER (PARTITION BY node)), 1e-12::DOUBLE)" if unit else "1"
+    return f"""{name}_x AS (SELECT node, i, v FROM {x} UNION ALL SELECT e.d, i + {inputs}, avg(v) FROM {edges} e JOIN {x} ON node = e.s GROUP BY 1, 2),
+{name}_y AS (SELECT node, j, greatest(0, sum(v * ((i * 31 + j * 17 + {salt}) % 101 / 101.0::DOUBLE - 0.5::DOUBLE)) + 0.01::DOUBLE * j) AS v FROM {name}_x, range({outputs}) t(j) GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT node, j AS i, v / {length} AS v FROM {name}_y)"""
+
+
+def _listed(df):
+    """One row per node and place of its state."""
+    return df.select("node", F.posexplode("h").alias("i", "v")).select("node", "i", round_up("v", 6).alias("v"))
+
+
+LISTED = f"SELECT node, i::INT AS i, {to_places('v', 6)} AS v FROM "
+
+
+@query("n08_sage_layer", with_(TX, NF, NX, layer_sql("x1", "x0", "ed", 16, 8, 3), LISTED + "x1"))
 def n08(spark, sf):
     edges = _edges(spark, sf)
     h = N.node_features(edges).select("node", F.col("features").alias("h"))
-    return N.sage_layer(h, edges, *fixed_layer(32, 8, 3)).select("node", F.array_join(F.transform("h", lambda v: F.round(v, 6)), ",").alias("h"))
+    return _listed(N.sage_layer(h, edges, *fixed_layer(32, 8, 3)))
 
 
 @query("n09_undirected_features", with_(TX, """u AS (SELECT DISTINCT s, d FROM (SELECT sender_account AS s, receiver_account AS d FROM tx UNION ALL SELECT receiver_account, sender_account FROM tx UNION ALL SELECT sender_account, sender_account FROM tx
@@ -100,10 +124,20 @@ def n09(spark, sf):
     return h.select("node", F.round(F.get("h", F.lit(2)), 6).alias("share"), F.round(F.get("h", F.lit(3)), 6).alias("log_degree"))
 
 
-@query("n09_sage_undirected")
+UX = """u AS MATERIALIZED (SELECT DISTINCT 'account:' || s AS s, 'account:' || d AS d FROM (SELECT sender_account AS s, receiver_account AS d FROM tx UNION ALL SELECT receiver_account, sender_account FROM tx
+  UNION ALL SELECT sender_account, sender_account FROM tx UNION ALL SELECT receiver_account, receiver_account FROM tx)),
+deg AS (SELECT s AS node, count(*) AS n FROM u GROUP BY 1),
+x0 AS MATERIALIZED (SELECT node, unnest(range(4)) AS i, unnest([0, 1, n / (SELECT max(n) FROM deg), ln(1 + n)]::DOUBLE[]) AS v FROM deg)"""
+
+
+@query("n09_sage_undirected", with_(TX, UX, layer_sql("x1", "x0", "u", 4, 4, 5, unit=False), LISTED + "x1"))
 def n09_layer(spark, sf):
     edges = _edges(spark, sf)
-    return N.sage_undirected(N.undirected_features(edges), edges, *fixed_layer(8, 4, 5)).select("node", F.array_join(F.transform("h", lambda v: F.round(v, 6)), ",").alias("h"))
+    return _listed(N.sage_undirected(N.undirected_features(edges), edges, *fixed_layer(8, 4, 5)))
+
+
+# Embeddings are kept to six places.
+EMBEDDED = ",\n".join([NX, layer_sql("x1", "x0", "ed", 16, 32, 3), layer_sql("x2", "x1", "ed", 32, 16, 7), f"h AS MATERIALIZED ({LISTED} x2)"])
 
 
 def _embedded(spark, sf):
@@ -111,14 +145,15 @@ def _embedded(spark, sf):
     return N.embeddings(N.node_features(edges), edges, [fixed_layer(32, 32, 3), fixed_layer(64, 16, 7)])
 
 
-@query("n10_score_head")
+@query("n10_score_head", with_(TX, NF, EMBEDDED, "p AS (SELECT node, 1 / (1 + exp(0.5::DOUBLE - sum(v * 0.1::DOUBLE * i))) AS p FROM h GROUP BY 1)",
+  f"SELECT node, {to_places('p', 6)} AS probability, round_even(p * 100, 0)::INT AS risk, p >= 0.5 AS is_fraud FROM p"))
 def n10(spark, sf):
-    return N.score_head(_embedded(spark, sf), [0.1 * i for i in range(16)], -0.5).select("node", F.round("probability", 6).alias("probability"), "risk", "is_fraud")
+    return N.score_head(_embedded(spark, sf), [0.1 * i for i in range(16)], -0.5).select("node", round_up("probability", 6).alias("probability"), "risk", "is_fraud")
 
 
-@query("n11_embeddings")
+@query("n11_embeddings", with_(TX, NF, EMBEDDED, "SELECT * FROM h"))
 def n11(spark, sf):
-    return _embedded(spark, sf).select("node", F.size("h").alias("size"), F.array_join("h", ",").alias("h"))
+    return _listed(_embedded(spark, sf))
 
 
 @query("n12_event_subgraph", with_(TX, NF, """ev AS MATERIALIZED (SELECT transaction_id AS event_id, 'account:' || sender_account AS s0, 'account:' || receiver_account AS d0 FROM tx),
