@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import micros
+from ..functions.columns import micros, ratio
 from ..functions.timeline import MONEY_SCALE, money_units
 from ..operators.fusion import fuse, signals
 from ..operators.rules import evaluate_rules
@@ -66,7 +66,7 @@ def pass_through_stream(transfers: DataFrame, max_delay: int = 900, delay: str =
     within = F.expr(f"account = out_account AND bucket = out_bucket AND out_ts >= in_ts AND out_ts <= in_ts + interval {int(max_delay)} seconds")
     pairs = into.join(out, within)
     seconds = (micros("out_ts") - micros("in_ts")) / 1e6
-    return pairs.select("account", "incoming_id", "outgoing_id", seconds.alias("delay_seconds"), (F.col("out_amount") / F.col("in_amount")).alias("pass_through_ratio"))
+    return pairs.select("account", "incoming_id", "outgoing_id", seconds.alias("delay_seconds"), ratio(F.col("out_amount"), F.col("in_amount")).alias("pass_through_ratio"))
 
 
 def velocity_stream(transfers: DataFrame, window: str = "1 hour", slide: str = "5 minutes", delay: str = "1 hour") -> DataFrame:

@@ -27,6 +27,14 @@ def test_pass_through_over_micro_batches(spark, make, tmp_path):
     assert got == {(r["incoming_id"], r["outgoing_id"]) for r in P.pass_through(once).collect()}
 
 
+def test_pass_through_of_a_zero_inflow(spark, make, tmp_path):
+    tx = make([("1", 0, "A", "M", 0), ("2", 60, "M", "B", 5)]).drop("metadata")
+    tx.write.parquet(str(tmp_path / "in"))
+    stream = K.pass_through_stream(K.read_stream(spark, str(tmp_path / "in"), tx.schema))
+    K.run_available(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [r["pass_through_ratio"] for r in spark.read.parquet(str(tmp_path / "out/*")).collect()] == [float("inf")]
+
+
 def test_trailing_windows_equal_the_batch_job(spark, make, tmp_path):
     """Three files whose times interleave: later files bring legs that earlier windows must count."""
     once, stream = source(spark, make, tmp_path)
