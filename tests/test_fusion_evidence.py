@@ -117,3 +117,16 @@ def test_forwarders_meet_all_rules(make, rows):
     tx = make([("T1", 0, "X", "A", 1000), ("T2", 60, "A", "B", 950), ("T3", 4000, "B", "X", 10)])
     got = rows(score_forwarders(tx))
     assert [(r["account"], r["rule_score"], r["highest_severity"]) for r in got] == [("A", 80, "CRITICAL")]
+
+
+def test_driver_weights_are_rounded_as_in_the_sql(spark):
+    """All values of four places, against DuckDB: it differs from decimal rounding at 0.145, 0.285, 0.565 and 0.575."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from fundwatch.operators import evidence as E
+
+    part = F.create_map(F.lit("temporal"), F.struct((F.col("id") / 10000).alias("weighted_score")))
+    cases = spark.range(1, 10001).select("id", part.alias("contributions"), F.lit("LOW").alias("risk_level"), F.lit(0.0).alias("composite_risk_score"))
+    got = {r["id"]: r["risk_summary"].split("(")[-1][:4] for r in E.risk_drivers(cases).collect()}
+    assert got == dict(duckdb.sql("SELECT i, printf('%.2f', round(i / 10000::DOUBLE, 2)) FROM range(1, 10001) t(i)").fetchall())
