@@ -239,13 +239,14 @@ def _pieces(rows: DataFrame, parts: Column, name: str) -> DataFrame:
     return dealt.withColumn(name, piece.cast("int")).drop("_parts", "_own", "_other")
 
 
-def similar_components(docs: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame:
+def similar_components(docs: DataFrame, words_per_shingle: int, similarity: float, groups: DataFrame | None = None) -> DataFrame:
     """doc_id, component_id of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over pairs of texts whose distinct shingles have
     a Jaccard similarity of at least ``similarity``; texts without a word are alike. Rows with
     equal doc_id are one node of the links; a row with a null doc_id takes the component of its
-    shingle set if another row has that one, else null.
+    shingle set if another row has that one, else null. ``groups`` (doc_id, component_id), such as the
+    components of SimHash, are chained and verified like the buckets of a band.
     """
     n = ROWS * bands(similarity)
     rows = written(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed(words_per_shingle, n), "doc_id bigint, key binary, size bigint, sign binary"), "signed")
@@ -254,7 +255,14 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     filed = written(known.select("rep", "sign").mapInArrow(_filed, "value bigint, rep bigint, band int"), "filed")
     buckets = written(filed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     shared = written(filed.join(buckets, "value"), "shared")
-    nodes = written(shared.select(F.col("rep").alias("node")).distinct(), "nodes")
+    chained = shared.select("value", "rep")
+    if groups is not None:
+        # One entry a doc_id, so that a doc_id on many rows opens no pairs.
+        named = rows.filter("doc_id is not null").join(entries.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+        members = groups.filter("component_id is not null").join(named, "doc_id").select(F.col("component_id").alias("value"), "rep").distinct()
+        chained = chained.unionByName(members.join(members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "value").select("value", "rep"))
+        chained = written(chained, "candidates")
+    nodes = written(chained.select(F.col("rep").alias("node")).distinct(), "nodes")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").filter("text is not null")
     texts = written(texts.join(nodes, "node", "left_semi").dropDuplicates(["node", "text"]), "texts")
 
@@ -263,7 +271,7 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
         met = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         return written(met.mapInArrow(_verified(words_per_shingle, similarity), "a bigint, b bigint").distinct(), "verified")
 
-    chain = shared.select("value", "rep").repartitionByRange("value", "rep").sortWithinPartitions("value", "rep")
+    chain = chained.repartitionByRange("value", "rep").sortWithinPartitions("value", "rep")
     tested = written(chain.mapInArrow(_chained, "a bigint, b bigint").distinct(), "chained")
     links = verified(tested)
     label = F.coalesce("component", "rep").alias("label")
@@ -282,6 +290,6 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
         met = parted.join(hashed, F.col("rep") == F.col("node")).select("value", "piece", "part", "rep", "label", "hashes")
         met = met.repartition("value", "piece", "part").sortWithinPartitions("value", "piece", "part")
         links = links.unionByName(written(met.mapInArrow(_joined(similarity), "a bigint, b bigint").distinct(), "joined"))
-    groups = components(links)
-    named = written(entries.join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "members")
+    found = components(links)
+    named = written(entries.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "members")
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -261,10 +261,11 @@ def one_of_each(docs: DataFrame, words_per_shingle: int = 5, similarity: float =
     """``docs`` without near copies: of each component the rows of its smallest doc_id stay, repeated rows once.
 
     Two texts are near copies when the exact Jaccard similarity of their distinct shingles is at
-    least ``similarity``; a component is connected by such pairs (``minhash``). A row with a null
-    doc_id stays if no other row has its shingles.
+    least ``similarity``; a component is connected by such pairs. The groups of ``near_duplicates``
+    are candidates, and since three of 64 bits reach few pairs near the threshold, bands of MinHash add theirs
+    (``minhash``); all are verified. A row with a null doc_id stays if no other row has its shingles.
     """
-    found = similar_components(docs, words_per_shingle, similarity)
+    found = similar_components(docs, words_per_shingle, similarity, near_duplicates(docs, words_per_shingle).select("doc_id", "component_id"))
     stay = found.filter(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

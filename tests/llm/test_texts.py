@@ -17,6 +17,7 @@ from fundwatch.llm import components, decontaminate, language, licenses, minhash
 from .conftest import TEXTS
 
 SF = "/root/testdata/sf0.01"
+minhash_filed = minhash._filed
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -121,6 +122,20 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_takes_its_candidates_from_simhash(spark, monkeypatch):
+    """Without bands the near copies within three bits are still found; groups that only the bits link are verified and stay apart."""
+    monkeypatch.setattr(minhash, "_filed", lambda batches: (b.slice(0, 0) for b in minhash_filed(batches)))
+    base = [prose(i, 300) for i in range(10)]
+    line = "the same line again and once more " * 400
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " end") for i, t in enumerate(base)] + [(200 + i, line + prose(3000 + i, 60)) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5).collect()}
+    near = {i for i, c in groups.items() if 100 <= i < 200 and c == i - 100}
+    assert near and groups[201] == 200
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == {i for i, _ in rows} - near
+
+
 @pytest.mark.parametrize("bucket,together", [(20_000, 8_000_000), (4, 8_000_000), (6, 600)])
 def test_near_copies_are_verified(spark, monkeypatch, bucket, together):
     """Planted pairs at 0.6 to 0.95, a dense group and a repeated line, against brute force on distinct shingles."""
