@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fundwatch.llm.ngrams import frequencies
 from fundwatch.llm import components, decontaminate, language, licenses, minhash, quality, queries, simhash
 
 from .conftest import TEXTS
@@ -306,6 +307,19 @@ def test_quality_on_odd_rows(odd, none):
     assert quality.classify(none, quality.train(none)).count() == 0
 
 
+def test_quality_learns_from_every_text(spark):
+    """Each text has n-grams of its own: all of them have a weight, and the least score is set on all texts."""
+    rows = [(i, f"w{i}x{i * 7919 % 10007} holds " + prose(i, 12)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = quality.train(docs)
+    used = np.unique(np.concatenate([frequencies(t.encode())[0] for _, t in rows]))
+    assert (model.table[0, used] != 0).all()
+    got = quality.classify(docs, model).collect()
+    good = [r for r in got if r.quality_posterior >= 0.9]
+    assert good and sum(not r.quality_keep for r in good) <= quality.LOST * len(good)
+    assert sorted((r.doc_id, r.quality_keep) for r in quality.judged(docs).collect()) == sorted((r.doc_id, r.quality_keep) for r in got)
+
+
 # licences
 
 def test_licenses(spark, odd, none):
