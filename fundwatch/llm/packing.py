@@ -142,8 +142,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | No
         encoder, packer = pieces(tokenizer), _Packer(TaskContext.get().partitionId(), capacity, windows, keep_ids)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            encoder.trim()
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if i % 500 == 0:
+                    encoder.trim()
                 packer.add(doc, encoder.encode(text) + end)
                 if len(packer.out) > (2_000 if keep_ids else 20_000):
                     yield packer.batch()

@@ -28,15 +28,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+#: Characters of the longest chunk that is remembered: a text without a space is one chunk.
+LONG = 64
+
+
 class _Known(dict):
-    """Ids by chunk; an unknown chunk is given to ``encode``."""
+    """Ids by chunk; an unknown chunk is given to ``encode``, and remembered unless it is long."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk)
+        ids = self.encode(chunk)
+        if len(chunk) <= LONG:
+            self[chunk] = ids
         return ids
 
 
@@ -44,9 +50,10 @@ class Pieces:
     """Ids of texts under one tokenizer file (``.json``: tokenizers, ``.model``: sentencepiece), nothing added.
 
     ``limit`` bounds the chunks that a worker remembers; when it is reached, the memory is emptied.
+    A chunk and its ids take about 200 bytes.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.limit, self.chunked, self.specials = limit, False, None
         if path.endswith(".model"):
             import sentencepiece
@@ -81,9 +88,9 @@ class Pieces:
         return bool(self.specials and self.specials.search(text))
 
     def trim(self) -> None:
-        for known in (self.fine, self.coarse) if self.chunked else ():
-            if len(known) > self.limit:
-                known.clear()
+        if self.chunked and len(self.fine) + len(self.coarse) > self.limit:
+            self.fine.clear()
+            self.coarse.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids (null: none)."""

@@ -130,3 +130,13 @@ def test_token_counts_of_the_other_files(odd):
     for name, count in (("word_bpe_49k.json", lambda t: len(words.encode(t, add_special_tokens=False).ids)), ("piece_bpe_32k.model", lambda t: len(model.encode(t)))):
         got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(few, public_tokenizers.path(name)).collect())
         assert got == Counter((i, count(t or "")) for i, t in rows)
+
+
+def test_memory_of_pieces_is_bounded():
+    """Long chunks are not remembered, and the limit counts both memories."""
+    small = Pieces(TOKENIZER, limit=50)
+    for text in ("x" * 5000, "日本語" * 500, " ".join(f"a{i}b" for i in range(40)), " ".join(f"日本{i}" for i in range(40))):
+        assert small.encode(text) == small.whole(text)
+    assert max(map(len, [*small.fine, *small.coarse])) <= 64
+    small.trim()
+    assert not small.fine and not small.coarse
