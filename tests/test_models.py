@@ -166,3 +166,26 @@ def test_event_subgraphs_are_counted_as_listed(spark, make):
     _, edges = build_graph(tx)
     listed = {r["event_id"]: r["count"] for r in N.event_subgraph(edges, tx).groupBy("event_id").count().collect()}
     assert {r["event_id"]: r["edges"] for r in N.event_subgraph_counts(edges, tx).collect()} == listed and len(listed) == 40
+
+
+@pytest.mark.parametrize("span,chunk,arrays", [(1 << 15, 4096, 100_000), (16, 7, 50)])
+def test_pairs_inside_sets_are_counted_on_bits(spark, monkeypatch, span, chunk, arrays):
+    """Against a plain count: weights, self-pairs, several blocks, ranges and arrays, nodes in no set."""
+    import random
+
+    from fundwatch.operators import bit_counts as B
+
+    for name, value in (("RANGE", span), ("CHUNK", chunk), ("PAIRS", arrays), ("TASKS", 2), ("LEAST", 1)):
+        monkeypatch.setattr(B, name, value)
+    rng = random.Random(3)
+    sets = [{f"n{rng.randrange(60)}" for _ in range(rng.randrange(30))} for _ in range(300)]
+    weights = {(f"n{rng.randrange(70)}", f"n{rng.randrange(70)}"): rng.choice([1, 1, 1, 2, 5, 1000]) for _ in range(900)}
+    bits = {}
+    for i, own in enumerate(sets):
+        for node in own:
+            bits[node, i // 64] = bits.get((node, i // 64), 0) | 1 << i % 64
+    inside = spark.createDataFrame([(n, w, b - (1 << 64 if b >> 63 else 0)) for (n, w), b in bits.items()], "node string, word int, bits bigint")
+    pairs = spark.createDataFrame([(a, b, n) for (a, b), n in weights.items()], "src string, dst string, n bigint")
+    got = {64 * r["word"] + r["bit"]: r["n"] for r in B.counted_inside(pairs, inside).collect()}
+    assert got == {i: k for i, own in enumerate(sets) if (k := sum(n for (a, b), n in weights.items() if a in own and b in own))}
+    assert B.counted_inside(pairs, inside.filter("false")).count() == 0
