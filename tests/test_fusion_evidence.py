@@ -74,6 +74,21 @@ def test_dedup_merges(spark):
     assert got["E4"]["transaction_ids"] == ["T9", "T1"]
 
 
+def test_findings_without_copies_are_not_shuffled(spark):
+    """Only copies are grouped: the wide rows of single findings stay where they are."""
+    single = items(spark, [(i, f"E{i}", "t", "LOW", "RULE", f"RULE:R{i}", ["T1"], ["A"], {"a": 1.0}) for i in range(3)])
+    done = E.dedup_evidence(single)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["evidence_id"] for r in done.collect()) == ["E0", "E1", "E2"]
+
+
+def test_actions_of_cases_given_twice_or_not_at_all(spark):
+    ranked = E.rank_evidence(items(spark, [(0, "R1", "Forensic Rule", "LOW", "RULE", "RULE:R005", [], ["A"], {}), (1, "R2", "Forensic Rule", "LOW", "RULE", "RULE:R006", [], ["A"], {})]))
+    for given, idle in (([], 0), (["EMPTY", "EMPTY"], 2)):
+        got = [(r["case_id"], r["action_id"], r["evidence_ids"]) for r in E.actions(ranked, spark.createDataFrame([(c,) for c in given], "case_id string")).collect()]
+        assert sorted(got) == [("C", "ACT-RUL-001", ["R1", "R2"])] + [("EMPTY", "ACT-GEN-001", [])] * idle
+
+
 def test_rank_order(spark):
     df = items(spark, [(0, "Z", "t", "HIGH", "GRAPH", "g", [], ["A"], {"cycle_count": 9.0}), (1, "Y", "t", "HIGH", "RULE", "r", [], ["A"], {"score_contribution": 10.0}),
                        (2, "X", "t", "HIGH", "RULE", "q", [], ["A"], {"score_contribution": 30.0}), (3, "W", "t", "CRITICAL", "TRANSACTION", "t", [], ["A"], {}),
