@@ -49,10 +49,10 @@ CTX = """ctx AS MATERIALIZED (SELECT t.transaction_id, t.ts, t.sender_account, t
 CONTEXT = (TX, LEGS, HIST, FAN, TRAVEL, LINKED, CIRCULAR, CTX)
 
 
-def context(spark, sf, active=None):
+def context(spark, sf, active=None, carried=()):
     tx = cut(transfers(spark, sf))
     circular = circular_flags(account_pairs(tx)) if active is None or "R014" in active else None
-    return C.rule_context(tx, accounts(spark, sf), circular, active=active)
+    return C.rule_context(tx, accounts(spark, sf), circular, active=active, carried=carried)
 
 
 @query("c01_history", with_(TX, LEGS, HIST, "SELECT transaction_id, history_1h, history_n, recent_sum, inbound_sum, channels_1h FROM hist WHERE side <> 'in'"))

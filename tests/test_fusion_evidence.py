@@ -145,3 +145,28 @@ def test_driver_weights_are_rounded_as_in_the_sql(spark):
     cases = spark.range(1, 10001).select("id", part.alias("contributions"), F.lit("LOW").alias("risk_level"), F.lit(0.0).alias("composite_risk_score"))
     got = {r["id"]: r["risk_summary"].split("(")[-1][:4] for r in E.risk_drivers(cases).collect()}
     assert got == dict(duckdb.sql("SELECT i, printf('%.2f', round(i / 10000::DOUBLE, 2)) FROM range(1, 10001) t(i)").fetchall())
+
+
+def test_findings_of_cases_with_an_id_of_their_own_are_not_shuffled(spark, make):
+    """Ranked inside the row they are what grouping their rows gives; cases that share an id still meet."""
+    from fundwatch.operators.rules import RULES, result
+    from fundwatch.plans.case import open_cases
+
+    tx = make([("T1", 0, "A", "B", 600_000.0), ("T2", 1, "B", "A", 48_500.0), ("T3", 2, "C", "A", 10.0), ("T4", 3, "C", "B", 250_000.0), ("T5", 4, "D", "D", 250_000.0)])
+    hits = {"R001": F.col("amount") > 40_000, "R004": F.col("sender_account") == "C", "R014": F.col("sender_account") == "B"}
+    match = lambda code: F.when(hits[code], F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule_code", "rule_name", "pattern_name", "score", "severity"), (code, *RULES[code][1:5]))], F.lit("passed in a burst").alias("narrative")))
+    twice = F.when(F.col("transaction_id") == "T5", match("R001"))
+    cases = open_cases(tx, 0.0).withColumn("matches", F.array_compact(F.array(*[match(c) for c in hits], twice))).withColumn("rule_score", F.lit(1))
+    cases = E.coverage(cases.withColumns({"unavailable_modalities": F.array().cast("array<string>")}))
+    shared = cases.withColumn("case_id", F.when(F.col("sender_account") == "C", "CASE-C").otherwise(F.col("case_id")))
+    show = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for given, alone in ((cases.filter("transaction_id <> 'T5'"), 4), (shared, 2)):
+        plain = E.rank_evidence(E.dedup_evidence(E.collect_evidence(given)))
+        ranked = E.ranked_cases(given)
+        assert ranked.alone.count() == alone and (ranked.found is None) == (alone == 4)
+        assert show(ranked.rows().select(plain.columns)) == show(plain)
+        for made in (E.packages, E.actions, E.questions):
+            a, b = made(ranked), made(plain, given)
+            assert show(a.select(b.columns)) == show(b)
+    plan = E.packages(E.ranked_cases(cases.filter("transaction_id <> 'T5'")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
