@@ -124,7 +124,8 @@ def _grouped(keys: int):
 def _suspects(similarity: float):
     """value, piece, rep, label, size: entries that sizes and signatures do not exclude from a link to another component.
 
-    A pair counts in the first band it shares only, so it asks for its shingles in one bucket.
+    A pair counts in the first band it shares only, so it asks for its shingles in one bucket. Rows of band -1 (groups
+    that are no buckets) count all their pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,8 @@ def _suspects(similarity: float):
                 at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9))
                 same = sign[at] == sign[i]
                 at, same = at[same.sum(axis=1) >= least], same[same.sum(axis=1) >= least]
-                at = at[same.reshape(len(at), n // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[0]]
+                if band[0] >= 0:
+                    at = at[same.reshape(len(at), n // ROWS, ROWS).all(axis=2).argmax(axis=1) == band[0]]
                 met[at] = True
                 met[i] |= len(at) > 0
             yield from table.select(["value", "piece", "rep", "label", "size"]).filter(pa.array(met)).to_batches()
@@ -239,6 +241,28 @@ def _pieces(rows: DataFrame, parts: Column, name: str) -> DataFrame:
     return dealt.withColumn(name, piece.cast("int")).drop("_parts", "_own", "_other")
 
 
+def _across(candidates: DataFrame, found: DataFrame, known: DataFrame, texts: DataFrame, words_per_shingle: int, similarity: float) -> DataFrame | None:
+    """a, b: links that join two of the components ``found`` inside the buckets or groups of ``candidates`` (value, rep, band, n); None without any."""
+    label = F.coalesce("component", "rep").alias("label")
+    labelled = written(candidates.filter("n > 2").join(found, F.col("rep") == F.col("node"), "left").select("value", "rep", "band", "n", label), "labelled")
+    mixed_up = written(labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("value"), "open")
+    if not mixed_up.take(1):
+        return None
+    rest = _pieces(labelled.join(mixed_up, "value"), F.ceil(2 * F.col("n") / BUCKET), "piece")
+    rest = written(rest.select("value", "piece", "rep", "label", "band"), "rest")
+    full = rest.join(known.select("rep", "size", "sign"), "rep").select("value", "piece", "rep", "label", "band", "size", "sign")
+    ordered = full.repartition("value", "piece").sortWithinPartitions("value", "piece")
+    suspects = written(ordered.mapInArrow(_suspects(similarity), "value bigint, piece int, rep bigint, label bigint, size bigint"), "suspects")
+    asked = suspects.select(F.col("rep").alias("node")).distinct()
+    hashed = written(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(_hashes(words_per_shingle), "node bigint, hashes binary"), "hashes")
+    weights = written(suspects.groupBy("value", "piece").agg(F.sum("size").alias("total")), "weights")
+    parted = _pieces(suspects.join(weights, ["value", "piece"]), F.ceil(2 * F.col("total") / TOGETHER), "part")
+    met = parted.join(hashed, F.col("rep") == F.col("node")).select("value", "piece", "part", "rep", "label", "hashes")
+    met = met.repartition("value", "piece", "part").sortWithinPartitions("value", "piece", "part")
+    joined = written(met.mapInArrow(_joined(similarity), "a bigint, b bigint").distinct(), "joined")
+    return joined if joined.take(1) else None
+
+
 def similar_components(docs: DataFrame, words_per_shingle: int, similarity: float, groups: DataFrame | None = None) -> DataFrame:
     """doc_id, component_id of every row of ``docs`` (doc_id, text).
 
@@ -246,7 +270,8 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     a Jaccard similarity of at least ``similarity``; texts without a word are alike. Rows with
     equal doc_id are one node of the links; a row with a null doc_id takes the component of its
     shingle set if another row has that one, else null. ``groups`` (doc_id, component_id), such as the
-    components of SimHash, are chained and verified like the buckets of a band.
+    components of SimHash, are chained like the buckets of a band, and after these the pairs of a group that are
+    still apart are verified, whatever bands they share.
     """
     n = ROWS * bands(similarity)
     rows = written(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_signed(words_per_shingle, n), "doc_id bigint, key binary, size bigint, sign binary"), "signed")
@@ -255,12 +280,14 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     filed = written(known.select("rep", "sign").mapInArrow(_filed, "value bigint, rep bigint, band int"), "filed")
     buckets = written(filed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     shared = written(filed.join(buckets, "value"), "shared")
-    chained = shared.select("value", "rep")
+    chained, members = shared.select("value", "rep"), None
     if groups is not None:
         # One entry a doc_id, so that a doc_id on many rows opens no pairs.
         named = rows.filter("doc_id is not null").join(entries.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-        members = groups.filter("component_id is not null").join(named, "doc_id").select(F.col("component_id").alias("value"), "rep").distinct()
-        chained = chained.unionByName(members.join(members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "value").select("value", "rep"))
+        members = groups.filter("component_id is not null").join(named, "doc_id").select(F.xxhash64(F.lit("group"), "component_id").alias("value"), "rep").distinct()
+        members = members.join(members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "value")
+        members = written(members.select("value", "rep", F.lit(-1).alias("band"), "n"), "groups")
+        chained = chained.unionByName(members.select("value", "rep"))
         chained = written(chained, "candidates")
     nodes = written(chained.select(F.col("rep").alias("node")).distinct(), "nodes")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").filter("text is not null")
@@ -274,22 +301,11 @@ def similar_components(docs: DataFrame, words_per_shingle: int, similarity: floa
     chain = chained.repartitionByRange("value", "rep").sortWithinPartitions("value", "rep")
     tested = written(chain.mapInArrow(_chained, "a bigint, b bigint").distinct(), "chained")
     links = verified(tested)
-    label = F.coalesce("component", "rep").alias("label")
-    labelled = written(shared.filter("n > 2").join(components(links), F.col("rep") == F.col("node"), "left").select("value", "rep", "band", "n", label), "labelled")
-    mixed_up = written(labelled.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("value"), "open")
-    if mixed_up.take(1):
-        rest = _pieces(labelled.join(mixed_up, "value"), F.ceil(2 * F.col("n") / BUCKET), "piece")
-        rest = written(rest.select("value", "piece", "rep", "label", "band"), "rest")
-        full = rest.join(known.select("rep", "size", "sign"), "rep").select("value", "piece", "rep", "label", "band", "size", "sign")
-        ordered = full.repartition("value", "piece").sortWithinPartitions("value", "piece")
-        suspects = written(ordered.mapInArrow(_suspects(similarity), "value bigint, piece int, rep bigint, label bigint, size bigint"), "suspects")
-        asked = suspects.select(F.col("rep").alias("node")).distinct()
-        hashed = written(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(_hashes(words_per_shingle), "node bigint, hashes binary"), "hashes")
-        weights = written(suspects.groupBy("value", "piece").agg(F.sum("size").alias("total")), "weights")
-        parted = _pieces(suspects.join(weights, ["value", "piece"]), F.ceil(2 * F.col("total") / TOGETHER), "part")
-        met = parted.join(hashed, F.col("rep") == F.col("node")).select("value", "piece", "part", "rep", "label", "hashes")
-        met = met.repartition("value", "piece", "part").sortWithinPartitions("value", "piece", "part")
-        links = links.unionByName(written(met.mapInArrow(_joined(similarity), "a bigint, b bigint").distinct(), "joined"))
     found = components(links)
+    for candidates in (shared, members) if members is not None else (shared,):
+        joined = _across(candidates, found, known, texts, words_per_shingle, similarity)
+        if joined is not None:
+            links = links.unionByName(joined)
+            found = components(links)
     named = written(entries.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id")), "members")
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -137,6 +137,17 @@ def test_one_of_each_takes_its_candidates_from_simhash(spark, monkeypatch):
     assert kept == {i for i, _ in rows} - near
 
 
+def test_all_pairs_of_a_simhash_group_are_verified(spark, monkeypatch):
+    """Without bands: the near copies of a group stand on either side of a text that is none, and still meet."""
+    monkeypatch.setattr(minhash, "_filed", lambda batches: (b.slice(0, 0) for b in minhash_filed(batches)))
+    line = "the same line again and once more " * 400
+    words = prose(41, 60).split()
+    rows = [(1, line + " ".join(words)), (2, line + prose(42, 60)), (3, line + " ".join([*words[:30], "changed", *words[31:]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.near_duplicates(docs, 5).collect()} == {1}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("bucket,together", [(20_000, 8_000_000), (4, 8_000_000), (6, 600)])
 def test_near_copies_are_verified(spark, monkeypatch, bucket, together):
     """Planted pairs at 0.6 to 0.95, a dense group and a repeated line, against brute force on distinct shingles."""
