@@ -170,3 +170,14 @@ def test_findings_of_cases_with_an_id_of_their_own_are_not_shuffled(spark, make)
             assert show(a.select(b.columns)) == show(b)
     plan = E.packages(E.ranked_cases(cases.filter("transaction_id <> 'T5'")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_case_packages_name_cycles_to_five_hops(spark, make, monkeypatch):
+    """A ring of five: all its accounts are named, as the flag and the count go to five hops."""
+    from fundwatch.catalog import evidence as C
+
+    tx = make([(f"T{i}", 3000 * i, f"A{i}", f"A{(i + 1) % 5}", 1000) for i in range(5)])
+    monkeypatch.setattr(C, "transfers", lambda spark, sf: tx)
+    monkeypatch.setattr(C, "accounts", lambda spark, sf: None)
+    text = {r["case_id"]: r["evidence_summary"] for r in C.e22_packages(spark, "").collect()}
+    assert "accounts: A0 -> A1 -> A2 -> A3 -> A4." in text["CASE-T2"]
