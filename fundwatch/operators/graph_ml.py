@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import node_id, finite
 from ..functions.session import cut
-from . import words as W
-from .bit_counts import counted_inside
 from .features import cut_points
 from .graph import TRANSFER
+from .union_counts import counted_in_unions
 
 DIM = 16
 
@@ -201,20 +200,13 @@ def event_subgraph(edges: DataFrame, tx: DataFrame) -> DataFrame:
 def event_subgraph_counts(edges: DataFrame, tx: DataFrame) -> DataFrame:
     """event_id, edges: the size of each transfer's event subgraph, without listing it.
 
-    Transfers between the same two accounts have the same subgraph, so it is walked once for each
-    distinct (sender, receiver), 64 of them a row, and joined back. Edges are counted inside tasks (``bit_counts``).
+    Transfers between the same two accounts have the same subgraph, so it is counted once for each
+    distinct (sender, receiver), inside tasks (``union_counts``), and joined back.
     """
-    way = lambda a, b: F.struct(F.col(a).alias("from"), F.col(b).alias("to"))
-    steps = edges.select(F.inline(F.array(way("src", "dst"), way("dst", "src")))).distinct()
     events = tx.select(F.col("transaction_id").alias("event_id"), node_id("sender_account", "account").alias("u"), node_id("receiver_account", "account").alias("v"))
-    ends = cut(events.select("u", "v").distinct().withColumn("account", F.to_json(F.array("u", "v"))))
-    places = W.numbered(ends)
-    start = ends.join(places, "account").select(F.explode(F.array("u", "v")).alias("node"), "word", W.own_bit())
-    inside = W.merged(W.walk(W.merged(start), steps, 1))
     collapsed = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    found = counted_inside(collapsed, inside)
-    counts = cut(found.join(places, ["word", "bit"]).join(ends, "account").select("u", "v", F.col("n").alias("edges")))
-    return events.join(counts, ["u", "v"]).select("event_id", "edges")
+    counts = cut(counted_in_unions(collapsed, events.select("u", "v").distinct()).filter("n > 0"))
+    return events.join(counts, ["u", "v"]).select("event_id", F.col("n").alias("edges"))
 
 
 def fit_head(h: DataFrame, labels: DataFrame, iterations: int = 100):

@@ -189,3 +189,28 @@ def test_pairs_inside_sets_are_counted_on_bits(spark, monkeypatch, span, chunk,
     got = {64 * r["word"] + r["bit"]: r["n"] for r in B.counted_inside(pairs, inside).collect()}
     assert got == {i: k for i, own in enumerate(sets) if (k := sum(n for (a, b), n in weights.items() if a in own and b in own))}
     assert B.counted_inside(pairs, inside.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("span,held", [(1 << 17, 4_000_000), (16, 50)])
+def test_edges_in_joined_neighbourhoods(spark, monkeypatch, span, held):
+    """A hub, loops and parallel edges against a plain count; one cell and one chunk, and many; no row for each pair and edge, or pair and node, is made."""
+    import random
+
+    from fundwatch.operators import union_counts as U
+
+    monkeypatch.setattr(U, "RANGE", span)
+    monkeypatch.setattr(U, "HELD", held)
+    r = random.Random(3)
+    links = {(f"N{r.randrange(40)}", f"N{r.randrange(40)}"): r.randrange(1, 4) for _ in range(110)} | {(f"N{i}", "HUB"): 1 for i in range(30)} | {("HUB", "N1"): 2, ("N2", "N2"): 5}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    asked = sorted(links) + [("N1", "ALONE")]
+    both = lambda u, v: near.get(u, {u}) | near.get(v, {v})
+    want = {(u, v): sum(n for (a, b), n in links.items() if {a, b} <= both(u, v)) for u, v in asked}
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "src string, dst string, n bigint")
+    pairs = spark.createDataFrame(asked, "u string, v string")
+    got = {(x["u"], x["v"]): x["n"] for x in U.counted_in_unions(edges, pairs).collect()}
+    assert got == want
+    assert U.counted_in_unions(edges, pairs.filter("false")).count() == 0
