@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -81,11 +82,19 @@ def velocity_stream(transfers: DataFrame, window: str = "1 hour", slide: str = "
 
 
 TRAILING = "account string, transaction_id string, us bigint, n bigint, amount double"
-LEG = "transaction_id string, us bigint, units bigint, own boolean"
+LEGS = pa.schema([("account", pa.string()), ("transaction_id", pa.string()), ("us", pa.int64()), ("units", pa.int64()), ("own", pa.bool_())])
+
+
+def _packed(legs: pd.DataFrame) -> bytes:
+    """Legs as one value of the state: one by one they cost more to hand over than to count."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, LEGS) as stream:
+        stream.write_table(pa.Table.from_pandas(legs, LEGS, preserve_index=False))
+    return out.getvalue().to_pybytes()
 
 
 class TrailingCounts(StatefulProcessor):
-    """The legs of one account in one time bucket and the one before it, as list state.
+    """The legs of a share of the accounts in one time bucket and the end of the one before it, as list state.
 
     Figures of a leg are given when it arrives, and again whenever a late leg enters its
     window. A timer at the end of the bucket clears the state: once the watermark is there, no
@@ -97,31 +106,36 @@ class TrailingCounts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.legs = handle.getListState("legs", LEG)
+        self.legs = handle.getListState("legs", "legs binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        legs = list(self.legs.get())
-        known, came = {leg[0] for leg in legs}, []
-        for chunk in rows:
-            for leg in zip(chunk["transaction_id"].tolist(), chunk["us"].tolist(), chunk["units"].tolist(), chunk["own"].tolist()):
-                if leg[0] not in known:
-                    known.add(leg[0])
-                    came.append(leg)
-        if not came:
+        held = [pa.ipc.open_stream(bytes(packed)).read_pandas() for packed, in self.legs.get()]
+        known = sum(map(len, held))
+        legs = pd.concat([*held, *[chunk[LEGS.names] for chunk in rows]], ignore_index=True)
+        # The first of repeated legs counts.
+        came = np.arange(len(legs)) >= known
+        first = ~legs.duplicated(["account", "transaction_id"]).to_numpy()
+        legs, came = legs[first], came[first]
+        if not came.any():
             return
-        if not legs:
+        if not known:
             self.handle.registerTimer((key[1] + 1) * self.width // 1000)
-        self.legs.appendList(came)
-        legs = sorted(legs + came, key=lambda leg: leg[1])
-        new = np.sort(np.array([leg[1] for leg in came], np.int64))
-        us = np.array([leg[1] for leg in legs], np.int64)
-        sums = np.concatenate([[0], np.cumsum(np.array([leg[2] for leg in legs], np.int64))])
-        low, high = np.searchsorted(us, us - self.span, "left"), np.searchsorted(us, us, "right")
-        changed = np.searchsorted(new, us, "right") > np.searchsorted(new, us - self.span, "left")
-        give = np.flatnonzero(changed & np.array([bool(leg[3]) for leg in legs]))
+        self.legs.appendValue((_packed(legs[came]),))
+        account, us = pd.factorize(legs["account"])[0], legs["us"].to_numpy(np.int64)
+        order = np.lexsort((us, account))
+        account, us, came = account[order], us[order], came[order]
+        sums = np.concatenate([[0], np.cumsum(legs["units"].to_numpy(np.int64)[order])])
+        # Places in (account, time): times of a bucket and the one before it are a small range, so accounts stand apart.
+        least = us.min()
+        apart = us.max() - least + self.span + 2
+        at = account * apart + (us - least + self.span + 1)
+        low, high = np.searchsorted(at, at - self.span, "left"), np.searchsorted(at, at, "right")
+        new = at[came]
+        changed = np.searchsorted(new, at, "right") > np.searchsorted(new, at - self.span, "left")
+        give = np.flatnonzero(changed & legs["own"].to_numpy(bool)[order])
         if len(give):
-            low, high = low[give], high[give]
-            yield pd.DataFrame({"account": key[0], "transaction_id": [legs[i][0] for i in give], "us": us[give], "n": high - low, "amount": (sums[high] - sums[low]) / MONEY_SCALE})
+            low, high, shown = low[give], high[give], legs.iloc[order[give]]
+            yield pd.DataFrame({"account": shown["account"].to_numpy(), "transaction_id": shown["transaction_id"].to_numpy(), "us": us[give], "n": high - low, "amount": (sums[high] - sums[low]) / MONEY_SCALE})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.legs.clear()
@@ -131,16 +145,16 @@ class TrailingCounts(StatefulProcessor):
         pass
 
 
-def trailing_stream(transfers: DataFrame, seconds: int = 3600, bucket_seconds: int | None = None, delay: str = "1 hour") -> DataFrame:
+def trailing_stream(transfers: DataFrame, seconds: int = 3600, bucket_seconds: int | None = None, delay: str = "1 hour", shares: int = 64) -> DataFrame:
     """Exact count and sum of the closed trailing window ending at each transfer, for both its accounts, in update mode.
 
     ``account, transaction_id, us, n, amount`` as in the batch job's ``rolling``; the last row
     of an (account, transaction_id) is its current one (``current``), also for windows that are
-    still open when the stream stops. A key is an account and a time bucket (``bucket_seconds``,
-    at least the window, by default six windows); a leg goes to its own bucket, where it is judged,
+    still open when the stream stops. A key is one of ``shares`` of the accounts (by hash) and a time bucket (``bucket_seconds``,
+    at least the window, by default six windows), since a call of the state store costs far more than a leg; a leg goes to its own bucket, where it is judged,
     and in the last window of a bucket also to the next, where it only counts. A hot account is
-    thus as many states as it has buckets; quiet ones cost a call of the state store per bucket
-    and micro-batch, so wider buckets suit them. Repeated transaction
+    thus in as many states as it has buckets. Legs of a share that are in its state are read for each micro-batch that
+    has more of them, so many accounts need more shares. Repeated transaction
     ids count once; rows later than ``delay`` are dropped; a self-transfer is one leg; rows without
     account, id or time are left out, and one without an amount adds nothing to the sum.
     The query needs the RocksDB state store (``run_available`` sets it).
@@ -154,7 +168,7 @@ def trailing_stream(transfers: DataFrame, seconds: int = 3600, bucket_seconds: i
     copy = lambda b, own: F.struct(b.alias("bucket"), F.lit(own).alias("own"))
     here, following = copy(F.col("_b"), True), copy(F.col("_b") + 1, False)
     copies = F.when(F.pmod(F.col("us"), F.lit(width)) >= width - span, F.array(here, following)).otherwise(F.array(here))
-    return legs.select("account", "transaction_id", "ts", "us", "units", F.inline(copies)).groupBy("account", "bucket").transformWithStateInPandas(
+    return legs.select("account", "transaction_id", "ts", "us", "units", F.inline(copies)).withColumn("share", F.pmod(F.xxhash64("account"), F.lit(shares))).groupBy("share", "bucket").transformWithStateInPandas(
         TrailingCounts(span, width), TRAILING, "Update", "EventTime")
 
 

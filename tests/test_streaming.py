@@ -46,6 +46,16 @@ def test_trailing_windows_equal_the_batch_job(spark, make, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/*")).count() > len(got)  # some were given again
 
 
+def test_accounts_share_trailing_states(spark, make, tmp_path):
+    """All accounts in one share: one key a bucket, and the legs of each account stay apart."""
+    once, stream = source(spark, make, tmp_path)
+    out = K.trailing_stream(stream, seconds=600, bucket_seconds=1000, delay="3 hours", shares=1)
+    K.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+    got = K.current(spark, str(tmp_path / "out"), out.schema, ["account", "transaction_id"]).collect()
+    want = P.rolling(P.legs(once), {"w": 600}).collect()
+    assert {(r["account"], r["transaction_id"], r["n"], r["amount"]) for r in got} == {(r["account"], r["transaction_id"], r["n_w"], r["amount_w"]) for r in want}
+
+
 def test_trailing_state_expires(spark, make, tmp_path):
     """A leg later than the watermark changes nothing; nulls and self-transfers have a defined result."""
     for i, rows in enumerate(([("A", 0, "S", "R", 5), ("B", 0, "S", "S", 7), ("N", 1, "S", None, 2)], [("C", 40_000, "S", "R", 1)], [("D", 80_000, "S", "R", 1)], [("L", 2, "S", "R", 9)])):
