@@ -181,3 +181,40 @@ def test_case_packages_name_cycles_to_five_hops(spark, make, monkeypatch):
     monkeypatch.setattr(C, "accounts", lambda spark, sf: None)
     text = {r["case_id"]: r["evidence_summary"] for r in C.e22_packages(spark, "").collect()}
     assert "accounts: A0 -> A1 -> A2 -> A3 -> A4." in text["CASE-T2"]
+
+
+def test_packages_hold_their_actions_without_a_shuffle(spark, make):
+    """The actions of a package are found in its row; cases that share an id are grouped, with the same result."""
+    from fundwatch.operators.rules import RULES
+
+    tx = make([("T1", 0, "A", "B", 600_000.0), ("T2", 1, "B", "A", 48_500.0), ("T3", 2, "C", "A", 10.0), ("T4", 3, "C", "B", 250_000.0)])
+    hits = {"R001": F.col("amount") > 40_000, "R014": F.col("sender_account") == "B"}
+    match = lambda code: F.when(hits[code], F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule_code", "rule_name", "pattern_name", "score", "severity"), (code, *RULES[code][1:5]))], F.lit("burst").alias("narrative")))
+    cases = E.coverage(open_cases(tx, 0.0).withColumns({"matches": F.array_compact(F.array(*[match(c) for c in hits])), "rule_score": F.lit(1)}))
+    shared = cases.withColumn("case_id", F.when(F.col("sender_account") == "C", "CASE-C").otherwise(F.col("case_id")))
+    for given in (cases, shared):
+        ranked = E.ranked_cases(given)
+        want = {}
+        for r in E.actions(ranked).collect():
+            want.setdefault(r["case_id"], set()).add(r["action_id"])
+        got = E.packages_with_actions(ranked)
+        assert {r["case_id"]: r["action_ids"] for r in got.collect()} == {k: sorted(v) for k, v in want.items()}
+        if given is cases:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_case_scores_make_no_lists_of_evidence(spark, make, monkeypatch):
+    from fundwatch.catalog import evidence as C
+
+    class Called(Exception):
+        pass
+
+    def features(tx, cases, accounts, **given):
+        raise Called(cases.columns, given)
+
+    monkeypatch.setattr(C, "transfers", lambda spark, sf: make([("T1", 0, "A", "B", 1.0)]))
+    monkeypatch.setattr(C, "accounts", lambda spark, sf: None)
+    monkeypatch.setattr(C, "case_features", features)
+    with pytest.raises(Called) as caught:
+        C.e22(spark, "")
+    assert caught.value.args[1] == {"hops": 2, "max_depth": 5, "lists": False} and "metadata" not in caught.value.args[0]
